@@ -1,0 +1,21 @@
+"""Join helpers."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows we accept to ship to every executor (a few MB for narrow frames).
+DEFAULT_BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
+    """Mark ``df`` for broadcast only after checking it has at most
+    ``max_rows`` rows; otherwise return it unchanged and let the planner
+    (and AQE, with its own byte threshold) pick a shuffle join.
+
+    The check is a ``limit(max_rows + 1).count()`` job, so it stops reading
+    as soon as the bound is exceeded.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
