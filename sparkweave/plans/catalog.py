@@ -461,7 +461,7 @@ def jdbc_roundtrip(spark, d):
     url = f"jdbc:derby:memory:sw{uuid.uuid4().hex[:12]};create=true"
     props = {"driver": "org.apache.derby.jdbc.EmbeddedDriver"}
     jdbc.execute(spark, url, "CREATE TABLE nation_t (id INT GENERATED ALWAYS AS IDENTITY PRIMARY KEY, "
-                             "n_nationkey INT, n_name VARCHAR(128), n_regionkey INT)", props)
+                             "n_nationkey INT, n_name CLOB, n_regionkey INT)", props)
     jdbc.write_table(table(spark, d, "nation"), url, "nation_t", props)
     back = jdbc.read_table(spark, url, "nation_t", props, partition_column="n_nationkey", num_partitions=4)
     return back.select("n_nationkey", "n_name", "n_regionkey")

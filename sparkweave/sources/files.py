@@ -33,6 +33,9 @@ def format_of(path: str) -> str:
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
              infer: bool = False, **options) -> DataFrame:
+    """Header CSV; quoted values may span lines.  An empty string and NULL
+    both read back as NULL (as with pandas); use Parquet or JSON when the
+    difference matters."""
     r = spark.read.options(**CSV_OPTIONS).options(**options)
     if schema is not None:
         r = r.schema(schema)
