@@ -3,11 +3,16 @@
 ``VersionedTable`` never reads and overwrites the same folder (Spark would
 delete the input before reading it).  Each commit writes a new data folder
 and then atomically creates a small manifest ``_commits/<n>.json`` that lists
-the data folders of version ``n``.  Appends add a folder to the previous
-list (no rewrite); upserts and merges write one new snapshot folder
-(copy-on-write).  Readers only see committed versions; a failed attempt
-leaves an unreferenced folder and can simply be retried.  A ``batch_id``
-makes commits idempotent (a replayed streaming micro-batch is skipped).
+the data folders ("parts") of version ``n``.  Readers only see committed
+versions; a failed attempt leaves an unreferenced folder and can simply be
+retried.  A ``batch_id`` makes commits idempotent (a replayed streaming
+micro-batch is skipped; checked through a ``_batches/<id>`` marker).
+
+* append: adds one part, nothing is rewritten;
+* upsert / merge: the table is kept bucketed by ``pmod(xxhash64(key), B)``.
+  Only the buckets hit by the (de-duplicated) update batch are read,
+  merged and rewritten; the parts of all other buckets are carried over.
+  The cost of a merge is the size of the buckets it touches, not the table.
 
 Where an Iceberg or Delta catalog is configured, prefer its MERGE; this
 class is the portable path for plain Parquet/CSV/JSON storage.
@@ -47,8 +52,8 @@ def merge_schemas(a: T.StructType | None, b: T.StructType) -> T.StructType:
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet"):
-        self.spark, self.path, self.fmt = spark, path.rstrip("/"), fmt
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", buckets: int = 64):
+        self.spark, self.path, self.fmt, self.buckets = spark, path.rstrip("/"), fmt, buckets
 
     # ---- metadata -------------------------------------------------------
     def versions(self) -> list[int]:
@@ -70,8 +75,12 @@ class VersionedTable:
         m = self.manifest(version)
         return T.StructType.fromJson(json.loads(m["schema"])) if m else None
 
+    def _batch_marker(self, batch_id: str) -> str:
+        safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in batch_id)
+        return f"{self.path}/_batches/{safe}"
+
     def has_batch(self, batch_id: str) -> bool:
-        return any((self.manifest(v) or {}).get("batch") == batch_id for v in self.versions())
+        return fs.exists(self.spark, self._batch_marker(batch_id))
 
     # ---- read -----------------------------------------------------------
     def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -85,11 +94,16 @@ class VersionedTable:
         full = T.StructType.fromJson(json.loads(m["schema"]))
         if not m["parts"]:
             return self.spark.createDataFrame([], full)
-        dirs = [p["dir"] for p in m["parts"]]
+        return self._read_parts(m["parts"], full)
+
+    def _read_parts(self, parts: list[dict], full: T.StructType) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], full)
+        dirs = [p["dir"] for p in parts]
         if self.fmt == "csv":
             # CSV columns are positional: read each folder with its own schema.
             frames = [read_any(self.spark, p["dir"], "csv", T.StructType.fromJson(json.loads(p["schema"])))
-                      for p in m["parts"]]
+                      for p in parts]
             out = frames[0]
             for f in frames[1:]:
                 out = out.unionByName(f, allowMissingColumns=True)
@@ -100,21 +114,31 @@ class VersionedTable:
         return read_parquet(self.spark, dirs, full)
 
     # ---- write ----------------------------------------------------------
+    def _publish(self, prev: dict | None, parts: list[dict], schema: T.StructType, op: str,
+                 batch_id: str | None) -> int:
+        version = (prev["version"] + 1) if prev else 0
+        manifest = {"version": version, "op": op, "batch": batch_id, "parts": parts, "schema": schema.json()}
+        if not fs.write_text(self.spark, f"{self.path}/_commits/{version:08d}.json", json.dumps(manifest)):
+            raise ConcurrentCommitError(f"version {version} of {self.path} was committed by another writer")
+        if batch_id is not None:
+            fs.write_text(self.spark, self._batch_marker(batch_id), str(version), overwrite=True)
+        return version
+
+    def _new_dir(self, prev: dict | None) -> str:
+        version = (prev["version"] + 1) if prev else 0
+        return f"{self.path}/data/{version:08d}-{uuid.uuid4().hex[:12]}"
+
     def _commit(self, df: DataFrame, op: str, keep_previous: bool, batch_id: str | None) -> int:
         if batch_id is not None and self.has_batch(batch_id):
             return self.latest()
         prev = self.manifest()
-        version = (prev["version"] + 1) if prev else 0
-        data_dir = f"{self.path}/data/{version:08d}-{uuid.uuid4().hex[:12]}"
+        data_dir = self._new_dir(prev)
         write_any(df, data_dir, self.fmt, mode="errorifexists")
-        part = {"dir": data_dir, "schema": df.schema.json()}
+        part = {"dir": data_dir, "schema": df.schema.json(), "bucket": None}
         parts = (prev["parts"] if (prev and keep_previous) else []) + [part]
         schema = merge_schemas(T.StructType.fromJson(json.loads(prev["schema"])) if (prev and keep_previous) else None,
                                df.schema)
-        manifest = {"version": version, "op": op, "batch": batch_id, "parts": parts, "schema": schema.json()}
-        if not fs.write_text(self.spark, f"{self.path}/_commits/{version:08d}.json", json.dumps(manifest)):
-            raise ConcurrentCommitError(f"version {version} of {self.path} was committed by another writer")
-        return version
+        return self._publish(prev, parts, schema, op, batch_id)
 
     def overwrite(self, df: DataFrame, batch_id: str | None = None) -> int:
         return self._commit(df, "overwrite", False, batch_id)
@@ -125,17 +149,49 @@ class VersionedTable:
             merge_schemas(self.schema(), df.schema)  # type conflicts fail before writing
         return self._commit(df, "append", True, batch_id)
 
+    def _bucket(self, keys: list[str]):
+        return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(self.buckets)).cast("int")
+
+    def _write_bucketed(self, df: DataFrame, keys: list[str], prev: dict | None) -> list[dict]:
+        data_dir = self._new_dir(prev)
+        (df.withColumn("_bucket", self._bucket(keys)).repartition("_bucket")
+           .write.mode("errorifexists").partitionBy("_bucket").format(self.fmt)
+           .options(**({"header": "true"} if self.fmt == "csv" else {})).save(data_dir))
+        schema = df.schema.json()
+        return [{"dir": f"{data_dir}/{name}", "schema": schema, "bucket": int(name.split("=", 1)[1])}
+                for name in fs.list_names(self.spark, data_dir) if name.startswith("_bucket=")]
+
     def upsert(self, df: DataFrame, key: str | list[str], order: str | list[str] | None = None,
                batch_id: str | None = None) -> int:
-        """Insert-or-replace by key into a new snapshot (latest wins with ``order``)."""
+        """Insert-or-replace by key into a new version (latest wins with ``order``).
+
+        Only buckets that receive update rows are rewritten.  Parts written by
+        ``append``/``overwrite`` carry no bucket and are folded into the
+        buckets by the next upsert.
+        """
+        from sparkweave.operators.upsert import _keys, check_keys, latest_per_key
         if batch_id is not None and self.has_batch(batch_id):
             return self.latest()
-        if self.latest() is None:
-            from sparkweave.operators.upsert import check_keys, latest_per_key
-            check_keys(df, key)
-            first = latest_per_key(df, key, order) if order is not None else df
-            return self._commit(first, "upsert", False, batch_id)
-        return self._commit(upsert(self.read(), df, key, order=order), "upsert", False, batch_id)
+        keys = _keys(key)
+        check_keys(df, keys)
+        src = latest_per_key(df, keys, order) if order is not None else df
+        prev = self.manifest()
+        if prev is None:
+            return self._publish(None, self._write_bucketed(src, keys, None), src.schema, "upsert", batch_id)
+        src = src.persist()
+        try:
+            touched = {r[0] for r in src.select(self._bucket(keys).alias("b")).distinct().collect()}
+            hit = [p for p in prev["parts"] if p.get("bucket") is None or p["bucket"] in touched]
+            kept = [p for p in prev["parts"] if p.get("bucket") is not None and p["bucket"] not in touched]
+            full = merge_schemas(T.StructType.fromJson(json.loads(prev["schema"])), src.schema)
+            old = self._read_parts(hit, T.StructType.fromJson(json.loads(prev["schema"])))
+            merged = upsert(old, src, keys, null_keys="ignore")
+            merged = merged.select(*[F.col(c.name) if c.name in merged.columns
+                                     else F.lit(None).cast(c.dataType).alias(c.name) for c in full.fields])
+            new_parts = self._write_bucketed(merged, keys, prev)
+        finally:
+            src.unpersist()
+        return self._publish(prev, kept + new_parts, full, "upsert", batch_id)
 
     merge = upsert
 

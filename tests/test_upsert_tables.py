@@ -68,7 +68,7 @@ def test_versioned_table_lifecycle(spark, tmp):
     cur = {r["_id"]: r["v"] for r in t.read().collect()}
     assert cur == {1: 10, 2: 22, 3: 30, 4: 40}
     assert t.read(version=0).count() == 2                      # time travel
-    assert len(t.manifest()["parts"]) == 1 and len(t.manifest(1)["parts"]) == 2
+    assert all(p["bucket"] is not None for p in t.manifest()["parts"]) and len(t.manifest(1)["parts"]) == 2
     with pytest.raises(ValueError):
         t.append(spark.createDataFrame([("x", 1)], "_id string, v int"))   # type conflict
 
@@ -90,3 +90,22 @@ def test_commit_conflict(spark, tmp):
     with pytest.raises(ConcurrentCommitError):
         t._commit(_df(spark, [(2, 2)]), "append", True, None)
         t._commit(_df(spark, [(3, 3)]), "append", True, None)
+
+
+def test_upsert_rewrites_only_touched_buckets(spark, tmp):
+    t = VersionedTable(spark, tmp, buckets=16)
+    base = spark.range(0, 2000).select(F.col("id").alias("_id"), (F.col("id") * 10).alias("v"))
+    t.upsert(base, "_id")
+    before = {p["bucket"]: p["dir"] for p in t.manifest()["parts"]}
+    assert len(before) == 16
+    t.upsert(spark.createDataFrame([(7, -1), (5000, 1)], "_id long, v long"), "_id")
+    after = t.manifest()["parts"]
+    changed = {p["bucket"] for p in after if before.get(p["bucket"]) != p["dir"]}
+    assert 1 <= len(changed) <= 2                                   # only the buckets of keys 7 and 5000
+    cur = {r["_id"]: r["v"] for r in t.read().collect()}
+    assert len(cur) == 2001 and cur[7] == -1 and cur[5000] == 1 and cur[8] == 80
+    t.append(spark.createDataFrame([(9000, 9)], "_id long, v long"))   # unbucketed part
+    t.upsert(spark.createDataFrame([(9000, 10)], "_id long, v long"), "_id")
+    cur = {r["_id"]: r["v"] for r in t.read().collect()}
+    assert len(cur) == 2002 and cur[9000] == 10
+    assert all(p["bucket"] is not None for p in t.manifest()["parts"])
