@@ -133,3 +133,15 @@ def downsample(df: DataFrame, ts_col: str, value_col: str, every: str = "15 minu
             raise ValueError(f"unknown aggregator {a!r} for {name!r}")
     aggs = [_AGGS[a](F.col(value_col)).alias(name) for name, a in spec.items()]
     return (df.groupBy(F.window(ts_col, every).start.alias("bucket"), *group_cols).agg(*aggs))
+
+
+def metric_snapshot(raw: DataFrame, response_ms: int | Column | None = None) -> DataFrame:
+    """Topic-info rows -> chart rows: ``timestamp`` (epoch ms of the response,
+    default the row's own), ``Size (KB)`` = logicalsize / 1000,
+    ``Published`` = maxoffset + 1, ``Consumed`` = minoffsetacrossconsumers."""
+    ts = (F.lit(response_ms) if isinstance(response_ms, int) else response_ms) if response_ms is not None \
+        else F.col("timestamp")
+    return raw.select(F.timestamp_millis(ts.cast("long")).alias("timestamp"),
+                      (F.col("logicalsize") / F.lit(1000.0)).alias("size_kb"),
+                      (F.col("maxoffset") + 1).alias("published"),
+                      F.col("minoffsetacrossconsumers").alias("consumed"))

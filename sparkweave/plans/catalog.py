@@ -25,6 +25,7 @@ from sparkweave.operators.ids import allocate_ids
 from sparkweave.operators.refine import EtlSpec, refine
 from sparkweave.plans.lifecycle import ingest_refine_write
 from sparkweave.session import fresh_path
+from sparkweave.sinks.documents import DocumentTable
 from sparkweave.sinks.files import write_any
 from sparkweave.sinks.tables import VersionedTable, append_to_table, create_table_if_absent
 from sparkweave.sources import jdbc
@@ -503,6 +504,22 @@ def masked_read_owner(spark, d):
     return masked_view(table(spark, d, "customer"), _policy(spark), "customer", principal="owner")
 
 
+@register("document_table_public", f"""
+    select c_custkey, substr(c_name, 1, 2) || '*****' as c_name, c_nationkey, c_acctbal,
+           {LAST4_SQL.format(c='c_mktsegment')} as c_mktsegment
+    from customer""")
+def document_table_public(spark, d):
+    """Customers added to a document table, masks set through the table's
+    policy, read back by a public (masked) reader."""
+    c = table(spark, d, "customer")
+    t = DocumentTable(spark, fresh_path(spark, "q/doc_table"), name="customer", key="c_custkey")
+    t.create(c.schema)
+    t.add(c)
+    for col, mask in CUSTOMER_POLICY:
+        t.set_mask(col, mask)
+    return t.read("public")
+
+
 @register("tenant_scope", """
     select * from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)""")
 def q_tenant_scope(spark, d):

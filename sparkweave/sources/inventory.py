@@ -81,3 +81,23 @@ def read_inventory(spark: SparkSession, root: str, recursive: bool = True) -> Da
     register(spark)
     return (spark.read.format("sw_inventory").option("path", root)
             .option("recursive", str(recursive).lower()).load())
+
+
+def listing(inventory: DataFrame, folder: str = "") -> DataFrame:
+    """One folder level, ``ls``-like: name, size, mtime as 'MMM dd HH:mm'.
+    Sub-folders appear once with the total size of the files below them."""
+    from pyspark.sql import functions as F
+    prefix = folder.rstrip("/") + "/" if folder else ""
+    rel = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
+    sel = inventory.where(F.col("path").startswith(prefix)) if prefix else inventory
+    name = F.regexp_extract(rel, r"^([^/]+)", 1)
+    return (sel.groupBy(name.alias("name"))
+               .agg(F.sum("length").alias("size"), F.max("modified").alias("modified"),
+                    (F.max(F.instr(rel, "/")) > 0).alias("is_dir"))
+               .withColumn("mtime", F.date_format("modified", "MMM dd HH:mm")))
+
+
+def list_tables(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """Tables of a catalog database as a DataFrame (name, database, type)."""
+    rows = [(t.name, t.database, t.tableType) for t in spark.catalog.listTables(database)]
+    return spark.createDataFrame(rows, "name string, database string, type string")
