@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkweave.operators.joins import broadcast_if_small
+from sparkweave.session import shared_root
 
 
 def allocate_ids(df: DataFrame, id_col: str = "id", start: int = 1,
@@ -30,16 +31,24 @@ def allocate_ids(df: DataFrame, id_col: str = "id", start: int = 1,
       if an executor is lost in between.
     """
     group_cols = list(group_cols or [])
-    staged = df.orderBy(*order_by) if order_by else df
+    if order_by:
+        # A unique tie-break lets the range partitioner split a value shared
+        # by many rows over several tasks instead of one.
+        staged = df.withColumn("_tb", F.monotonically_increasing_id()).orderBy(*order_by, "_tb").drop("_tb")
+    else:
+        staged = df
     staged = staged.withColumn("_pid", F.spark_partition_id()).withColumn("_pos", F.monotonically_increasing_id())
     if group_cols:
         # Rows of one (partition, group) become contiguous; positions are recomputed after the sort.
         staged = (staged.sortWithinPartitions(*group_cols, "_pos")
                   .withColumn("_pos", F.monotonically_increasing_id()))
     if freeze:
+        shared_root(df.sparkSession)  # checkpoint dir from spark.checkpoint.dir
         staged = staged.checkpoint(eager=True)
 
     counts = staged.groupBy(*group_cols, "_pid").agg(F.min("_pos").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # The count table has one row per (group, input partition); a window over
+    # it is small even without group columns.
     w = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_base", F.coalesce(F.sum("_n").over(w), F.lit(0)))
     if starts is not None and group_cols:

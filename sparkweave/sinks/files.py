@@ -34,6 +34,19 @@ def write_any(df: DataFrame, path: str, fmt: str, mode: str = "overwrite",
         w.options(**options).parquet(path)
 
 
+def put_object(df: DataFrame, bucket: str, name: str, content_type: str, mode: str = "overwrite") -> str:
+    """Write ``df`` as ``<bucket>/<name>.<suffix>`` in the format named by a
+    content type; unknown content types are rejected.  Missing buckets
+    (folders) are created by the writer.  Returns the written path."""
+    by_type = {v: k for k, v in CONTENT_TYPES.items()}
+    if content_type not in by_type:
+        raise ValueError(f"Unsupported content type: {content_type}")
+    fmt = by_type[content_type]
+    path = f"{bucket.rstrip('/')}/{name}.{fmt}"
+    write_any(df, path, fmt, mode=mode)
+    return path
+
+
 def choose_output(refined: DataFrame, source: DataFrame) -> DataFrame:
     """The refined frame if it has rows, else the source (one-row probe)."""
     return refined if not refined.isEmpty() else source

@@ -36,3 +36,13 @@ def test_null_group(spark):
     df = spark.createDataFrame([(None,), (None,), ("x",)], "g string")
     out = sorted((r["g"] or "", r["n"]) for r in allocate_ids(df, "n", start=1, group_cols=["g"]).collect())
     assert out == [("", 1), ("", 2), ("x", 1)]
+
+
+def test_order_by_with_heavy_ties_is_split(spark):
+    df = spark.range(0, 6000, numPartitions=6).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"))
+    out = allocate_ids(df, "id", start=1, order_by=["k"])
+    got = [(r["k"], r["id"]) for r in out.collect()]
+    assert sorted(i for _, i in got) == list(range(1, 6001))
+    ordered = sorted(got, key=lambda x: x[1])
+    assert [k for k, _ in ordered] == sorted(k for k, _ in got)   # ids follow the key order

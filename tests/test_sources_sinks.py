@@ -4,7 +4,7 @@ import uuid
 
 import pytest
 
-from sparkweave.sinks.files import choose_output, write_any, write_refined
+from sparkweave.sinks.files import choose_output, put_object, write_any, write_refined
 from sparkweave.operators.refine import EtlSpec
 from sparkweave.sinks.tables import append_to_table, create_table_if_absent
 from sparkweave.sources import jdbc
@@ -78,3 +78,13 @@ def test_catalog_table_append(spark, tmp):
     assert sorted(tuple(r) for r in spark.table(name).collect()) == [(1, "a"), (2, None)]
     with pytest.raises(ValueError):
         append_to_table(spark.createDataFrame([(3, 1)], "id int, nope int"), name)
+
+
+def test_put_object(spark, tmp):
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    p = put_object(df, f"{tmp}/newbucket", "users", "application/octet-stream")
+    assert p.endswith("users.parquet") and read_any(spark, p).count() == 1
+    p = put_object(df, f"{tmp}/newbucket", "users", "application/json")
+    assert read_any(spark, p, schema=df.schema).first()["v"] == "a"
+    with pytest.raises(ValueError):
+        put_object(df, tmp, "x", "text/html")
