@@ -74,6 +74,11 @@ class InventorySource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
+    # Ship the reader classes by value: executors need not have this package.
+    import sys
+
+    from pyspark import cloudpickle
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     spark.dataSource.register(InventorySource)
 
 
