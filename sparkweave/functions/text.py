@@ -22,3 +22,14 @@ def contains_term(c: Column, term: str | Column) -> Column:
     """Case-insensitive substring test."""
     t = term if isinstance(term, Column) else F.lit(term)
     return F.lower(c).contains(F.lower(t))
+
+
+def new_id() -> Column:
+    """Random 32-hex-digit key (a UUID without dashes); differs per run."""
+    return F.regexp_replace(F.expr("uuid()"), "-", "")
+
+
+def content_id(*cols: Column | str) -> Column:
+    """Repeatable 64-hex-digit key from the row content (SHA-256 of the
+    JSON of the given columns): replays produce the same key."""
+    return F.sha2(F.to_json(F.struct(*cols)), 256)

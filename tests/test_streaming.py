@@ -66,3 +66,20 @@ def test_cdc_landing_idempotent(spark, tmp, local_tmp):
     batch([("insert", 6, t, 4, "e", t)])
     land_changes(spark, changes, row, out)
     assert read_landed(spark, out, row).count() == 4
+
+
+def test_monitor_processing_time(spark, tmp):
+    from sparkweave.sinks.tables import VersionedTable
+    from sparkweave.streaming.monitor import accumulate
+    schema = "timestamp long, logicalsize long, maxoffset long, minoffsetacrossconsumers long"
+    inbox = f"{tmp}/in"
+    spark.createDataFrame([(1, 100, 4, 2)], schema).write.mode("append").parquet(inbox)
+    series = VersionedTable(spark, f"{tmp}/series")
+    q = accumulate(spark.readStream.schema(schema).parquet(inbox), series, f"{tmp}/ckpt", processing_time="1 second")
+    try:
+        q.processAllAvailable()
+        spark.createDataFrame([(2, 200, 9, 5)], schema).write.mode("append").parquet(inbox)
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sorted(r["maxoffset"] for r in series.read().collect()) == [4, 9]
