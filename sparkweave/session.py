@@ -40,6 +40,24 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def cluster_defaults(input_bytes: int, cores: int, split_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of input on ``cores``
+    executor cores: file splits of ``split_bytes``, enough shuffle partitions
+    that each holds about one split (AQE coalesces small ones and splits
+    skewed ones at run time), broadcast only below 64 MB."""
+    shuffle = max(cores * 2, input_bytes // split_bytes)
+    return {
+        "spark.sql.files.maxPartitionBytes": str(split_bytes),
+        "spark.sql.shuffle.partitions": str(shuffle),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(split_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def shared_root(spark: SparkSession) -> str:
     """Root of the shared work folder (``spark.checkpoint.dir``).
 

@@ -34,7 +34,7 @@ def land_batch(batch: DataFrame, batch_id: int, out_root: str, row_cols: list[st
         inserts.write.mode("overwrite").options(**JSON_OPTIONS).json(f"{out_root}/json/batch={batch_id}")
         (batch.where(F.col("op") != "insert").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
               .write.mode("overwrite").parquet(f"{out_root}/ignored/batch={batch_id}"))
-        if table is not None:
+        if table is not None and not inserts.isEmpty():
             table.append(inserts, batch_id=f"cdc-{batch_id}")
     finally:
         batch.unpersist()
