@@ -27,7 +27,7 @@ from sparkweave.plans.lifecycle import ingest_refine_write
 from sparkweave.session import fresh_path
 from sparkweave.sinks.documents import DocumentTable
 from sparkweave.sinks.files import write_any
-from sparkweave.sinks.tables import VersionedTable, append_to_table, create_table_if_absent
+from sparkweave.sinks.tables import VersionedTable, append_to_table, create_table_if_absent, merge_into_table
 from sparkweave.sources import jdbc
 from sparkweave.sources.files import read_any, read_parquet
 from sparkweave.sources.inventory import read_inventory
@@ -356,6 +356,22 @@ def upsert_merge(spark, d):
     return t.read()
 
 
+@register("table_merge", """
+    select * from orders where o_orderdate < timestamp '1998-01-01'
+    union all
+    select * replace ('X' as o_orderstatus) from orders where o_orderdate >= timestamp '1998-01-01'""")
+def table_merge(spark, d):
+    """The same merge against a catalog table: SQL MERGE where the format
+    supports it, else a new snapshot and an atomic location swap."""
+    o = table(spark, d, "orders")
+    name = f"sw_orders_{uuid.uuid4().hex[:10]}"
+    create_table_if_absent(spark, name, o.schema, "parquet", location=fresh_path(spark, "q/table_merge"))
+    append_to_table(o.where(F.col("o_orderdate") < ntz("1999-01-01")), name)
+    merge_into_table(o.where(F.col("o_orderdate") >= ntz("1998-01-01")).withColumn("o_orderstatus", F.lit("X")),
+                     name, "o_orderkey", fresh_path(spark, "q/table_merge"))
+    return spark.table(name)
+
+
 @register("insert_or_replace_latest", """
     select * from events qualify row_number() over (partition by user_id order by event_id desc) = 1""")
 def insert_or_replace_latest(spark, d):

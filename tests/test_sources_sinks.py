@@ -88,3 +88,14 @@ def test_put_object(spark, tmp):
     assert read_any(spark, p, schema=df.schema).first()["v"] == "a"
     with pytest.raises(ValueError):
         put_object(df, tmp, "x", "text/html")
+
+
+def test_merge_into_file_table_swaps_location(spark, tmp):
+    from sparkweave.sinks.tables import merge_into_table
+    name = f"sw_m_{uuid.uuid4().hex[:8]}"
+    create_table_if_absent(spark, name, "_id int, v string", "parquet", location=f"{tmp}/v0")
+    append_to_table(spark.createDataFrame([(1, "a"), (2, "b")], "_id int, v string"), name)
+    how = merge_into_table(spark.createDataFrame([(2, "B", 1), (2, "BB", 2), (3, "c", 1)], "_id int, v string, s int")
+                           .select("_id", "v", "s"), name, "_id", f"{tmp}/v1", order="s")
+    assert how == "swap"
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == [(1, "a"), (2, "BB"), (3, "c")]
