@@ -3,8 +3,9 @@
 ``spark.read.format("sw_inventory").option("path", root).load()`` lists every
 file below ``root`` as ``(path, length, modified)``, with ``path`` relative
 to the root.  Unlike the ``binaryFile`` source it keeps hidden and
-zero-length files.  Listing is split into one input partition per child
-folder, so wide trees are listed in parallel on the executors.
+zero-length files.  Listing is split into one input partition per folder
+down to ``splitDepth`` levels (default 2), so wide trees - and one big
+top-level folder - are listed in parallel on the executors.
 
 Paths go through ``pyarrow.fs`` (local, HDFS, S3 URIs).
 """
@@ -38,15 +39,30 @@ class _Reader(DataSourceReader):
     def __init__(self, options):
         self.root = options["path"]
         self.recursive = options.get("recursive", "true").lower() == "true"
+        self.split_depth = max(1, int(options.get("splitDepth", "2")))
 
     def partitions(self):
+        """One partition for the root's own files, then one per folder down
+        to ``split_depth`` levels (each also lists its own files), and one
+        recursive partition per folder at the last level."""
         from pyarrow import fs as pafs
         filesystem, root = _fs(self.root)
-        parts = [_Part("", False)]  # files directly under the root
-        if self.recursive:
-            for info in filesystem.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
-                if info.type == pafs.FileType.Directory:
-                    parts.append(_Part(info.base_name, True))
+        parts = [_Part("", False)]
+        if not self.recursive:
+            return parts
+        frontier = [""]
+        for level in range(1, self.split_depth + 1):
+            nxt = []
+            for sub in frontier:
+                base = f"{root}/{sub}" if sub else root
+                for info in filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
+                    if info.type == pafs.FileType.Directory:
+                        rel = f"{sub}/{info.base_name}" if sub else info.base_name
+                        last = level == self.split_depth
+                        parts.append(_Part(rel, last))
+                        if not last:
+                            nxt.append(rel)
+            frontier = nxt
         return parts
 
     def read(self, partition):
@@ -82,10 +98,12 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(InventorySource)
 
 
-def read_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+def read_inventory(spark: SparkSession, root: str, recursive: bool = True, split_depth: int = 2) -> DataFrame:
+    """Files below ``root``; listing is split into one task per folder down
+    to ``split_depth`` levels."""
     register(spark)
     return (spark.read.format("sw_inventory").option("path", root)
-            .option("recursive", str(recursive).lower()).load())
+            .option("recursive", str(recursive).lower()).option("splitDepth", str(split_depth)).load())
 
 
 def listing(inventory: DataFrame, folder: str = "") -> DataFrame:

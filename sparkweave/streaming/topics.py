@@ -100,6 +100,7 @@ class FileTopic:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
         stream = reader.parquet(self.log_path)
         if topic:
+            # Partition filter: other topics' files are listed but never read.
             stream = stream.where(F.col("topic") == topic)
 
         def deliver(batch: DataFrame, batch_id: int) -> None:

@@ -50,8 +50,10 @@ def test_inventory_counts_hidden_and_empty(spark, local_tmp):
                       ("users.csv", b"12345"), ("top", b"")]:
         with open(f"{local_tmp}/{rel}", "wb") as f:
             f.write(data)
-    inv = {r["path"]: r["length"] for r in read_inventory(spark, local_tmp).collect()}
-    assert inv == {"users/a.csv": 3, "users/.hidden": 1, "users/sub/empty": 0, "users.csv": 5, "top": 0}
+    want = {"users/a.csv": 3, "users/.hidden": 1, "users/sub/empty": 0, "users.csv": 5, "top": 0}
+    for depth in (1, 2, 3):
+        rows = read_inventory(spark, local_tmp, split_depth=depth).collect()
+        assert len(rows) == len(want) and {r["path"]: r["length"] for r in rows} == want   # each file once
 
 
 def test_jdbc_identity_roundtrip(spark):
