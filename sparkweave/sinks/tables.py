@@ -154,9 +154,8 @@ class VersionedTable:
 
     def _write_bucketed(self, df: DataFrame, keys: list[str], prev: dict | None) -> list[dict]:
         data_dir = self._new_dir(prev)
-        (df.withColumn("_bucket", self._bucket(keys)).repartition("_bucket")
-           .write.mode("errorifexists").partitionBy("_bucket").format(self.fmt)
-           .options(**({"header": "true"} if self.fmt == "csv" else {})).save(data_dir))
+        write_any(df.withColumn("_bucket", self._bucket(keys)).repartition("_bucket"), data_dir, self.fmt,
+                  mode="errorifexists", partition_by=["_bucket"])
         schema = df.schema.json()
         return [{"dir": f"{data_dir}/{name}", "schema": schema, "bucket": int(name.split("=", 1)[1])}
                 for name in fs.list_names(self.spark, data_dir) if name.startswith("_bucket=")]

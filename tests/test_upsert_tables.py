@@ -109,3 +109,14 @@ def test_upsert_rewrites_only_touched_buckets(spark, tmp):
     cur = {r["_id"]: r["v"] for r in t.read().collect()}
     assert len(cur) == 2002 and cur[9000] == 10
     assert all(p["bucket"] is not None for p in t.manifest()["parts"])
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv"])
+def test_text_format_tables_keep_microseconds(spark, tmp, fmt):
+    import datetime as dt
+    t = VersionedTable(spark, tmp, fmt=fmt, buckets=4)
+    ts = dt.datetime(2024, 1, 1, 1, 2, 3, 456789)
+    t.upsert(spark.createDataFrame([(1, ts), (2, ts)], "_id int, at timestamp_ntz"), "_id")
+    t.upsert(spark.createDataFrame([(2, ts + dt.timedelta(microseconds=1))], "_id int, at timestamp_ntz"), "_id")
+    got = {r["_id"]: r["at"] for r in t.read().collect()}
+    assert got == {1: ts, 2: ts + dt.timedelta(microseconds=1)}
