@@ -61,6 +61,9 @@ def allocate_ids(df: DataFrame, id_col: str = "id", start: int = 1,
     keys = [*group_cols, "_pid"]
     counts = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
                            "_first", (F.col("_start") + F.col("_base")).alias("_b"))
+    # Small (one row per group and input partition): keep it so the size
+    # check and the join do not compute it twice.
+    counts = counts.persist()
     cond = [staged[k].eqNullSafe(counts[f"_k{i}"]) for i, k in enumerate(keys)]
     out = staged.join(broadcast_if_small(counts), cond, "inner")
     return out.select(*[staged[c] for c in df.columns],
