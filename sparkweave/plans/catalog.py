@@ -304,6 +304,17 @@ def topic_produce(spark, d):
                                          F.min("m").alias("min_offset"))
 
 
+@register("topic_monitor", """
+    select event_type as topic, count(*) as published, count(*) as consumed from events group by event_type""")
+def topic_monitor(spark, d):
+    """Topic statistics from the log and the committed positions of a
+    consumer group that has read everything: consumed equals published."""
+    topic = _events_topic(spark, d)
+    topic.consume("monitor-group")
+    per_part = topic.stats()
+    return per_part.groupBy("topic").agg(F.sum("published").alias("published"), F.sum("consumed").alias("consumed"))
+
+
 @register("topic_consume", "select * from events")
 def topic_consume(spark, d):
     """Publish events, consume them with a new group (bounded stream), decode."""
