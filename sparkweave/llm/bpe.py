@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -23,10 +24,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkweave.llm.common import CACHE_ENTRIES, map_slices, texts
+from sparkweave.llm.common import Cache, map_slices, texts
 from sparkweave.llm.pretokens import SPECIAL, pieces, pretokens, vocabulary_path
 
 _NEVER = 1 << 60
+#: Characters beyond which a piece isn't remembered.
+LONG = 64
 
 
 def byte_characters() -> dict[str, int]:
@@ -47,8 +50,6 @@ class TrieEncoder:
         raw = lambda s: bytes(chars[c] for c in s)
         self.ids = {raw(s): i for s, i in model["vocab"].items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.ends: dict[bytes, int] = self.ids
-        self.longest = max(map(len, self.ids))
         size = max([*self.ids.values(), *self.special.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for b, i in self.ids.items():
@@ -63,6 +64,12 @@ class TrieEncoder:
             self.rank.setdefault(pair, r)
             made.setdefault(self.ids[a + b], (*pair, r))
         self.made = made
+        # Tokens that no merge makes never come out of BPE, but single bytes.
+        self.ends = {b: i for b, i in self.ids.items() if len(b) == 1 or i in made}
+        self.longest: dict[bytes, int] = {}  # of the tokens with the same last three bytes
+        for b in self.ends:
+            if len(b) > 2:
+                self.longest[b[-3:]] = max(len(b), self.longest.get(b[-3:], 0))
         self.right_edge = lru_cache(None)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(None)(lambda t: self._edge(t, 0))
         self.fits: dict[tuple[int, int], bool] = {}
@@ -100,7 +107,7 @@ class TrieEncoder:
 
     def encode_sorted(self, distinct: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) for sorted distinct words; state is shared along prefixes."""
-        ends, fits, stays = self.ends, self.fits, self.stays_cut
+        ends, longest, fits, stays = self.ends, self.longest, self.fits, self.stays_cut
         if len(fits) > 2_000_000:
             fits.clear()
         last: list[int] = [-1]  # last[i]: last token of path[:i]
@@ -114,7 +121,8 @@ class TrieEncoder:
                 common += 1
             del last[common + 1:], size[common + 1:]
             for end in range(common + 1, len(word) + 1):
-                for start in range(max(0, end - self.longest), end):
+                most = longest.get(word[end - 3:end], 2) if end > 2 else 2
+                for start in range(max(0, end - most), end):
                     token = ends.get(word[start:end])
                     if token is None:
                         continue
@@ -125,7 +133,7 @@ class TrieEncoder:
                         before = fits.get(pair)
                         if before is None:
                             before = fits[pair] = stays(*pair)
-                    if before and self._whole(token, end - start):
+                    if before:
                         last.append(token)
                         size.append(end - start)
                         break
@@ -136,10 +144,6 @@ class TrieEncoder:
                 at -= size[at]
             yield word, ids[::-1]
 
-    def _whole(self, token: int, length: int) -> bool:
-        """Tokens that no merge makes never come out of BPE, but single bytes."""
-        return length == 1 or token in self.made
-
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the decoded text; bytes that are no UTF-8 become U+FFFD."""
         out = b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -147,27 +151,41 @@ class TrieEncoder:
 
 
 class TextEncoder:
-    """Encodes whole texts; remembers the ids of pieces."""
+    """Encodes whole texts; remembers the ids of short pieces and pre-tokens."""
 
     def __init__(self, file: str):
         self.trie = TrieEncoder(file)
-        self.known: dict[str, bytes] = {}
+        self.pieces, self.words = Cache(), Cache()
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [pieces(x) for x in documents]
-        known = self.known
-        if len(known) > CACHE_ENTRIES:
-            known.clear()
-        new = {p: pretokens(p) for p in {p for x in cut for p in x} if p not in known}
-        found = {s: np.array([i], "<u4").tobytes() for s, i in self.trie.special.items()}
-        distinct = sorted({w.encode() for ws in new.values() for w in ws if w != SPECIAL})
-        found |= {w.decode(): np.array(ids, "<u4").tobytes() for w, ids in self.trie.encode_sorted(distinct)}
-        long = {}
+        here = dict.fromkeys(p for x in cut for p in x)
+        new = {}
+        for p in here:
+            if self.pieces.known(p):
+                here[p] = self.pieces[p]
+            else:
+                new[p] = pretokens(p)
+        found = dict.fromkeys(w for ws in new.values() for w in ws)
+        fresh = []
+        for w in found:
+            if w in self.trie.special:
+                found[w] = np.array([self.trie.special[w]], "<u4").tobytes()
+            elif self.words.known(w):
+                found[w] = self.words[w]
+            else:
+                fresh.append(w.encode())
+        for word, ids in self.trie.encode_sorted(sorted(fresh)):
+            w = word.decode()
+            found[w] = struct.pack(f"<{len(ids)}I", *ids)
+            if len(w) <= LONG:
+                self.words.put(w, found[w])
         for p, ws in new.items():
-            (known if len(p) <= 64 else long)[p] = b"".join([found[w] for w in ws])
-        get = lambda p: known[p] if p in known else long[p]
-        return [b"".join([get(p) if len(p) > 64 else known[p] for p in x]) for x in cut]
+            here[p] = b"".join([found[w] for w in ws])
+            if len(p) <= LONG:
+                self.pieces.put(p, here[p])
+        return [b"".join([here[p] for p in x]) for x in cut]
 
 
 @lru_cache(2)

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from sparkweave.session import fresh_path
 
-#: Rows of a record batch that a Python task turns into objects at a time.
-SLICE_ROWS = 256
+#: What a Python task turns into objects at a time: rows, and bytes on average.
+SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
 #: Entries a worker's word cache may hold before it is emptied (memory bound only).
 CACHE_ENTRIES = 300_000
 
@@ -45,10 +45,11 @@ def fold(doc_id: Column | str, k: int) -> Column:
 
 
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Record batches cut to at most ``SLICE_ROWS`` rows."""
+    """Record batches cut to at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES``."""
     for batch in batches:
-        for at in range(0, batch.num_rows, SLICE_ROWS):
-            yield batch.slice(at, SLICE_ROWS)
+        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def arrow_schema(spark_schema: str) -> pa.Schema:
@@ -71,17 +72,34 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
 
 
 class Cache(dict):
-    """Dictionary that computes a missing entry and empties itself when full."""
+    """Dictionary that computes a missing entry.  When it is full, its entries
+    become the older half, from which those still in use are taken back."""
 
-    def __init__(self, make: Callable, limit: int = CACHE_ENTRIES):
+    def __init__(self, make: Callable | None = None, limit: int = CACHE_ENTRIES // 2):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.older = make, limit, {}
 
     def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self.put(key, value)
+        return value
+
+    def known(self, key) -> bool:
+        """Whether ``key`` needs no computing; takes it back from the older half."""
+        if key in self:
+            return True
+        if (value := self.older.get(key)) is None:
+            return False
+        self[key] = value
+        return True
+
+    def put(self, key, value) -> None:
         if len(self) >= self.limit:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
-        return value
+        self[key] = value
 
 
 def words(text: str) -> list[bytes]:
