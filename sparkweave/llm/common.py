@@ -8,6 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkweave.session import fresh_path
 
@@ -55,9 +56,8 @@ def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def arrow_schema(spark_schema: str) -> pa.Schema:
     """Arrow schema of a flat DDL string."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
 
-    return to_arrow_schema(_parse_datatype_string(spark_schema))
+    return to_arrow_schema(T._parse_datatype_string(spark_schema))
 
 
 def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
@@ -71,6 +71,21 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str, *more: str) -> DataFrame:
+    """``df`` with columns made from its ``text`` (null: empty) and the columns
+    ``more``; ``make`` is called once a task and gives the function for lists."""
+    new, out = arrow_schema(schema), T.StructType(df.schema.fields + T._parse_datatype_string(schema).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fn = make()
+        for b in slices(batches):
+            columns = fn([x or "" for x in b["text"].to_pylist()], *[b[c].to_pylist() for c in more])
+            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(columns[f.name], f.type) for f in new]],
+                                             names=[*b.schema.names, *new.names])
+
+    return df.mapInArrow(run, out)
+
+
 class Cache(dict):
     """Dictionary that computes a missing entry.  When it is full, its entries
     become the older half, from which those still in use are taken back."""

@@ -5,32 +5,52 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, packing, pii, token_counts
-from sparkweave.llm.common import table
+from sparkweave.llm import bpe, fingerprints, minhash_dedup, packing, pii, quality, token_counts, toxicity
+from sparkweave.llm.common import fold, table
+
+
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), "byte_bpe_50k.json")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    lexicon = toxicity.learn(docs, labels, rows=fold("doc_id", 5) != 0)
+    return toxicity.with_scores(docs.select("doc_id", "text"), lexicon).select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"),
+        F.col("__predicted").alias("predicted"), F.col("__matches").alias("n_matches"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", limit=512)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
+    machine = quality.train(docs, labels, rows=fold("doc_id", 3) != 1)
+    return quality.with_scores(docs.select("doc_id", "text"), machine).select(
+        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_report(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), "word_bpe_49k.json", capacity=4096)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_bpe_round_trip": op2_bpe_round_trip,
-    "op4_token_counts": op4_token_counts,
-    "op8_pii": op8_pii,
-    "op10_packing": op10_packing,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_minhash_dedup, op2_bpe_round_trip, op3_toxicity, op4_token_counts, op5_quality, op8_pii, op9_fingerprints, op10_packing)}
 
 ORACLE: dict[str, str] = {}
