@@ -28,6 +28,7 @@ from sparkweave.llm.common import Cache, map_slices, texts
 from sparkweave.llm.pretokens import SPECIAL, pieces, pretokens, vocabulary_path
 
 _NEVER = 1 << 60
+_SHORT = (2, 1)
 #: Characters beyond which a piece isn't remembered.
 LONG = 64
 
@@ -66,10 +67,11 @@ class TrieEncoder:
         self.made = made
         # Tokens that no merge makes never come out of BPE, but single bytes.
         self.ends = {b: i for b, i in self.ids.items() if len(b) == 1 or i in made}
-        self.longest: dict[bytes, int] = {}  # of the tokens with the same last three bytes
+        lengths: dict[bytes, set[int]] = {}  # of the tokens with the same last three bytes
         for b in self.ends:
             if len(b) > 2:
-                self.longest[b[-3:]] = max(len(b), self.longest.get(b[-3:], 0))
+                lengths.setdefault(b[-3:], {1, 2}).add(len(b))
+        self.lengths = {b: tuple(sorted(n, reverse=True)) for b, n in lengths.items()}
         self.right_edge = lru_cache(None)(lambda t: self._edge(t, 1))
         self.left_edge = lru_cache(None)(lambda t: self._edge(t, 0))
         self.fits: dict[tuple[int, int], bool] = {}
@@ -107,7 +109,7 @@ class TrieEncoder:
 
     def encode_sorted(self, distinct: list[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """(word, ids) for sorted distinct words; state is shared along prefixes."""
-        ends, longest, fits, stays = self.ends, self.longest, self.fits, self.stays_cut
+        ends, lengths, fits, stays = self.ends, self.lengths, self.fits, self.stays_cut
         if len(fits) > 2_000_000:
             fits.clear()
         last: list[int] = [-1]  # last[i]: last token of path[:i]
@@ -121,9 +123,9 @@ class TrieEncoder:
                 common += 1
             del last[common + 1:], size[common + 1:]
             for end in range(common + 1, len(word) + 1):
-                most = longest.get(word[end - 3:end], 2) if end > 2 else 2
-                for start in range(max(0, end - most), end):
-                    token = ends.get(word[start:end])
+                for length in lengths.get(word[end - 3:end], _SHORT) if end > 2 else _SHORT:
+                    start = end - length
+                    token = ends.get(word[start:end]) if start >= 0 else None
                     if token is None:
                         continue
                     if not start:
@@ -135,7 +137,7 @@ class TrieEncoder:
                             before = fits[pair] = stays(*pair)
                     if before:
                         last.append(token)
-                        size.append(end - start)
+                        size.append(length)
                         break
             path = word
             ids, at = [], len(word)

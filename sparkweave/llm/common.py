@@ -71,6 +71,23 @@ def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(run, schema)
 
 
+def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict]:
+    """Column lists of each run of rows with the same keys (sorted input)."""
+    names, rows, last = None, [], None
+    for b in batches:
+        names = b.schema.names
+        at = [names.index(k) for k in keys]
+        for row in zip(*[b[c].to_pylist() for c in names]):
+            key = tuple(row[i] for i in at)
+            if rows and key != last:
+                yield dict(zip(names, zip(*rows)))
+                rows = []
+            rows.append(row)
+            last = key
+    if rows:
+        yield dict(zip(names, zip(*rows)))
+
+
 def append_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schema: str, *more: str) -> DataFrame:
     """``df`` with columns made from its ``text`` (null: empty) and the columns
     ``more``; ``make`` is called once a task and gives the function for lists."""

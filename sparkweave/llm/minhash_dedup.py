@@ -22,15 +22,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import map_slices, materialise, texts, word_hash, words
+from sparkweave.llm.common import map_slices, materialise, runs, texts, word_hash, words
 from sparkweave.llm.components import Forest, components
 
 SHINGLE, THRESHOLD = 5, 80  # words; per cent
@@ -124,26 +121,9 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return map_slices(rows, run, "row long, doc_id long, n_shingles long, digest binary, registers binary")
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict]:
-    """Column lists of each run of rows with the same keys (sorted input)."""
-    names, rows, last = None, [], None
-    for b in batches:
-        names = b.schema.names
-        at = [names.index(k) for k in keys]
-        for row in zip(*[b[c].to_pylist() for c in names]):
-            key = tuple(row[i] for i in at)
-            if rows and key != last:
-                yield dict(zip(names, zip(*rows)))
-                rows = []
-            rows.append(row)
-            last = key
-    if rows:
-        yield dict(zip(names, zip(*rows)))
-
-
 def _links_of_blocks(k: int, threshold: int):
     def run(batches):
-        for g in _grouped(batches, ("cluster", "i", "j")):
+        for g in runs(batches, ("cluster", "i", "j")):
             nodes: dict[int, tuple] = {}
             for node, digest, block, regs, text in zip(g["node"], g["digest"], g["block"], g["registers"], g["text"]):
                 if node not in nodes:  # several rows may carry the document's id: the one with its set is it

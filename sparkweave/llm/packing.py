@@ -11,6 +11,7 @@ packed again across groups until one group holds all of it.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from functools import lru_cache
@@ -35,13 +36,14 @@ class WordIds:
     encodes each distinct word between white space, in lower case, once."""
 
     def __init__(self, file: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
         self.words = Cache()
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch(parts, add_special_tokens=False)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
