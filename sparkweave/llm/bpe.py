@@ -19,18 +19,17 @@ import json
 import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkweave.llm.common import Cache, map_slices, texts
+from sparkweave.llm.common import CACHE_ENTRIES, Cache, joined, map_slices, texts
 from sparkweave.llm.pretokens import SPECIAL, pieces, pretokens, vocabulary_path
 
 _NEVER = 1 << 60
 _SHORT = (2, 1)
-#: Characters beyond which a piece isn't remembered.
-LONG = 64
 
 
 def byte_characters() -> dict[str, int]:
@@ -157,37 +156,22 @@ class TextEncoder:
 
     def __init__(self, file: str):
         self.trie = TrieEncoder(file)
-        self.pieces, self.words = Cache(), Cache()
+        self.pieces, self.words = Cache(self._of_pieces), Cache(self._of_words, CACHE_ENTRIES // 2)
+
+    def _of_words(self, distinct: list[str]) -> list[bytes]:
+        known = {w: struct.pack("<I", i) for w, i in self.trie.special.items()}
+        for word, ids in self.trie.encode_sorted(sorted(w.encode() for w in distinct if w not in known)):
+            known[word.decode()] = struct.pack(f"<{len(ids)}I", *ids)
+        return [known[w] for w in distinct]
+
+    def _of_pieces(self, distinct: list[str]) -> list[bytes]:
+        cut = list(map(pretokens, distinct))
+        return joined(cut, self.words.lookup([w for ws in cut for w in ws]))
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [pieces(x) for x in documents]
-        here = dict.fromkeys(p for x in cut for p in x)
-        new = {}
-        for p in here:
-            if self.pieces.known(p):
-                here[p] = self.pieces[p]
-            else:
-                new[p] = pretokens(p)
-        found = dict.fromkeys(w for ws in new.values() for w in ws)
-        fresh = []
-        for w in found:
-            if w in self.trie.special:
-                found[w] = np.array([self.trie.special[w]], "<u4").tobytes()
-            elif self.words.known(w):
-                found[w] = self.words[w]
-            else:
-                fresh.append(w.encode())
-        for word, ids in self.trie.encode_sorted(sorted(fresh)):
-            w = word.decode()
-            found[w] = struct.pack(f"<{len(ids)}I", *ids)
-            if len(w) <= LONG:
-                self.words.put(w, found[w])
-        for p, ws in new.items():
-            here[p] = b"".join([found[w] for w in ws])
-            if len(p) <= LONG:
-                self.pieces.put(p, here[p])
-        return [b"".join([here[p] for p in x]) for x in cut]
+        cut = list(map(pieces, documents))
+        return joined(cut, self.pieces.lookup(list(chain.from_iterable(cut))))
 
 
 @lru_cache(2)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -14,8 +16,8 @@ from sparkweave.session import fresh_path
 
 #: What a Python task turns into objects at a time: rows, and bytes on average.
 SLICE_ROWS, SLICE_BYTES = 1024, 4 << 20
-#: Entries a worker's word cache may hold before it is emptied (memory bound only).
-CACHE_ENTRIES = 300_000
+#: Entries in each half of a worker's cache (a bound of memory only).
+CACHE_ENTRIES = 400_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -60,13 +62,25 @@ def arrow_schema(spark_schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(spark_schema))
 
 
+@contextlib.contextmanager
+def without_cycles() -> Iterator[None]:
+    """Python's search for reference cycles is off: these tasks make none, and
+    their caches are long to search."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
     """``mapInArrow`` for a generator that takes slices and yields column dicts."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in fn(slices(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        with without_cycles():
+            for columns in fn(slices(batches)):
+                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
 
@@ -103,35 +117,37 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schem
     return df.mapInArrow(run, out)
 
 
-class Cache(dict):
-    """Dictionary that computes a missing entry.  When it is full, its entries
-    become the older half, from which those still in use are taken back."""
-
-    def __init__(self, make: Callable | None = None, limit: int = CACHE_ENTRIES // 2):
-        super().__init__()
-        self.make, self.limit, self.older = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.older.get(key)
-        if value is None:
-            value = self.make(key)
-        self.put(key, value)
-        return value
-
-    def known(self, key) -> bool:
-        """Whether ``key`` needs no computing; takes it back from the older half."""
-        if key in self:
-            return True
-        if (value := self.older.get(key)) is None:
-            return False
-        self[key] = value
-        return True
-
-    def put(self, key, value) -> None:
-        if len(self) >= self.limit:
-            self.older = dict(self)
-            self.clear()
-        self[key] = value
+class Cache:
+    """What a worker remembers of strings.  When it is full, its entries become
+    the older half, from which those still in use are taken back."""
+
+    def __init__(self, make: Callable[[list[str]], Iterable], limit: int = CACHE_ENTRIES, longest: int = 64):
+        self.make, self.limit, self.longest = make, limit, longest
+        self.younger: dict = {}
+        self.older: dict = {}
+
+    def lookup(self, keys: list[str]) -> list:
+        """Values of ``keys``; those that are missing are made together."""
+        found = list(map(self.younger.get, keys))
+        missing = {k for k, v in zip(keys, found) if v is None}
+        if not missing:
+            return found
+        here = {k: v for k in missing if (v := self.older.get(k)) is not None}
+        new = [k for k in missing if k not in here]
+        here.update(zip(new, self.make(new)))
+        if len(self.younger) + len(here) > self.limit:
+            self.older, self.younger = self.younger, {}
+        self.younger.update((k, v) for k, v in here.items() if len(k) <= self.longest)
+        return [here[k] if v is None else v for k, v in zip(keys, found)]
+
+
+def joined(parts: list[list[str]], values: list[bytes]) -> list[bytes]:
+    """The values of each list's strings, put together."""
+    out, at = [], 0
+    for p in parts:
+        out.append(b"".join(values[at:at + len(p)]))
+        at += len(p)
+    return out
 
 
 def words(text: str) -> list[bytes]:

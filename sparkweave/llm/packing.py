@@ -13,53 +13,57 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import Cache, map_slices, materialise, texts
+from sparkweave.llm.common import CACHE_ENTRIES, Cache, joined, map_slices, materialise, texts
 from sparkweave.llm.pretokens import vocabulary_path
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2048
 
 #: Outside these characters, words between white space might not be normalised
 #: on their own as they are in a text; such texts go to the library whole.
-_UNSAFE = re.compile("[^\x00-ɏ]|[\x1c-\x1fİ]")
+_UNSAFE = re.compile("[^\x00-ɏ]|İ")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
+
+
+_SIGNS = frozenset(".,;:!?")
 
 
 class WordIds:
     """Ids of whole texts for a vocabulary that drops white space: the library
-    encodes each distinct word between white space, in lower case, once."""
+    encodes each distinct word between white space, in lower case, once.  Of a
+    word of letters and one last sign, the letters are looked up on their own:
+    the vocabulary's pattern cuts there."""
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.words = Cache()
+        self.words, self.letters = Cache(self._of_words), Cache(self._ids, CACHE_ENTRIES // 2)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        return [struct.pack(f"<{len(ids)}I", *ids) for x in self.tok.encode_batch_fast(parts, add_special_tokens=False) for ids in (x.ids,)]
+
+    def _of_words(self, distinct: list[str]) -> list[bytes]:
+        cut = [[w[:-1], w[-1]] if w[-1] in _SIGNS and w[:-1].isalpha() else [w] for w in distinct]
+        return joined(cut, self.letters.lookup(list(chain.from_iterable(cut))))
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [None if _UNSAFE.search(x) else x.lower().split() for x in documents]
-        whole = [x for x, ws in zip(documents, cut) if ws is None]
-        whole_ids = iter(self._ids(whole))
-        here = dict.fromkeys(w for ws in cut if ws for w in ws)
-        new = [w for w in here if not self.words.known(w)]
-        for w in here:
-            if w in self.words:
-                here[w] = self.words[w]
-        for w, ids in zip(new, self._ids(new)):
-            here[w] = ids
-            if len(w) <= 64:
-                self.words.put(w, ids)
-        return [next(whole_ids) if ws is None else b"".join([here[w] for w in ws]) for ws in cut]
+        unsafe = [any(c in x for c in _SEPARATORS) or not x.isascii() and bool(_UNSAFE.search(x)) for x in documents]
+        cut = [[] if u else x.lower().split() for x, u in zip(documents, unsafe)]
+        safe_ids = joined(cut, self.words.lookup(list(chain.from_iterable(cut))))
+        whole_ids = iter(self._ids([x for x, u in zip(documents, unsafe) if u]))
+        return [next(whole_ids) if u else ids for ids, u in zip(safe_ids, unsafe)]
 
 
 @lru_cache(2)
