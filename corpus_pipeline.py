@@ -1,20 +1,66 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and reread.
+
+Quality classifier (rejected documents go), toxicity (rejected documents go),
+near-duplicates (one document of each group stays), personal data (spans are
+replaced by their kind), packing (the result: the pieces of all documents and
+their places in sequences).  Every stage works on all that the one before kept
+and returns the columns of documents, but the last.
+
+Nulls and empty texts are documents like others; repeated rows of a document
+are one group of near-duplicates, of which one stays; an empty table stays one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkweave.llm import minhash_dedup, packing, pii, quality, toxicity
+from sparkweave.llm.common import fold, materialise, table
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    machine = quality.train(docs, table(spark, sf_dir, "labels"), rows=fold("doc_id", 3) != 1)
+    return quality.with_scores(docs, machine).filter("__predicted = 1").select(*docs.columns)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity lexicon accepts."""
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), rows=fold("doc_id", 5) != 0)
+    return toxicity.with_scores(docs, lexicon).filter("__predicted = 0").select(*docs.columns)
+
 
-STAGES: list = []
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8)."""
+    return minhash_dedup.representatives(docs)
 
-#: SQL cannot express the learned filters.
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without their personal data."""
+    return pii.redact(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("packing", pack),
+]
+
+#: SQL cannot express the learned stages nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of ``sf_dir``."""
-    from sparkweave.llm.common import materialise
-
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

@@ -106,8 +106,9 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
-def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """``row``, ``doc_id``, ``n_shingles``, ``digest`` of the set and ``registers``."""
+def sketch(docs: DataFrame, k: int = SHINGLE, row: str | None = None) -> DataFrame:
+    """``row`` (the column named, or a number), ``doc_id``, ``n_shingles``,
+    ``digest`` of the set and ``registers``."""
     multipliers = _multipliers(ROWS * BANDS)
 
     def run(batches):
@@ -117,7 +118,8 @@ def sketch(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                    "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                    "registers": [registers(s, multipliers).tobytes() if len(s) else None for s in sets]}
 
-    rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), number.alias("row"))
     return map_slices(rows, run, "row long, doc_id long, n_shingles long, digest binary, registers binary")
 
 
@@ -151,16 +153,9 @@ def _links_of_blocks(k: int, threshold: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
-
-    Linked are rows of which 100 times the common shingles reach ``threshold``
-    times all shingles of both.  A null, empty or blank text has no shingles
-    and is linked with nothing.  Repeated rows are rows of one component and
-    each reported; a component's id is its smallest doc_id, nulls apart (null
-    where all are null, and then the row is kept).  Extra columns are ignored;
-    an empty table gives no rows; texts are taken whole."""
-    rows = materialise(sketch(docs, k), "sketch")
+def _labelled(docs: DataFrame, rows: DataFrame, k: int, threshold: int) -> DataFrame:
+    """``digest``, ``node`` (the class's first row), ``root`` (the component's
+    smallest node) and ``component_id`` of every class of the sketched rows."""
     classes = materialise(
         rows.filter("n_shingles > 0").groupBy("digest")
         .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("doc_id"),
@@ -188,7 +183,36 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
 
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = named.select("digest", "root").join(least, "root").select("digest", "component_id")
+    return named.select("digest", "node", "root").join(least, "root")
+
+
+def near_duplicates(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """``doc_id``, ``n_shingles``, ``component_id`` and ``kept`` of every row.
+
+    Linked are rows of which 100 times the common shingles reach ``threshold``
+    times all shingles of both.  A null, empty or blank text has no shingles
+    and is linked with nothing.  Repeated rows are rows of one component and
+    each reported; a component's id is its smallest doc_id, nulls apart (null
+    where all are null, and then the row is kept).  Extra columns are ignored;
+    an empty table gives no rows; texts are taken whole."""
+    rows = materialise(sketch(docs, k), "sketch")
+    label = _labelled(docs, rows, k, threshold).select("digest", "component_id")
     out = rows.select("doc_id", "n_shingles", "digest").join(label, "digest", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def representatives(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` with all their columns: of each component of
+    near-duplicates one row stays, the first with the component's id.
+
+    Rows without shingles (null, empty or blank texts) all stay.  Where all ids
+    of a component are null, its first row stays."""
+    numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    rows = materialise(sketch(numbered, k, "__row"), "sketch")
+    label = _labelled(numbered, rows, k, threshold)
+    named = rows.select("row", "doc_id", "digest").join(label.select("digest", "root", "component_id"), "digest")
+    first = (named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+             .groupBy("root").agg(F.min("row").alias("__kept")).select("__kept"))
+    blank = rows.filter("n_shingles = 0").select(F.col("row").alias("__kept"))
+    return numbered.join(first.union(blank), F.col("__row") == F.col("__kept"), "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkweave.llm import bpe, fingerprints, minhash_dedup, packing, pii, quality, token_counts, toxicity
+from sparkweave.llm import bpe, embedding_dedup, fingerprints, hpylm, minhash_dedup, packing, pii, quality, token_counts, toxicity
 from sparkweave.llm.common import fold, table
 
 
@@ -38,6 +38,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hpylm.scores(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_report(table(spark, sf_dir, "documents"))
 
@@ -51,6 +59,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_minhash_dedup, op2_bpe_round_trip, op3_toxicity, op4_token_counts, op5_quality, op8_pii, op9_fingerprints, op10_packing)}
+    op1_minhash_dedup, op2_bpe_round_trip, op3_toxicity, op4_token_counts, op5_quality, op6_embedding_dedup,
+    op7_language_model, op8_pii, op9_fingerprints, op10_packing)}
 
 ORACLE: dict[str, str] = {}
