@@ -32,9 +32,7 @@ CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2048
 #: on their own as they are in a text; such texts go to the library whole.
 _UNSAFE = re.compile("[^\x00-ɏ]|İ")
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
-
-
-_SIGNS = frozenset(".,;:!?")
+_SIGNS, _PART = frozenset(".,;:!?"), "1"
 
 
 class WordIds:
@@ -48,11 +46,26 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.words, self.letters = Cache(self._of_words), Cache(self._ids, CACHE_ENTRIES // 2)
+        self.words, self.letters = Cache(self._of_words), Cache(self._of_letters, CACHE_ENTRIES // 2)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for x in self.tok.encode_batch_fast(parts, add_special_tokens=False) for ids in (x.ids,)]
 
+    def _of_letters(self, distinct: list[str]) -> list[bytes]:
+        """Words of letters go to the library in lines, parted by a digit: its id
+        is in no word's ids."""
+        plain = [w for w in distinct if w.isalpha()]
+        lines = [f" {_PART} ".join([*plain[i:i + 100], ""]) for i in range(0, len(plain), 100)]
+        (part,) = struct.unpack("<I", self._ids([_PART])[0])
+        found = []
+        for raw in self._ids(lines):
+            ends = np.flatnonzero(np.frombuffer(raw, "<u4") == part) * 4
+            found += [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())]
+        known = dict(zip(plain, found, strict=True))
+        other = [w for w in distinct if w not in known]
+        known.update(zip(other, self._ids(other)))
+        return [known[w] for w in distinct]
+
     def _of_words(self, distinct: list[str]) -> list[bytes]:
         cut = [[w[:-1], w[-1]] if w[-1] in _SIGNS and w[:-1].isalpha() else [w] for w in distinct]
         return joined(cut, self.letters.lookup(list(chain.from_iterable(cut))))
