@@ -8,6 +8,9 @@ writers.
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -39,17 +42,31 @@ def list_names(spark: SparkSession, path: str, dirs_only: bool = False) -> list[
 def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> bool:
     """Create a small text file; returns False if it exists and not ``overwrite``.
 
-    ``create(path, overwrite=False)`` fails when the file exists, which makes
-    the marker an atomic "first writer wins" commit on HDFS and local disks.
+    The text is written to a file of its own first and renamed, so a reader
+    never sees half of it.  Where renaming is atomic (HDFS, local disks) the
+    first writer wins; an object store needs a table format with a catalog.
     """
     fs, p = _fs_and_path(spark, path)
     if fs.exists(p) and not overwrite:
         return False
-    out = fs.create(p, overwrite)
+    jvm = spark.sparkContext._jvm
+    part = jvm.org.apache.hadoop.fs.Path(p.getParent(), f"_{p.getName()}.{uuid.uuid4().hex}.tmp")
+    out = fs.create(part, False)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:
         out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.OVERWRITE if overwrite else kind.NONE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        context.rename(fs.makeQualified(part), fs.makeQualified(p), options)
+    except Py4JJavaError as e:
+        fs.delete(part, False)
+        if "FileAlreadyExists" in str(e.java_exception.getClass().getName()):
+            return False
+        raise
     return True
 
 

@@ -96,6 +96,6 @@ def search_terms(df: DataFrame, terms: list[str], text_col: str = "text",
     whose text contains a term, case-insensitively: one output row per
     (row, matching term) with a ``term`` column.  The whole text is searched."""
     keep = keep or [c for c in df.columns if c != text_col]
-    lowered = df.where(compile_where(where)).select(*keep, F.lower(F.col(text_col)).alias("_t"))
-    exploded = lowered.select(*keep, "_t", F.explode(F.array(*[F.lit(t.lower()) for t in terms])).alias("term"))
-    return exploded.where(F.col("_t").contains(F.col("term"))).select(*keep, "term")
+    text = F.lower(F.col(text_col))
+    found = F.filter(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: text.contains(t))
+    return df.where(compile_where(where)).select(*keep, F.explode(found).alias("term"))

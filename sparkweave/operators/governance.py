@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.functions.masks import MASKS, apply_mask
-from sparkweave.operators.joins import broadcast_if_small
 
 POLICY_SCHEMA = "table string, column string, mask string"
 
@@ -60,10 +59,9 @@ def tenant_scope(df: DataFrame, grants: DataFrame, principal: str, tenant_col: s
     """Rows of ``df`` whose tenant the principal may access (semi join).
 
     ``grants``: principal, tenant, can_read, can_write.  A principal without
-    a grant sees nothing.  The allowed-tenant list is broadcast only after
-    its size is checked.
+    a grant sees nothing.  Spark broadcasts the allowed tenants below its size
+    threshold and shuffles beyond it.
     """
     allowed = (grants.where((F.col("principal") == principal) & F.col(access))
                      .select(F.col(grant_tenant_col).alias("_tenant")).distinct())
-    allowed = broadcast_if_small(allowed)
     return df.join(allowed, df[tenant_col] == allowed["_tenant"], "left_semi")

@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.operators.joins import broadcast_if_small
 from sparkweave.session import shared_root
 
 
@@ -65,6 +64,6 @@ def allocate_ids(df: DataFrame, id_col: str = "id", start: int = 1,
     # check and the join do not compute it twice.
     counts = counts.persist()
     cond = [staged[k].eqNullSafe(counts[f"_k{i}"]) for i, k in enumerate(keys)]
-    out = staged.join(broadcast_if_small(counts), cond, "inner")
+    out = staged.join(counts, cond, "inner")
     return out.select(*[staged[c] for c in df.columns],
                       (F.col("_b") + F.col("_pos") - F.col("_first")).alias(id_col))

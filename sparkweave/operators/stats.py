@@ -61,7 +61,8 @@ def topic_stats(log: DataFrame, commits: DataFrame | None = None, topic_col: str
                 value_col: str = "value") -> DataFrame:
     """Per topic (and partition): size in KB (bytes / 1000), published =
     max offset + 1, consumed = the slowest group's position (last committed
-    offset + 1), when ``commits`` (group, topic, partition, offset) is given."""
+    offset + 1; 0 where no group has read), when ``commits`` (group, topic,
+    partition, offset) is given."""
     keys = [topic_col] + ([partition_col] if partition_col else [])
     stats = log.groupBy(*keys).agg(
         (F.coalesce(F.sum(F.octet_length(F.col(value_col))), F.lit(0)) / F.lit(1000.0)).alias("size_kb"),
@@ -70,29 +71,26 @@ def topic_stats(log: DataFrame, commits: DataFrame | None = None, topic_col: str
         return stats
     consumed = (commits.groupBy(*keys, "group").agg((F.max(offset_col) + 1).alias("_o"))
                 .groupBy(*keys).agg(F.min("_o").alias("consumed")))
-    return stats.join(consumed, keys, "left")
+    return stats.join(consumed, keys, "left").withColumn("consumed", F.coalesce("consumed", F.lit(0).cast("bigint")))
 
 
-def _scalar(df: DataFrame, expr: Column):
-    return df.agg(expr.alias("v")).first()["v"]
-
-
-def _ts_literal(value, dtype) -> Column:
-    return F.lit(value.isoformat(sep=" ")).cast(dtype)
+def _since(df: DataFrame, ts_col: str, back: _dt.timedelta, now: _dt.datetime | None) -> DataFrame:
+    """Rows of the last ``back`` before ``now`` (wall clock of the session's
+    zone) or before the newest row.  The newest timestamp is a scalar subquery:
+    it never becomes a Python value, so the driver's zone does not matter."""
+    span = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(back.total_seconds()))
+    dtype = df.schema[ts_col].dataType
+    newest = F.lit(now.isoformat(sep=" ")).cast(dtype) if now is not None else df.agg(F.max(ts_col)).scalar()
+    bound = newest - span
+    return df.where((F.col(ts_col) >= bound) | newest.isNull())
 
 
 def retention(df: DataFrame, ts_col: str, seconds: int = 86_400, now: _dt.datetime | None = None) -> DataFrame:
     """Rows not older than ``seconds`` before ``now`` (default: newest row).
 
-    The newest timestamp is one scalar aggregate; the bound then goes into a
-    literal filter that Catalyst pushes into the Parquet scan.
+    All rows stay if no row has a timestamp.
     """
-    if now is None:
-        now = _scalar(df, F.max(ts_col))
-        if now is None:
-            return df
-    bound = now - _dt.timedelta(seconds=seconds)
-    return df.where(F.col(ts_col) >= _ts_literal(bound, df.schema[ts_col].dataType))
+    return _since(df, ts_col, _dt.timedelta(seconds=seconds), now)
 
 
 _UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
@@ -120,11 +118,7 @@ def downsample(df: DataFrame, ts_col: str, value_col: str, every: str = "15 minu
     """
     group_cols = group_cols or []
     if start is not None:
-        if now is None:
-            now = _scalar(df, F.max(ts_col))
-        if now is not None:
-            bound = now - parse_relative(start)
-            df = df.where(F.col(ts_col) >= _ts_literal(bound, df.schema[ts_col].dataType))
+        df = _since(df, ts_col, parse_relative(start), now)
     if aggregator == "none":
         return df.select(F.col(ts_col).alias("bucket"), *group_cols, F.col(value_col).alias("value"))
     spec = {"value": aggregator} if isinstance(aggregator, str) else aggregator
@@ -135,13 +129,21 @@ def downsample(df: DataFrame, ts_col: str, value_col: str, every: str = "15 minu
     return (df.groupBy(F.window(ts_col, every).start.alias("bucket"), *group_cols).agg(*aggs))
 
 
-def metric_snapshot(raw: DataFrame, response_ms: int | Column | None = None) -> DataFrame:
+def metric_snapshot_columns(response_ms: int | Column | None = None) -> list[Column]:
     """Topic-info rows -> chart rows: ``timestamp`` (epoch ms of the response,
     default the row's own), ``Size (KB)`` = logicalsize / 1000,
     ``Published`` = maxoffset + 1, ``Consumed`` = minoffsetacrossconsumers."""
     ts = (F.lit(response_ms) if isinstance(response_ms, int) else response_ms) if response_ms is not None \
         else F.col("timestamp")
-    return raw.select(F.timestamp_millis(ts.cast("long")).alias("timestamp"),
-                      (F.col("logicalsize") / F.lit(1000.0)).alias("size_kb"),
-                      (F.col("maxoffset") + 1).alias("published"),
-                      F.col("minoffsetacrossconsumers").alias("consumed"))
+    return [F.timestamp_millis(ts.cast("long")).alias("timestamp"), (F.col("logicalsize") / F.lit(1000.0)).alias("size_kb"),
+            (F.col("maxoffset") + 1).alias("published"), F.col("minoffsetacrossconsumers").alias("consumed")]
+
+
+def metric_snapshot(raw: DataFrame, response_ms: int | Column | None = None) -> DataFrame:
+    """The chart rows of a poll (see ``metric_snapshot_columns``)."""
+    return raw.select(*metric_snapshot_columns(response_ms))
+
+
+def epoch_seconds(seconds: Column) -> Column:
+    """Epoch seconds -> timestamp (the shape of metric query points)."""
+    return F.timestamp_seconds(seconds)

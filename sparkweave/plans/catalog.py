@@ -26,7 +26,7 @@ from sparkweave.operators.refine import EtlSpec, refine
 from sparkweave.plans.lifecycle import ingest_refine_write
 from sparkweave.session import fresh_path
 from sparkweave.sinks.documents import DocumentTable
-from sparkweave.sinks.files import write_any
+from sparkweave.sinks.files import choose_output, put_object, write_any
 from sparkweave.sinks.tables import VersionedTable, append_to_table, create_table_if_absent, merge_into_table
 from sparkweave.sources import jdbc
 from sparkweave.sources.files import read_any, read_parquet
@@ -114,6 +114,19 @@ def json_decode(spark, d):
     return valid
 
 
+@register("json_quarantine", """
+    select event_id, case when event_id % 14 = 0 then props || ' trailing' else substr(props, 1, length(props) - 1) end as raw
+    from events where event_id % 7 = 0""")
+def json_quarantine(spark, d):
+    """Every seventh message is broken (cut short, or followed by more text):
+    exactly those reach the quarantine, as they came."""
+    from sparkweave.functions.json import decode_json
+    broken = (F.when(F.col("event_id") % 14 == 0, F.concat("props", F.lit(" trailing")))
+              .when(F.col("event_id") % 7 == 0, F.expr("substr(props, 1, length(props) - 1)")).otherwise(F.col("props")))
+    messages = table(spark, d, "events").select("event_id", broken.alias("props"))
+    return decode_json(messages, "props", T.StructType([T.StructField("k", T.IntegerType())]), keep=["event_id"])[1]
+
+
 # ------------------------------------------------------- landed API responses
 
 @register("flatten_nested", """
@@ -170,7 +183,9 @@ def flatten_search(spark, d):
 # ------------------------------------------------------------ document queries
 
 @register("search_terms", """
-    select doc_id, lang, source, n_chars, 'oil' as term from documents where contains(lower(text), 'oil')""")
+    select doc_id, lang, source, n_chars, term
+    from documents, unnest(['missile', 'earthquake', 'tsunami', 'oil', 'flood', 'iraq', 'syria']) t(term)
+    where contains(lower(text), term)""")
 def q_search_terms(spark, d):
     return docs.search_terms(table(spark, d, "documents"), docs.DEFAULT_SEARCH_TERMS)
 
@@ -258,6 +273,14 @@ def topic_retention(spark, d):
     return stats.retention(table(spark, d, "events"), "ts", 86_400)
 
 
+@register("topic_retention_instants", """
+    select event_id from events where ts >= (select max(ts) from events) - interval 10800 seconds""")
+def topic_retention_instants(spark, d):
+    """Retention over a column of instants (not wall-clock times)."""
+    e = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return stats.retention(e, "ts", 10_800).select("event_id")
+
+
 @register("metric_downsample", """
     select time_bucket(interval '15 minutes', ts) as bucket, event_type, count(value) as n,
            min(value) as lo, max(value) as hi
@@ -304,6 +327,49 @@ def topic_produce(spark, d):
                                          F.min("m").alias("min_offset"))
 
 
+@register("topic_lag", """
+    select event_type as topic, count(*) + 1 as published,
+           case when event_type = (select min(event_type) from events) then count(*) else 0 end as consumed
+    from events group by event_type""")
+def topic_lag(spark, d):
+    """Consumer lag: one group reads one topic, then one more message arrives in
+    every topic; topics that no group has read are at 0."""
+    topic = _events_topic(spark, d)
+    names = table(spark, d, "events").select("event_type").distinct()
+    first = names.agg(F.min("event_type")).first()[0]
+    topic.consume("lag-group", first)
+    topic.produce(names, topic=F.col("event_type"), key="event_type")
+    return topic.stats().groupBy("topic").agg(F.sum("published").alias("published"), F.sum("consumed").alias("consumed"))
+
+
+@register("metric_monitor", """
+    select ts_ms, event_type, size_kb, published, consumed from (
+      select epoch_us(max(ts)) // 1000 as ts_ms, event_type, cast(sum(strlen(props)) as bigint) / 1000.0::double as size_kb,
+             max(event_id) + 1 as published, min(event_id) as consumed
+      from events group by event_type)""")
+def metric_monitor(spark, d):
+    """The monitor as one flow: topic-info polls land as files (one per topic),
+    a stream turns each into chart rows and appends them to the series."""
+    e = table(spark, d, "events")
+    info = e.groupBy("event_type").agg(
+        F.unix_millis(F.max("ts").cast("timestamp")).alias("timestamp"), F.sum(F.octet_length("props")).alias("logicalsize"),
+        F.max("event_id").alias("maxoffset"), F.min("event_id").alias("minoffsetacrossconsumers"))
+    inbox = fresh_path(spark, "q/metric_polls")
+    info.repartition("event_type").write.parquet(inbox)
+    polls = spark.readStream.schema(info.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+    series = VersionedTable(spark, fresh_path(spark, "q/metric_series"))
+    accumulate(polls.select("event_type", *stats.metric_snapshot_columns()), series, fresh_path(spark, "q/metric_ckpt"))
+    return series.read().select(F.unix_millis("timestamp").alias("ts_ms"), "event_type", "size_kb", "published", "consumed")
+
+
+@register("epoch_seconds", """
+    select event_id, epoch_us(ts) // 1000000 as s, make_timestamp((epoch_us(ts) // 1000000) * 1000000) as at from events""")
+def q_epoch_seconds(spark, d):
+    """Epoch seconds of a metric point back to a timestamp."""
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").select("event_id", seconds.alias("s"), stats.epoch_seconds(seconds).cast("timestamp_ntz").alias("at"))
+
+
 @register("topic_monitor", """
     select event_type as topic, count(*) as published, count(*) as consumed from events group by event_type""")
 def topic_monitor(spark, d):
@@ -383,6 +449,36 @@ def table_merge(spark, d):
     return spark.table(name)
 
 
+@register("table_merge_partitioned", """
+    select * replace (case when o_orderkey % 10 = 0 then 'X' else o_orderstatus end as o_orderstatus) from orders
+    union all
+    select o_orderkey + 10000000, * exclude (o_orderkey) replace ('Y' as o_orderstatus) from orders where o_orderkey % 100 = 1""")
+def table_merge_partitioned(spark, d):
+    """A merge into a catalog table partitioned by order status: matched rows
+    move to another partition, new rows open one more."""
+    o = table(spark, d, "orders")
+    name = f"sw_part_{uuid.uuid4().hex[:10]}"
+    (o.write.format("parquet").partitionBy("o_orderstatus").option("path", fresh_path(spark, "q/table_merge_part")).saveAsTable(name))
+    moved = o.where("o_orderkey % 10 = 0").withColumn("o_orderstatus", F.lit("X"))
+    added = (o.where("o_orderkey % 100 = 1").withColumn("o_orderkey", (F.col("o_orderkey") + 10_000_000).cast(o.schema["o_orderkey"].dataType))
+             .withColumn("o_orderstatus", F.lit("Y")))
+    merge_into_table(moved.unionByName(added), name, "o_orderkey", fresh_path(spark, "q/table_merge_part_staged"))
+    return spark.table(name).select(*o.columns)
+
+
+@register("upsert_null_order", """
+    select user_id, event_id, value from events
+    qualify row_number() over (partition by user_id order by case when event_id % 3 = 0 then null else event_id end desc nulls last,
+                               event_id desc) = 1""")
+def upsert_null_order(spark, d):
+    """Latest event per user where a third of the order values is NULL: a NULL
+    is older than any other; among NULLs only, the second column decides."""
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    t = VersionedTable(spark, fresh_path(spark, "q/null_order"))
+    t.upsert(e.withColumn("seq", F.when(F.col("event_id") % 3 != 0, F.col("event_id"))), key="user_id", order=["seq", "event_id"])
+    return t.read().drop("seq")
+
+
 @register("insert_or_replace_latest", """
     select * from events qualify row_number() over (partition by user_id order by event_id desc) = 1""")
 def insert_or_replace_latest(spark, d):
@@ -405,11 +501,11 @@ def schema_merge_append(spark, d):
 
 @register("csv_accumulate", "select * from supplier union all select * from supplier")
 def csv_accumulate(spark, d):
-    """Existing CSV + new rows -> a new CSV version (never overwrite the input)."""
+    """Existing CSV + new rows: a part is added, old rows are not rewritten."""
     s = table(spark, d, "supplier")
     t = VersionedTable(spark, fresh_path(spark, "q/customers_csv"), fmt="csv")
     t.overwrite(s)
-    t.overwrite(t.read().unionByName(s))
+    t.append(s)
     return t.read()
 
 
@@ -452,7 +548,22 @@ def csv_multiline_roundtrip(spark, d):
     dd = table(spark, d, "documents")
     p = fresh_path(spark, "q/csv_text")
     write_any(dd, p, "csv")
-    return read_any(spark, p, "csv", dd.schema)
+    return read_any(spark, p, "csv", dd.schema, multi_line=True)
+
+
+@register("csv_lossless", """
+    select doc_id, chr(32) || chr(32) || source || chr(32) as padded, case when doc_id % 3 = 0 then '' when doc_id % 3 = 1 then null else lang end as note,
+           chr(10) || source as first_line
+    from documents""")
+def csv_lossless(spark, d):
+    """White space, empty strings, NULLs and leading newlines through CSV."""
+    dd = table(spark, d, "documents")
+    note = F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 2, F.col("lang"))
+    rows = dd.select("doc_id", F.concat(F.lit("  "), "source", F.lit(" ")).alias("padded"), note.alias("note"),
+                     F.concat(F.lit("\n"), "source").alias("first_line"))
+    p = fresh_path(spark, "q/csv_lossless")
+    write_any(rows, p, "csv")
+    return read_any(spark, p, "csv", rows.schema, multi_line=True)
 
 
 @register("parquet_roundtrip", "select * from lineitem")
@@ -542,11 +653,49 @@ def document_table_public(spark, d):
     t = DocumentTable(spark, fresh_path(spark, "q/doc_table"), name="customer", key="c_custkey")
     t.create(c.schema)
     t.add(c)
-    for col, mask in CUSTOMER_POLICY:
-        t.set_mask(col, mask)
+    t.set_masks(dict(CUSTOMER_POLICY))
     return t.read("public")
 
 
+@register("policy_masks", """
+    select * from (values ('c_mktsegment', 'last4'), ('c_name', 'first2')) t("column", mask)
+    where (select count(*) from customer) > 0""")
+def policy_masks(spark, d):
+    """The masks of a document table, listed."""
+    c = table(spark, d, "customer")
+    t = DocumentTable(spark, fresh_path(spark, "q/doc_masks"), name="customer", key="c_custkey")
+    t.create(c.schema)
+    t.insert(c)
+    t.set_masks(dict(CUSTOMER_POLICY))
+    return t.get_masks()
+
+
+@register("document_insert", "select * from customer")
+def document_insert(spark, d):
+    """Two plain inserts of different documents; the owner reads them all."""
+    c = table(spark, d, "customer")
+    t = DocumentTable(spark, fresh_path(spark, "q/doc_insert"), name="customer", key="c_custkey")
+    t.create(c.schema)
+    t.insert(c.where("c_custkey % 2 = 0"))
+    t.insert(c.where("c_custkey % 2 = 1"))
+    return t.read("owner")
+
+
+@register("put_object", "select * from supplier")
+def q_put_object(spark, d):
+    """Each content type's writer, read back by suffix; an empty refinement
+    falls back to the source."""
+    s = table(spark, d, "supplier")
+    bucket = fresh_path(spark, "q/bucket")
+    third = F.pmod("s_suppkey", F.lit(3))
+    out = None
+    for i, kind in enumerate(("text/csv", "application/json", "application/octet-stream")):
+        part = s.where(third == i)
+        back = read_any(spark, put_object(choose_output(part.limit(0), part), bucket, f"part{i}", kind), schema=s.schema)
+        out = back if out is None else out.unionByName(back)
+    return out
+
+
 @register("tenant_scope", """
     select * from customer where c_nationkey in (select n_nationkey from nation where n_regionkey = 1)""")
 def q_tenant_scope(spark, d):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from sparkweave.operators import documents as q
+from sparkweave.operators.upsert import check_keys
 from sparkweave.operators.governance import POLICY_SCHEMA, masked_view, set_mask
 from sparkweave.sinks.tables import VersionedTable
 
@@ -46,6 +47,16 @@ class DocumentTable:
 
     upsert = add
 
+    def insert(self, docs: DataFrame, batch_id: str | None = None) -> int:
+        """Insert new documents; a key that is NULL, repeated or stored already
+        is refused, and then nothing is written."""
+        if batch_id is not None and self.data.has_batch(batch_id):
+            return self.data.latest()
+        check_keys(docs, self.key, unique=True)
+        if self.data.latest() is not None and not docs.join(self.data.read().select(self.key), self.key, "left_semi").isEmpty():
+            raise ValueError(f"documents with a stored {self.key!r}")
+        return self.data.append(docs, batch_id=batch_id)
+
     # ---- policy -----------------------------------------------------------
     def policy(self) -> DataFrame:
         return self.policy_table.read(schema=T._parse_datatype_string(POLICY_SCHEMA))
@@ -54,6 +65,14 @@ class DocumentTable:
         cols = self.data.schema().fieldNames() if self.data.latest() is not None else None
         self.policy_table.overwrite(set_mask(self.policy(), self.name, column, mask, columns=cols).coalesce(1))
 
+    def set_masks(self, masks: dict[str, str]) -> None:
+        """Set several masks in one commit."""
+        cols = self.data.schema().fieldNames() if self.data.latest() is not None else None
+        policy = self.policy()
+        for column, mask in masks.items():
+            policy = set_mask(policy, self.name, column, mask, columns=cols)
+        self.policy_table.overwrite(policy.coalesce(1))
+
     def get_masks(self) -> DataFrame:
         return self.policy().select("column", "mask")
 

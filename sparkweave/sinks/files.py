@@ -27,7 +27,7 @@ def write_any(df: DataFrame, path: str, fmt: str, mode: str = "overwrite",
     if partition_by:
         w = w.partitionBy(*partition_by)
     if fmt == "csv":
-        w.options(**{k: v for k, v in CSV_OPTIONS.items() if k != "multiLine"}).options(**options).csv(path)
+        w.options(**CSV_OPTIONS).options(**options).csv(path)
     elif fmt == "json":
         w.options(**JSON_OPTIONS).options(**options).json(path)
     else:

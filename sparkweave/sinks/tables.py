@@ -6,7 +6,8 @@ and then atomically creates a small manifest ``_commits/<n>.json`` that lists
 the data folders ("parts") of version ``n``.  Readers only see committed
 versions; a failed attempt leaves an unreferenced folder and can simply be
 retried.  A ``batch_id`` makes commits idempotent (a replayed streaming
-micro-batch is skipped; checked through a ``_batches/<id>`` marker).
+micro-batch is skipped): ``_batches/<id>`` names the version a batch was
+about to become, and that commit tells whether it did.
 
 * append: adds one part, nothing is rewritten;
 * upsert / merge: the table is kept bucketed by ``pmod(xxhash64(key), B)``.
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweave import fs
-from sparkweave.operators.upsert import append_merge, upsert
+from sparkweave.operators.upsert import upsert
 from sparkweave.sinks.files import write_any
 from sparkweave.sources.files import read_any, read_json, read_parquet
 
@@ -65,11 +66,18 @@ class VersionedTable:
         return v[-1] if v else None
 
     def manifest(self, version: int | None = None) -> dict | None:
+        """Commit of ``version`` (default latest); None if there is none.  An
+        unreadable commit is an error, never an empty table."""
         version = self.latest() if version is None else version
         if version is None:
             return None
         text = fs.read_text(self.spark, f"{self.path}/_commits/{version:08d}.json")
-        return json.loads(text) if text else None
+        if text is None:
+            return None
+        try:
+            return json.loads(text)
+        except ValueError as e:
+            raise RuntimeError(f"commit {version} of {self.path} is incomplete") from e
 
     def schema(self, version: int | None = None) -> T.StructType | None:
         m = self.manifest(version)
@@ -80,7 +88,13 @@ class VersionedTable:
         return f"{self.path}/_batches/{safe}"
 
     def has_batch(self, batch_id: str) -> bool:
-        return fs.exists(self.spark, self._batch_marker(batch_id))
+        """Whether a commit carries ``batch_id``.  The marker names the version
+        a batch was about to become; only that commit tells if it did."""
+        planned = fs.read_text(self.spark, self._batch_marker(batch_id))
+        if not planned:
+            return False
+        m = self.manifest(int(planned))
+        return m is not None and m["batch"] == batch_id
 
     # ---- read -----------------------------------------------------------
     def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
@@ -102,7 +116,7 @@ class VersionedTable:
         dirs = [p["dir"] for p in parts]
         if self.fmt == "csv":
             # CSV columns are positional: read each folder with its own schema.
-            frames = [read_any(self.spark, p["dir"], "csv", T.StructType.fromJson(json.loads(p["schema"])))
+            frames = [read_any(self.spark, p["dir"], "csv", T.StructType.fromJson(json.loads(p["schema"])), multi_line=True)
                       for p in parts]
             out = frames[0]
             for f in frames[1:]:
@@ -115,13 +129,15 @@ class VersionedTable:
 
     # ---- write ----------------------------------------------------------
     def _publish(self, prev: dict | None, parts: list[dict], schema: T.StructType, op: str,
-                 batch_id: str | None) -> int:
+                 batch_id: str | None, keys: list[str] | None = None) -> int:
         version = (prev["version"] + 1) if prev else 0
-        manifest = {"version": version, "op": op, "batch": batch_id, "parts": parts, "schema": schema.json()}
-        if not fs.write_text(self.spark, f"{self.path}/_commits/{version:08d}.json", json.dumps(manifest)):
-            raise ConcurrentCommitError(f"version {version} of {self.path} was committed by another writer")
+        bucketed = {"keys": keys, "buckets": self.buckets} if keys else {
+            k: prev.get(k) for k in ("keys", "buckets")} if prev and any(p["bucket"] is not None for p in parts) else {}
+        manifest = {"version": version, "op": op, "batch": batch_id, "parts": parts, "schema": schema.json(), **bucketed}
         if batch_id is not None:
             fs.write_text(self.spark, self._batch_marker(batch_id), str(version), overwrite=True)
+        if not fs.write_text(self.spark, f"{self.path}/_commits/{version:08d}.json", json.dumps(manifest)):
+            raise ConcurrentCommitError(f"version {version} of {self.path} was committed by another writer")
         return version
 
     def _new_dir(self, prev: dict | None) -> str:
@@ -172,11 +188,15 @@ class VersionedTable:
         if batch_id is not None and self.has_batch(batch_id):
             return self.latest()
         keys = _keys(key)
-        check_keys(df, keys)
+        check_keys(df, keys, unique=order is None)
         src = latest_per_key(df, keys, order) if order is not None else df
         prev = self.manifest()
         if prev is None:
-            return self._publish(None, self._write_bucketed(src, keys, None), src.schema, "upsert", batch_id)
+            return self._publish(None, self._write_bucketed(src, keys, None), src.schema, "upsert", batch_id, keys)
+        if prev.get("keys"):
+            if prev["keys"] != keys:
+                raise ValueError(f"{self.path} is bucketed by {prev['keys']}, not by {keys}")
+            self.buckets = prev["buckets"]  # a new count would look for old rows in other buckets
         src = src.persist()
         try:
             touched = {r[0] for r in src.select(self._bucket(keys).alias("b")).distinct().collect()}
@@ -190,7 +210,7 @@ class VersionedTable:
             new_parts = self._write_bucketed(merged, keys, prev)
         finally:
             src.unpersist()
-        return self._publish(prev, kept + new_parts, full, "upsert", batch_id)
+        return self._publish(prev, kept + new_parts, full, "upsert", batch_id, keys)
 
     merge = upsert
 
@@ -229,41 +249,71 @@ def append_to_table(df: DataFrame, name: str) -> None:
         aligned.write.insertInto(name)
 
 
+#: Providers whose tables take row-level SQL ``MERGE``.
+ROW_LEVEL = ("delta", "iceberg", "hudi")
+
+
+def _provider(spark: SparkSession, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {name}").where(F.lower("col_name") == "provider").collect()
+    return rows[0]["data_type"].lower() if rows else "parquet"
+
+
 def merge_into_table(df: DataFrame, name: str, key: str | list[str], new_location: str,
                      order: str | list[str] | None = None) -> str:
     """MERGE ``df`` into catalog table ``name`` on ``key``: matched rows are
-    replaced, others inserted.  Returns "merge" or "swap".
+    replaced, others inserted.  Returns "merge", "swap" or "partitions".
 
-    Table formats with row-level operations (Delta, Iceberg) run SQL
-    ``MERGE INTO``.  Plain file tables refuse it; for them the merged snapshot
-    is written to ``new_location`` and the table is pointed at it with
-    ``ALTER TABLE ... SET LOCATION`` (readers switch atomically; the old
-    files stay readable until removed).
-    """
-    from pyspark.errors import AnalysisException
+    The catalog names the provider.  Row-level formats run SQL ``MERGE INTO``,
+    and its errors are the caller's.  Plain file tables refuse it; the merged
+    rows are written to ``new_location`` in the table's own format:
 
+    * an unpartitioned table is then pointed there with ``ALTER TABLE ... SET
+      LOCATION`` (readers switch atomically; the old files stay until removed);
+    * of a partitioned table, only the partitions that hold a matched row or
+      get a new one are merged, and replaced by dynamic partition overwrite;
+      those that lost all their rows are dropped.
+    """
     from sparkweave.operators.upsert import _keys, check_keys, latest_per_key
     spark = df.sparkSession
     keys = _keys(key)
-    check_keys(df, keys)
+    check_keys(df, keys, unique=order is None)
     src = latest_per_key(df, keys, order) if order is not None else df
-    view = f"_sw_merge_src_{uuid.uuid4().hex[:8]}"
-    src.createOrReplaceTempView(view)
-    on = " AND ".join(f"t.`{k}` = s.`{k}`" for k in keys)
-    try:
-        spark.sql(f"MERGE INTO {name} t USING {view} s ON {on} "
-                  "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
+    provider = _provider(spark, name)
+    if provider in ROW_LEVEL:
+        view = f"_sw_merge_src_{uuid.uuid4().hex[:8]}"
+        src.createOrReplaceTempView(view)
+        on = " AND ".join(f"t.`{k}` = s.`{k}`" for k in keys)
+        try:
+            spark.sql(f"MERGE INTO {name} t USING {view} s ON {on} "
+                      "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
+        finally:
+            spark.catalog.dropTempView(view)
         return "merge"
-    except AnalysisException:
-        pass
-    except Exception as e:  # noqa: BLE001 - unsupported MERGE surfaces as a JVM error on v1 tables
-        if "MERGE" not in str(e).upper():
-            raise
-    finally:
-        spark.catalog.dropTempView(view)
     current = spark.table(name)
-    merged = upsert(current, src, keys, null_keys="ignore")
-    merged.select(*current.columns).write.mode("errorifexists").parquet(new_location)
-    spark.sql(f"ALTER TABLE {name} SET LOCATION '{new_location}'")
+    parts = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    if not parts:
+        merged = upsert(current, src, keys, null_keys="ignore").select(*current.columns)
+        merged.write.format(provider).mode("errorifexists").save(new_location)
+        spark.sql(f"ALTER TABLE {name} SET LOCATION '{new_location}'")
+        spark.catalog.refreshTable(name)
+        return "swap"
+    matched = current.join(src.select(*keys), keys, "left_semi")
+    touched = matched.select(*parts).union(src.select(*parts)).distinct().select(*[F.col(p).alias(f"_p_{p}") for p in parts])
+    same = [F.col(p).eqNullSafe(F.col(f"_p_{p}")) for p in parts]
+    merged = upsert(current.join(touched, same, "left_semi"), src, keys, null_keys="ignore").select(*current.columns)
+    merged.write.mode("errorifexists").parquet(new_location)
+    staged = spark.read.schema(current.schema).parquet(new_location)
+    emptied = (matched.select(*parts).distinct().select(*[F.col(p).alias(f"_p_{p}") for p in parts])
+               .join(staged, same, "left_anti").collect())  # of partitions, never of rows
+    mode = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")  # the write option is not heeded by insertInto
+    try:
+        staged.write.mode("overwrite").insertInto(name)
+    finally:
+        spark.conf.set(mode, before)
+    for r in emptied:
+        spec = ", ".join(f"`{p}` = " + ("null" if r[f"_p_{p}"] is None else "'" + str(r[f"_p_{p}"]).replace("'", "\\'") + "'") for p in parts)
+        spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")
     spark.catalog.refreshTable(name)
-    return "swap"
+    return "partitions"

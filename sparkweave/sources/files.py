@@ -15,8 +15,10 @@ FORMATS = {".csv": "csv", ".json": "json", ".jsonl": "json", ".ndjson": "json",
 
 CSV_OPTIONS = {
     "header": "true",
-    "multiLine": "true",     # quoted values may hold newlines
     "escape": '"',
+    "nullValue": "\\N",        # NULL; "" is an empty string, and white space stays
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
     "timestampNTZFormat": JSON_OPTIONS["timestampNTZFormat"],
     "timestampFormat": JSON_OPTIONS["timestampFormat"],
 }
@@ -32,11 +34,12 @@ def format_of(path: str) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None,
-             infer: bool = False, **options) -> DataFrame:
-    """Header CSV; quoted values may span lines.  An empty string and NULL
-    both read back as NULL (as with pandas); use Parquet or JSON when the
-    difference matters."""
-    r = spark.read.options(**CSV_OPTIONS).options(**options)
+             infer: bool = False, multi_line: bool = False, **options) -> DataFrame:
+    """Header CSV, split by size.  ``multi_line=True`` for files whose quoted
+    values span lines: those are read whole, one task per file.  An unquoted
+    empty value and ``\\N`` are NULL, a quoted empty value is the empty string
+    (so a value that is itself ``\\N`` reads as NULL)."""
+    r = spark.read.options(**CSV_OPTIONS).option("multiLine", str(multi_line).lower()).options(**options)
     if schema is not None:
         r = r.schema(schema)
     elif infer:

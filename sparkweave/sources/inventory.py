@@ -24,7 +24,8 @@ def _fs(root: str):
         return pafs.LocalFileSystem(), root.rstrip("/")
     if root.startswith("file://"):
         return pafs.LocalFileSystem(), root[len("file://"):].rstrip("/")
-    filesystem, p = pafs.FileSystem.from_uri(root)
+    scheme, rest = root.split("://", 1)
+    filesystem, p = pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else root)
     return filesystem, p.rstrip("/")
 
 
@@ -47,6 +48,8 @@ class _Reader(DataSourceReader):
         recursive partition per folder at the last level."""
         from pyarrow import fs as pafs
         filesystem, root = _fs(self.root)
+        if filesystem.get_file_info(root).type == pafs.FileType.NotFound:
+            raise FileNotFoundError(f"no such folder: {self.root}")
         parts = [_Part("", False)]
         if not self.recursive:
             return parts
@@ -106,10 +109,13 @@ def read_inventory(spark: SparkSession, root: str, recursive: bool = True, split
             .option("recursive", str(recursive).lower()).option("splitDepth", str(split_depth)).load())
 
 
-def listing(inventory: DataFrame, folder: str = "") -> DataFrame:
+def listing(inventory: DataFrame, folder: str = "", allowed: list[str] | None = None) -> DataFrame:
     """One folder level, ``ls``-like: name, size, mtime as 'MMM dd HH:mm'.
+    With ``allowed``, a folder outside those roots is refused.
     Sub-folders appear once with the total size of the files below them."""
     from pyspark.sql import functions as F
+    if allowed is not None and not any(f"{folder.strip('/')}/".startswith(f"{a.strip('/')}/") for a in allowed):
+        raise PermissionError(f"folder {folder!r} is not in the allow-list")
     prefix = folder.rstrip("/") + "/" if folder else ""
     rel = F.substring(F.col("path"), len(prefix) + 1, 1 << 30)
     sel = inventory.where(F.col("path").startswith(prefix)) if prefix else inventory

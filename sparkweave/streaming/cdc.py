@@ -41,13 +41,12 @@ def land_batch(batch: DataFrame, batch_id: int, out_root: str, row_cols: list[st
 
 
 def land_changes(spark: SparkSession, changes_path: str, row_schema: T.StructType, out_root: str,
-                 table: VersionedTable | None = None, max_files_per_trigger: int | None = None,
+                 table: VersionedTable | None = None, max_files_per_trigger: int = 1000,
                  processing_time: str | None = None):
     """Start the landing stream; with no ``processing_time`` it processes what
-    is there (availableNow) and returns when done."""
-    reader = spark.readStream.schema(change_schema(row_schema))
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    is there (availableNow) and returns when done.  A micro-batch takes at most
+    ``max_files_per_trigger`` files, also when the history is long."""
+    reader = spark.readStream.schema(change_schema(row_schema)).option("maxFilesPerTrigger", max_files_per_trigger)
     row_cols = [f.name for f in row_schema.fields]
     w = (reader.parquet(changes_path).writeStream
          .foreachBatch(lambda b, i: land_batch(b, i, out_root, row_cols, table))

@@ -9,7 +9,8 @@ window).  Consuming is a Structured Streaming query with
 a group sees every message once, a new group starts from the earliest.
 
 Delivered micro-batches are written to ``_delivered/.../batch_id=<n>`` with
-overwrite, so a batch replayed after a failure replaces its own output.
+overwrite, so a batch replayed after a failure replaces its own output, and
+``consume`` returns those above the group's last acknowledged number.
 
 With a Kafka connector on the classpath, ``kafka_produce``/``kafka_consume``
 use the same columns against a broker.
@@ -17,6 +18,8 @@ use the same columns against a broker.
 
 from __future__ import annotations
 
+from urllib.parse import quote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,11 +89,12 @@ class FileTopic:
     def consume(self, group: str, topic: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
         """Messages not yet seen by ``group`` (bounded run, availableNow).
 
-        Returns the messages delivered by this call; an empty frame when the
-        group is up to date.
+        Returns what was delivered to the group and not returned to it before;
+        an empty frame when the group is up to date.  Delivered batches are
+        found in storage, and are acknowledged by number just before the call
+        returns, so a failure on the way returns them again next time.
         """
-        sub = topic or ALL
-        base = f"group={group}/sub={sub}"
+        base = f"group={quote(group, safe='')}/sub={quote(topic or ALL, safe='')}"
         checkpoint = f"{self.root}/_checkpoints/{base}"
         delivered = f"{self.root}/_delivered/{base}"
         commits = f"{self.root}/_commits/{base}"
@@ -112,19 +116,22 @@ class FileTopic:
         q = (stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
         q.awaitTermination()
-        ids = sorted({p["batchId"] for p in q.recentProgress if p.get("numInputRows", 0) > 0})
+        acknowledged = f"{self.root}/_acknowledged/{base}"
+        last = int(fs.read_text(self.spark, acknowledged) or -1)
+        ids = sorted(i for n in fs.list_names(self.spark, delivered) if (i := int(n.split("=")[1])) > last)
         if not ids:
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        return (self.spark.read.schema(LOG_SCHEMA)
-                .parquet(*[f"{delivered}/batch_id={i}" for i in ids]))
+        found = self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{delivered}/batch_id={i}" for i in ids])
+        fs.write_text(self.spark, acknowledged, str(ids[-1]), overwrite=True)
+        return found
 
     def committed(self) -> DataFrame:
         """Committed positions: group, sub, batch_id, topic, partition, offset."""
         path = f"{self.root}/_commits"
+        schema = "topic string, partition int, offset bigint, group string, sub string, batch_id int"
         if not fs.exists(self.spark, path):
-            return self.spark.createDataFrame(
-                [], "topic string, partition int, offset bigint, group string, sub string, batch_id int")
-        return self.spark.read.parquet(path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(path)
 
     def stats(self) -> DataFrame:
         """Per topic partition: size_kb, published, consumed (slowest group)."""

@@ -28,10 +28,8 @@ def test_json_array_and_ndjson(spark, local_tmp):
 def test_csv_multiline_and_nulls(spark, tmp):
     df = spark.createDataFrame([(1, "line1\nline2", ""), (2, 'say "hi"', None)], "id int, addr string, note string")
     write_any(df, tmp, "csv")
-    back = read_any(spark, tmp, "csv", df.schema)
-    # CSV cannot keep '' apart from NULL on read (written as "" vs nothing,
-    # read back as NULL both); Parquet and JSON keep it.
-    assert sorted(tuple(r) for r in back.collect()) == [(1, "line1\nline2", None), (2, 'say "hi"', None)]
+    back = read_any(spark, tmp, "csv", df.schema, multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == [(1, "line1\nline2", ""), (2, 'say "hi"', None)]
     with pytest.raises(ValueError):
         write_any(df, tmp + "x", "xml")
 
@@ -44,6 +42,20 @@ def test_refined_sink_drops_key(spark, tmp):
     assert choose_output(empty, df) is df and choose_output(df, empty) is df
 
 
+def test_csv_keeps_white_space_and_splits(spark, tmp):
+    rows = [(1, "  lead"), (2, "trail  "), (3, ""), (4, None), (5, "\t"), (6, "a,b"), (7, '"')]
+    df = spark.createDataFrame(rows, "id int, v string")
+    write_any(df.select("v", "id"), f"{tmp}/a", "csv")
+    assert sorted((r.id, r.v) for r in read_any(spark, f"{tmp}/a", "csv", "v string, id int").collect()) == rows
+    write_any(spark.range(200_000, numPartitions=1).selectExpr("id", "repeat('x', 40) AS v"), f"{tmp}/b", "csv")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        assert read_any(spark, f"{tmp}/b", "csv", "id long, v string").rdd.getNumPartitions() > 4
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_inventory_counts_hidden_and_empty(spark, local_tmp):
     os.makedirs(f"{local_tmp}/users/sub")
     for rel, data in [("users/a.csv", b"abc"), ("users/.hidden", b"x"), ("users/sub/empty", b""),
@@ -54,6 +66,8 @@ def test_inventory_counts_hidden_and_empty(spark, local_tmp):
     for depth in (1, 2, 3):
         rows = read_inventory(spark, local_tmp, split_depth=depth).collect()
         assert len(rows) == len(want) and {r["path"]: r["length"] for r in rows} == want   # each file once
+    with pytest.raises(Exception, match="no such folder"):
+        read_inventory(spark, f"{local_tmp}/missing").count()
 
 
 def test_jdbc_identity_roundtrip(spark):
@@ -101,3 +115,22 @@ def test_merge_into_file_table_swaps_location(spark, tmp):
                            .select("_id", "v", "s"), name, "_id", f"{tmp}/v1", order="s")
     assert how == "swap"
     assert sorted(tuple(r) for r in spark.table(name).collect()) == [(1, "a"), (2, "BB"), (3, "c")]
+
+
+def test_merge_into_json_and_partitioned_tables(spark, tmp):
+    from sparkweave.sinks.tables import merge_into_table
+    new = spark.createDataFrame([(2, "NEW", "q"), (3, "c", None), (4, "d", "o'p")], "_id int, v string, p string")
+    name = f"sw_j_{uuid.uuid4().hex[:8]}"
+    create_table_if_absent(spark, name, "_id int, v string, p string", "json", location=f"{tmp}/j0")
+    append_to_table(spark.createDataFrame([(1, "a", "x"), (2, "b", "x")], "_id int, v string, p string"), name)
+    assert merge_into_table(new, name, "_id", f"{tmp}/j1") == "swap"
+    want = [(1, "a", "x"), (2, "NEW", "q"), (3, "c", None), (4, "d", "o'p")]
+    assert sorted(tuple(r) for r in spark.table(name).collect()) == want
+    name = f"sw_p_{uuid.uuid4().hex[:8]}"
+    old = [(1, "a", "x"), (2, "b", "y"), (5, "e", "z")]
+    spark.createDataFrame(old, "_id int, v string, p string").write.partitionBy("p").option("path", f"{tmp}/p0").saveAsTable(name)
+    assert merge_into_table(new, name, "_id", f"{tmp}/p1") == "partitions"
+    got = sorted((r._id, r.v, r.p) for r in spark.table(name).collect())
+    assert got == [(1, "a", "x"), (2, "NEW", "q"), (3, "c", None), (4, "d", "o'p"), (5, "e", "z")]  # y lost its only row
+    with pytest.raises(ValueError):
+        merge_into_table(new.unionAll(new), name, "_id", f"{tmp}/p2")
