@@ -73,13 +73,27 @@ def without_cycles() -> Iterator[None]:
         gc.enable()
 
 
-def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` for a generator that takes slices and yields column dicts."""
+def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
+    """Record batches put together to at least ``rows`` rows."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` for a generator that takes slices (or tables of about
+    ``rows`` rows of numbers) and yields column dicts."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with without_cycles():
-            for columns in fn(slices(batches)):
+            for columns in fn(gathered(batches, rows) if rows else slices(batches)):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)

@@ -77,9 +77,10 @@ def components(edges: DataFrame) -> DataFrame:
             return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
         seen = n
         both = state.union(state.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Written, so that the joins get both sides from shuffles and can split a node's many edges.
+        least = materialise(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "components")
+        large = materialise(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "components")
+        down = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "components")
         small = (large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.*").filter("u <> v").distinct())
         state = materialise(small, "components")

@@ -33,12 +33,14 @@ from sparkweave.llm.common import arrow_schema, map_slices, materialise, texts,
 
 KINDS = 8  # start; after a sentence mark; another mark; a digit; a word of up to 2, 4, 7, more bytes
 PARENT = np.array([0, 0, 0, 0, 1, 1, 1, 1])  # of each kind's restaurant
-SWEEPS, BURN_IN = 4, 1
+SWEEPS, BURN_IN = 3, 1
 STRENGTH = 1.0
 HEAVY = 131_072
 END = b""  # what closes a text
 #: Tokens a task gathers before it emits their counts.
 GATHERED = 3_000_000
+#: Words a task seats at a time.
+WORDS = 200_000
 
 _C = [f"c{k}" for k in range(KINDS)]
 
@@ -136,10 +138,14 @@ def seat(c: np.ndarray, new: np.ndarray, d: float, h: np.ndarray, seed: int) ->
     at, seated, step = np.flatnonzero(c > 1), 1, 0
     while len(at):
         size = max(1, seated // 20)
-        group = np.minimum(size, c[at] - seated)
-        stay = seated - d * t[at]
-        logs[at] += group * np.log(stay + new[at])
-        t[at] += _few(group, new[at] / (stay + new[at]), _uniform(h[at], seed * 1009 + step))
+        u, total = _uniform(h[at], seed * 1009 + step), seated - d * t[at] + new[at]
+        if size == 1:
+            logs[at] += np.log(total)
+            t[at] += u * total < new[at]
+        else:
+            group = np.minimum(size, c[at] - seated)
+            logs[at] += group * np.log(total)
+            t[at] += _few(group, new[at] / total, u)
         seated, step = seated + size, step + 1
         at = at[c[at] > seated]
     return t, logs
@@ -231,7 +237,7 @@ def _discount(n1, n2) -> np.ndarray:
 
 
 def _matrix(b) -> tuple[np.ndarray, np.ndarray]:
-    return (b["h"].to_numpy(zero_copy_only=False), np.stack([b[c].to_numpy(zero_copy_only=False) for c in _C], axis=1))
+    return b["h"].to_numpy(), np.stack([b[c].to_numpy() for c in _C], axis=1)
 
 
 def fit(counts: DataFrame) -> Model:
@@ -255,7 +261,7 @@ def fit(counts: DataFrame) -> Model:
                 t = chain_.totals()
                 yield {f"{k}_{i}": [int(t[k][i])] for k, n in keys for i in range(n)}
 
-        sums_of = map_slices(counts, run, ", ".join(f"{c} long" for c in flat)).agg(*[F.sum(c).alias(c) for c in flat]).first()
+        sums_of = map_slices(counts, run, ", ".join(f"{c} long" for c in flat), WORDS).agg(*[F.sum(c).alias(c) for c in flat]).first()
         model.totals.append({k: np.array([sums_of[f"{k}_{i}"] or 0 for i in range(n)], float) for k, n in keys})
         if not sweep:  # the discounts of the upper levels, by the first seating
             t = model.totals[0]
@@ -283,7 +289,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
             logs = np.log10(model.probabilities(h, c))
             yield {"h": h, "n": c.sum(axis=1), "base": model.base(c.sum(axis=1))} | {x: logs[:, k] for k, x in enumerate(p)}
 
-    known = materialise(map_slices(counts, weigh, "h long, n long, base double, " + ", ".join(f"{x} float" for x in p)), "word-scores")
+    known = materialise(map_slices(counts, weigh, "h long, n long, base double, " + ", ".join(f"{x} float" for x in p), WORDS), "word-scores")
     step, room, least = F.floor(F.log2("n") * 4), HEAVY, None
     for r in known.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         room -= r["count"]
