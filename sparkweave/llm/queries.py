@@ -62,4 +62,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
     op1_minhash_dedup, op2_bpe_round_trip, op3_toxicity, op4_token_counts, op5_quality, op6_embedding_dedup,
     op7_language_model, op8_pii, op9_fingerprints, op10_packing)}
 
-ORACLE: dict[str, str] = {}
+#: Smallest node reachable from each node over {links} (a, b), both ways.
+_REACH = """
+    edges as (select a, b from links union select b, a from links),
+    reach as (select a, b from edges union select r.a, e.b from reach r join edges e on r.b = e.a),
+    roots as (select a as id, least(a, min(b)) as root from reach group by a)"""
+
+_OP1 = f"""
+    with recursive cut as (
+      select doc_id, list_filter(string_split_regex(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w
+      from documents),
+    sets as (
+      select doc_id, case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+        else list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) end as s
+      from cut),
+    each as (select doc_id, unnest(s) as x from sets),
+    pairs as (select p.doc_id as a, q.doc_id as b, count(*) as n from each p join each q on p.x = q.x and p.doc_id < q.doc_id group by all),
+    links as (
+      select a, b from pairs join sets p on p.doc_id = a join sets q on q.doc_id = b
+      where 100 * n >= 80 * (len(p.s) + len(q.s) - n)), {_REACH}
+    select doc_id, len(s) as n_shingles, coalesce(root, doc_id) as component_id, coalesce(root, doc_id) = doc_id as kept
+    from sets left join roots on id = doc_id"""
+
+_OP6 = f"""
+    with recursive v as (select vec_id, label, embedding::double[] as e from embeddings
+      where label is not null and embedding is not null and list_dot_product(embedding, embedding) > 0),
+    links as (select p.vec_id as a, q.vec_id as b from v p join v q on p.label = q.label and p.vec_id < q.vec_id
+      where list_cosine_similarity(p.e, q.e) >= 0.98), {_REACH},
+    degree as (select a as id, count(*) as n from edges group by a)
+    select vec_id, coalesce(n, 0) as n_links, coalesce(root, vec_id) as component_id, coalesce(root, vec_id) = vec_id as kept
+    from embeddings left join roots on roots.id = vec_id left join degree on degree.id = vec_id"""
+
+#: The others rest on a tokenizer, a learned or sampled model, look-behind
+#: patterns or rolling hashes, and are tested by brute force in tests/llm.
+ORACLE: dict[str, str] = {"op1_minhash_dedup": " ".join(_OP1.split("\n")), "op6_embedding_dedup": " ".join(_OP6.split("\n"))}
