@@ -22,7 +22,7 @@ from sparkweave.sinks.tables import VersionedTable
 
 class DocumentTable:
     def __init__(self, spark: SparkSession, path: str, name: str | None = None, key: str = "_id",
-                 unmasked_readers: Iterable[str] = ("owner",), buckets: int = 64):
+                 unmasked_readers: Iterable[str] = ("owner",), buckets: int | None = None):
         self.spark, self.path, self.key = spark, path.rstrip("/"), key
         self.name = name or self.path.rsplit("/", 1)[-1]
         self.unmasked_readers = tuple(unmasked_readers)
@@ -81,7 +81,7 @@ class DocumentTable:
         return masked_view(self.data.read(version), self.policy(), self.name, principal, self.unmasked_readers)
 
     def find_by_id(self, doc_id, principal: str = "public") -> DataFrame:
-        return q.find_by_id(self.read(principal), doc_id, self.key)
+        return masked_view(self.data.lookup(self.key, doc_id), self.policy(), self.name, principal, self.unmasked_readers)
 
     def search(self, select: list[str] | None = None, where: dict | None = None,
                principal: str = "public") -> DataFrame:

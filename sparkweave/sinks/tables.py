@@ -34,6 +34,12 @@ from sparkweave.sinks.files import write_any
 from sparkweave.sources.files import read_any, read_json, read_parquet
 
 
+#: Estimated bytes of a bucket (one task's work) and the most buckets of a table.
+BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 1 << 16
+#: Estimates from here on are products over joins or defaults, not sizes.
+UNKNOWN_BYTES = 1 << 47
+
+
 class ConcurrentCommitError(RuntimeError):
     pass
 
@@ -53,7 +59,9 @@ def merge_schemas(a: T.StructType | None, b: T.StructType) -> T.StructType:
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", buckets: int | None = None):
+        """``buckets``: of a keyed table; by default, chosen by the size of the
+        first upsert (about ``BUCKET_BYTES`` each) and stored with the table."""
         self.spark, self.path, self.fmt, self.buckets = spark, path.rstrip("/"), fmt, buckets
 
     # ---- metadata -------------------------------------------------------
@@ -110,6 +118,18 @@ class VersionedTable:
             return self.spark.createDataFrame([], full)
         return self._read_parts(m["parts"], full)
 
+    def lookup(self, key: str, value) -> DataFrame:
+        """Rows with ``key`` = ``value``; of a table keyed by it, only the
+        bucket that can hold them is opened."""
+        m = self.manifest()
+        if m is None or m.get("keys") != [key]:
+            return self.read().where(F.col(key) == F.lit(value))
+        full = T.StructType.fromJson(json.loads(m["schema"]))
+        hashed = F.pmod(F.xxhash64(F.lit(value).cast(full[key].dataType)), F.lit(m["buckets"]))
+        bucket = self.spark.range(1).select(hashed).first()[0]
+        parts = [p for p in m["parts"] if p["bucket"] is None or p["bucket"] == bucket]
+        return self._read_parts(parts, full).where(F.col(key) == F.lit(value))
+
     def _read_parts(self, parts: list[dict], full: T.StructType) -> DataFrame:
         if not parts:
             return self.spark.createDataFrame([], full)
@@ -169,6 +189,10 @@ class VersionedTable:
         return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(self.buckets)).cast("int")
 
     def _write_bucketed(self, df: DataFrame, keys: list[str], prev: dict | None) -> list[dict]:
+        if self.buckets is None:
+            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+            wide = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # where the planner can't tell the size
+            self.buckets = max(16, min(MAX_BUCKETS, -(-size // BUCKET_BYTES) if size < UNKNOWN_BYTES else wide))
         data_dir = self._new_dir(prev)
         write_any(df.withColumn("_bucket", self._bucket(keys)).repartition("_bucket"), data_dir, self.fmt,
                   mode="errorifexists", partition_by=["_bucket"])

@@ -27,17 +27,15 @@ def change_schema(row_schema: T.StructType) -> T.StructType:
 
 def land_batch(batch: DataFrame, batch_id: int, out_root: str, row_cols: list[str],
                table: VersionedTable | None = None) -> None:
-    batch.persist()
-    try:
-        inserts = batch.where(F.col("op") == "insert").select(*row_cols)
-        inserts.write.mode("overwrite").parquet(f"{out_root}/parquet/batch={batch_id}")
-        inserts.write.mode("overwrite").options(**JSON_OPTIONS).json(f"{out_root}/json/batch={batch_id}")
-        (batch.where(F.col("op") != "insert").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
-              .write.mode("overwrite").parquet(f"{out_root}/ignored/batch={batch_id}"))
-        if table is not None and not inserts.isEmpty():
-            table.append(inserts, batch_id=f"cdc-{batch_id}")
-    finally:
-        batch.unpersist()
+    landed = f"{out_root}/parquet/batch={batch_id}"
+    batch.where(F.col("op") == "insert").select(*row_cols).write.mode("overwrite").parquet(landed)
+    spark = batch.sparkSession
+    inserts = spark.read.schema(batch.select(*row_cols).schema).parquet(landed)  # read once more, not held in memory
+    inserts.write.mode("overwrite").options(**JSON_OPTIONS).json(f"{out_root}/json/batch={batch_id}")
+    (batch.where(F.col("op") != "insert").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+          .write.mode("overwrite").parquet(f"{out_root}/ignored/batch={batch_id}"))
+    if table is not None and not inserts.isEmpty():
+        table.append(inserts, batch_id=f"cdc-{batch_id}")
 
 
 def land_changes(spark: SparkSession, changes_path: str, row_schema: T.StructType, out_root: str,

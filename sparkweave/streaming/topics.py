@@ -44,7 +44,9 @@ def _col(c: Column | str | None) -> Column | None:
 
 class FileTopic:
     def __init__(self, spark: SparkSession, root: str, partitions: int = 4):
-        self.spark, self.root, self.partitions = spark, root.rstrip("/"), partitions
+        self.spark, self.root = spark, root.rstrip("/")
+        stored = fs.read_text(spark, f"{self.root}/_partitions")  # of the first publish: keys stay where they are
+        self.partitions = int(stored) if stored else partitions
 
     @property
     def log_path(self) -> str:
@@ -59,6 +61,7 @@ class FileTopic:
         to the row as JSON; messages with a key go to partition
         ``pmod(xxhash64(key), partitions)``, others are spread over partitions.
         """
+        fs.write_text(self.spark, f"{self.root}/_partitions", str(self.partitions))
         k = _col(key)
         t = F.lit(topic) if isinstance(topic, str) else topic
         v = value if value is not None else encode_json(*[F.col(c) for c in df.columns])

@@ -133,3 +133,28 @@ def test_listing_allow_list(spark):
     assert listing(inv, "a", allowed=["a"]).count() == 1
     with pytest.raises(PermissionError):
         listing(inv, "ab", allowed=["a"])
+
+
+def test_lookup_opens_one_bucket(spark, tmp):
+    t = VersionedTable(spark, tmp, buckets=16)
+    t.upsert(spark.range(500).selectExpr("id AS k", "id * 2 AS v"), "k")
+    found = t.lookup("k", 7)
+    assert [r.v for r in found.collect()] == [14] and len({f.rsplit("/", 2)[1] for f in found.inputFiles()}) == 1
+    t.append(spark.createDataFrame([(900, 1)], "k long, v long"))
+    assert t.lookup("k", 900).count() == 1 and t.lookup("v", 14).count() == 1
+
+
+def test_buckets_by_size(spark, tmp, monkeypatch):
+    from sparkweave.sinks import tables
+    VersionedTable(spark, f"{tmp}/a").upsert(spark.range(50).withColumnRenamed("id", "k"), "k")
+    assert VersionedTable(spark, f"{tmp}/a").manifest()["buckets"] == 16
+    monkeypatch.setattr(tables, "BUCKET_BYTES", 10)
+    VersionedTable(spark, f"{tmp}/b").upsert(spark.range(50).withColumnRenamed("id", "k"), "k")
+    assert VersionedTable(spark, f"{tmp}/b").manifest()["buckets"] == 40
+
+
+def test_topic_keeps_its_partition_count(spark, tmp):
+    FileTopic(spark, tmp, partitions=2).produce(spark.range(9), "t", key="id")
+    again = FileTopic(spark, tmp, partitions=8)
+    again.produce(spark.range(9), "t", key="id")
+    assert again.partitions == 2 and {r.partition for r in again.log().collect()} <= {0, 1}
