@@ -5,10 +5,10 @@ class.  Cells are the centroids of spherical k-means on a bounded sample; every
 class belongs to its nearest and also visits each cell whose border (the plane
 between the two centroids) is within half the chord of the threshold: of two
 vectors similar enough in different cells at least one visits the other's, so
-no link is lost.  A cell's rows are dealt to blocks of about ``BLOCK``, and each
-pair of blocks is one product; a pair of vectors that meets in two cells counts
-in the lower one.  Counts of links and a spanning forest leave a block pair,
-never its pairs.
+no link is lost.  A cell's residents and all its rows are dealt to blocks of
+about ``BLOCK``, and each block of residents with each block of rows is one
+product; a pair of vectors that meets in two cells counts in the lower one.
+Counts of links and a spanning forest leave a product, never its pairs.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from sparkweave.llm.components import components
 
 THRESHOLD = 0.98
 SAMPLE, CELLS, ROUNDS = 16_384, 1024, 8  # most sampled vectors and centroids; rounds of k-means
-BLOCK = 128
+BLOCK = 256
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -76,34 +76,40 @@ def classes_of(vectors: DataFrame) -> DataFrame:
                       "row long, vec_id long, label string, digest binary, vector binary")
 
 
+def forest(hit: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning forest (row, column) of the graph between rows and columns."""
+    edges, rows, columns = [], np.zeros(len(hit), bool), np.zeros(hit.shape[1], bool)
+    for start in np.flatnonzero(hit.any(axis=1)):
+        if rows[start]:
+            continue
+        rows[start], front = True, np.array([start])
+        while len(front):
+            new = np.flatnonzero(hit[front].any(axis=0) & ~columns)
+            edges += zip(front[hit[np.ix_(front, new)].argmax(axis=0)].tolist(), new.tolist())
+            columns[new] = True
+            front = np.flatnonzero(hit[:, new].any(axis=1) & ~rows) if len(new) else new
+            edges += zip(front.tolist(), new[hit[np.ix_(front, new)].argmax(axis=1)].tolist()) if len(front) else []
+            rows[front] = True
+    return edges
+
+
 def _linked(threshold: float):
     def run(batches):
         for g in runs(batches, ("label", "dim", "cell", "i", "j")):
             x = unit(np.frombuffer(b"".join(g["vector"]), "<f8").reshape(len(g["node"]), -1))
-            node, home, block = (np.array(g[c]) for c in ("node", "home", "block"))
-            copies, cell = np.array(g["copies"]), g["cell"][0]
-            hit = (x @ x.T >= threshold) & ((home == cell)[:, None] | (home == cell))
-            if g["i"][0] != g["j"][0]:
-                hit &= block[:, None] != block
-            np.fill_diagonal(hit, False)
-            # A resident of this cell and one of another meet there too if the first visits it.
-            visits = [set(v) for v in g["visits"]]
-            for a, b in zip(*np.nonzero(hit & (home == cell)[:, None] & (home != cell) & (home < cell))):
-                if int(home[b]) in visits[a]:
-                    hit[a, b] = hit[b, a] = False
-            links = hit @ copies
-            edges, seen = [], np.zeros(len(x), bool)
-            for start in np.flatnonzero(links):
-                stack = [] if seen[start] else [start]
-                seen[start] = True
-                while stack:
-                    at = stack.pop()
-                    new = np.flatnonzero(hit[at] & ~seen)
-                    seen[new] = True
-                    stack += new.tolist()
-                    edges += [(int(node[at]), int(node[n])) for n in new]
-            some = np.flatnonzero(links)
-            yield {"u": node[some].tolist() + [a for a, _ in edges], "v": [None] * len(some) + [b for _, b in edges],
+            node, home, copies, resident = (np.array(g[c]) for c in ("node", "home", "copies", "resident"))
+            r, c, cell = np.flatnonzero(resident), np.flatnonzero(~resident), g["cell"][0]
+            hit = (x[r] @ x[c].T >= threshold) & (node[r][:, None] != node[c])
+            guest = home[c] != cell
+            # A resident of this cell and one of a lower cell meet there if the first visits it.
+            for a, b in zip(*np.nonzero(hit & (home[c] < cell))):
+                if int(home[c[b]]) in g["visits"][r[a]]:
+                    hit[a, b] = False
+            # Two residents meet twice, once for each; a guest has its links counted here as well.
+            links = np.concatenate([hit @ copies[c], (copies[r] @ hit)[guest]])
+            who = np.concatenate([node[r], node[c[guest]]])
+            some, edges = np.flatnonzero(links), forest(hit)
+            yield {"u": who[some].tolist() + [int(node[r[a]]) for a, _ in edges], "v": [None] * len(some) + [int(node[c[b]]) for _, b in edges],
                    "n": links[some].tolist() + [0] * len(edges)}
 
     return run
@@ -151,10 +157,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                         "label string, node long, copies long, vector binary, dim int, home int, visits array<int>")
     inside = placed.withColumn("cell", F.explode("visits"))
     cell = ["label", "dim", "cell"]
-    sizes = inside.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
-    dealt = (inside.join(sizes, cell).withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("n_blocks", "other"))
+    at_home = F.col("home") == F.col("cell")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = inside.groupBy(*cell).agg(blocks(F.count("*")).alias("n_all"), blocks(F.count(F.when(at_home, 1))).alias("n_home"))
+    number = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # Residents stand against all rows of their cell: in a row of blocks as residents, and like guests in a column.
+    as_resident = F.transform(every("n_all"), lambda j: F.struct(number("n_home").alias("i"), j.alias("j"), F.lit(True).alias("resident")))
+    as_any = F.transform(every("n_home"), lambda i: F.struct(i.alias("i"), number("n_all").alias("j"), F.lit(False).alias("resident")))
+    dealt = (inside.join(sizes.filter("n_home > 0"), cell)
+             .withColumn("at", F.explode(F.when(at_home, F.concat(as_resident, as_any)).otherwise(as_any)))
+             .select(*cell, "at.*", "node", "copies", "vector", "home", "visits"))
     key = [*cell, "i", "j"]
     found = materialise(map_slices(dealt.repartition(*key).sortWithinPartitions(*key), _linked(threshold),
                                    "u long, v long, n long"), "vector-links")
