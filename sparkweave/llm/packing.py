@@ -23,10 +23,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import CACHE_ENTRIES, Cache, joined, map_slices, materialise, texts
+from sparkweave.llm.common import Cache, joined, map_slices, materialise, texts
 from sparkweave.llm.pretokens import vocabulary_path
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2048
+#: Words in each half of a worker's cache: 0.3 GB at most with those of letters alone.
+WORDS = 600_000
 
 #: Outside these characters, words between white space might not be normalised
 #: on their own as they are in a text; such texts go to the library whole.
@@ -46,7 +48,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(file)
-        self.words, self.letters = Cache(self._of_words), Cache(self._of_letters, CACHE_ENTRIES // 2)
+        self.words, self.letters = Cache(self._of_words, WORDS), Cache(self._of_letters, WORDS // 2)
 
     def _ids(self, parts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(ids)}I", *ids) for x in self.tok.encode_batch_fast(parts, add_special_tokens=False) for ids in (x.ids,)]
