@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import texts
+from sparkweave.llm.common import materialise, texts
 
 KEEP, STEP, NEAR = 0.5, 0.3, 40
 
@@ -112,19 +112,21 @@ def _scored(match: Column, before: Column) -> tuple[Column, Column]:
     return valid, F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2)
 
 
-def find_spans(rows: DataFrame) -> DataFrame:
+def find_spans(rows: DataFrame, *keep: str) -> DataFrame:
     """``row``, ``kind`` (number), ``start``, ``end`` (code points, end
-    exclusive) and ``score`` of the spans in the ``text`` of each ``row``."""
+    exclusive) and ``score`` of the spans in the ``text`` of each ``row``, and
+    the columns ``keep``; a row without matches is there once, without a kind."""
     kind = "array<struct<kind:int,nth:int,match:string,gap:bigint,before:string>>"
     found = F.concat(*[F.coalesce(_matches(F.col("text"), i, k).cast(kind), F.array().cast(kind)) for i, k in enumerate(KINDS)])
-    each = rows.select("row", F.explode(found).alias("s")).select("row", "s.*")
+    each = rows.select("row", *keep, F.explode_outer(found).alias("s")).select("row", *keep, "s.*")
     order = Window.partitionBy("row", "kind").orderBy("nth")
     width = F.length("match").cast("long")
     each = each.withColumn("end", F.sum(F.col("gap") + width).over(order)).withColumn("start", F.col("end") - width)
     valid, score = _scored(F.col("match"), F.col("before"))
     base = F.col("kind").isin([i for i, k in enumerate(KINDS) if k.base])
-    return (each.withColumn("valid", valid).filter("valid").withColumn("score", score)
-            .filter(base | (F.col("score") >= KEEP)).select("row", "kind", "start", "end", "score"))
+    stays = F.coalesce(valid & (base | (score >= KEEP)), F.lit(False))
+    return (each.withColumn("score", score).withColumn("kind", F.when(stays, F.col("kind")))
+            .select("row", *keep, "kind", "start", "end", "score"))
 
 
 
@@ -134,21 +136,17 @@ def _written(spans: Column) -> Column:
         ":", _name(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _rows(docs: DataFrame, *keep: str) -> DataFrame:
-    return texts(docs, *keep).withColumn("row", F.monotonically_increasing_id())
-
-
 def pii_report(docs: DataFrame) -> DataFrame:
     """Counts, digest and list of the spans of every row.
 
     Null and empty texts have none (the digest is that of no bytes).  Repeated
     rows and null ids are searched row by row; extra columns are ignored; an
     empty table gives no rows.  Texts are searched whole."""
-    rows = _rows(docs)
-    listed = (find_spans(rows).groupBy("row")
-              .agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "score"))).alias("s")))
-    joined = rows.select("row", "doc_id").join(listed, "row", "left")
-    s = F.coalesce("s", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,score:double>>"))
+    rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
+    span = F.when(F.col("kind").isNotNull(), F.struct("start", "kind", "end", "score"))
+    joined = (find_spans(rows, "doc_id").groupBy("row")
+              .agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_list(span)).alias("s")))
+    s = F.col("s")
     n = lambda i: F.size(F.filter(s, lambda x: x["kind"] == i)).cast("long")
     base = F.filter(s, lambda x: x["kind"].isin([i for i, k in enumerate(KINDS) if k.base]))
     return joined.select("doc_id", *[n(i).alias(f"n_{k.name}") for i, k in enumerate(KINDS) if k.base],
@@ -160,8 +158,8 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets
     (overlapping spans by that of the first) and ``n_chars`` counted anew where
     the text changed.  All rows and columns stay; a null text stays null."""
-    rows = docs.withColumn("__row", F.monotonically_increasing_id())
-    spans = find_spans(rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text")))
+    rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    spans = find_spans(rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text"))).filter("kind IS NOT NULL")
     before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
     spans = spans.withColumn("seen", F.coalesce(F.max("end").over(before), F.lit(0)))
     listed = spans.groupBy(F.col("row").alias("__r")).agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "seen"))).alias("__s"))

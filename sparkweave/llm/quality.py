@@ -91,7 +91,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: Colu
 
     def run(batches):
         for b in batches:
-            out = {"label": b["label"], "at": [], "value": [], "stats": []}
+            out = {"doc_id": b["doc_id"], "label": b["label"], "at": [], "value": [], "stats": []}
             for x, extra in zip(b["text"].to_pylist(), b["__extra"].to_pylist()):
                 ws = words(x)
                 at, value = hashed(ws, extra)
@@ -101,7 +101,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: Colu
             yield out
 
     found = map_slices(_inputs(sample, metadata).select("doc_id", "label", "text", "__extra"), run,
-                       "label int, at array<int>, value array<float>, stats array<double>").toPandas()
+                       "doc_id long, label int, at array<int>, value array<float>, stats array<double>").toPandas().sort_values("doc_id")
     y = found["label"].to_numpy(float)
     m = Machine(0.0, np.zeros(HASHED + STATISTICS), np.random.default_rng(1).normal(0, 0.02, (HASHED + STATISTICS, RANK)),
                 np.zeros(STATISTICS), np.ones(STATISTICS))

@@ -91,8 +91,8 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
         counts = heavy.value
         sums = dict(counts)  # and of pieces whose pre-tokens are all in there
         for b in batches:
-            row, piece, freq, tokens = [], [], [], []
-            for r, x in zip(b["row"].to_pylist(), b["text"].to_pylist()):
+            row, doc_id, n_bytes, piece, freq, tokens = [], [], [], [], [], []
+            for r, doc, x in zip(b["row"].to_pylist(), b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 parts, total, rare = pieces(x), 0, []
                 for p, n in zip(parts, map(sums.get, parts)):
                     if n is None:
@@ -108,15 +108,17 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
                     total += n
                 seen = Counter(rare)
                 row += [r] * (len(seen) + 1)
+                doc_id += [doc] + [None] * len(seen)
+                n_bytes += [len(x.encode())] + [0] * len(seen)
                 piece += [f"\0{r}", *seen]  # the document's own row: any key that spreads
                 freq += [0, *seen.values()]
                 tokens += [total] + [0] * len(seen)
-            yield {"row": row, "piece": piece, "freq": freq, "tokens": tokens}
+            yield {"row": row, "doc_id": doc_id, "n_bytes": n_bytes, "piece": piece, "freq": freq, "tokens": tokens}
 
     rows = texts(docs).withColumn("row", F.monotonically_increasing_id())
-    spread = map_slices(rows.select("row", "text"), frequencies, "row long, piece string, freq long, tokens long")
-    total = (spread.join(known.select("piece", "n"), "piece", "left")
-             .groupBy("row").agg(F.sum(F.col("tokens") + F.col("freq") * F.coalesce("n", F.lit(0))).alias("n_tokens")))
-    sizes = rows.select("row", "doc_id", F.octet_length("text").cast("long").alias("n_bytes"))
-    return (sizes.join(total, "row")
-            .select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")))
+    # A row's number is made and used in one pass, so it needs no stable order of the rows.
+    spread = map_slices(rows, frequencies, "row long, doc_id long, n_bytes long, piece string, freq long, tokens long")
+    total = (spread.join(known.select("piece", "n"), "piece", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"),
+        F.sum(F.col("tokens") + F.col("freq") * F.coalesce("n", F.lit(0))).alias("n_tokens")))
+    return total.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
