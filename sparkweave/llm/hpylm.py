@@ -278,7 +278,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     empty text has its end as only token.  Repeated rows count and are scored
     each; extra columns are ignored; an empty table gives no rows; without
     training rows every word is unseen, with a probability of one."""
-    rows = texts(docs).withColumn("held_out", ~F.coalesce(training, F.lit(False))).withColumn("row", F.monotonically_increasing_id())
+    rows = texts(docs).withColumn("held_out", ~F.coalesce(training, F.lit(False)))
     counts = materialise(word_counts(rows.filter(~F.col("held_out")).select("doc_id", "text")), "word-counts")
     model = fit(counts)
     p = [f"p{k}" for k in range(KINDS)]
@@ -305,7 +305,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
         at_heavy, base, score = shared.value
         for b in batches:
             out = {c: [] for c in names}
-            for row, x in zip(b["row"].to_pylist(), b["text"].to_pylist()):
+            for row, doc, held, x in zip(*[b[c].to_pylist() for c in ("row", "doc_id", "held_out", "text")]):
                 h, kinds = tokens(x)
                 place = np.minimum(np.searchsorted(at_heavy, h), max(0, len(at_heavy) - 1))
                 found = at_heavy[place] == h if len(at_heavy) else np.zeros(len(h), bool)
@@ -317,20 +317,24 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
                                        ("known", [n], np.zeros(more, "i8")), ("base", [base[at].sum()], np.zeros(more)),
                                        ("score", [score[at, kinds[found]].sum()], np.zeros(more)), ("row", [row], np.full(more, row))):
                     out[c] += [np.asarray(first), rest]
-            yield {c: np.concatenate(v) for c, v in out.items()} if out["row"] else {c: [] for c in names}
+                out["doc_id"] += [doc] + [None] * more
+                out["held_out"] += [held] + [None] * more
+            yield {c: v if c in ("doc_id", "held_out") else np.concatenate(v) for c, v in out.items()} if out["row"] else out
 
     known = known.select("h", F.col("base").alias("word_base"), F.array(*p).alias("word_scores"))
     unseen = F.array(*[F.lit(float(x)) for x in np.log10(model.unseen())])
     seen = F.col("word_base").isNotNull()
     kind = F.col("kind") + 1
-    total = (map_slices(rows.select("row", "text"), spread, _SPREAD).join(known, "h", "left").groupBy("row").agg(
-        F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(seen, F.col("freq")).otherwise(0)).alias("n_known"),
+    # A row's number is made and used in one pass, so it needs no stable order of the rows.
+    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    total = (map_slices(numbered, spread, _SPREAD).join(known, "h", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(seen, F.col("freq")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + F.col("freq") * F.coalesce("word_base", F.lit(float(model.base(np.array(0)))))).alias("base_score"),
         F.sum(F.col("score") + F.col("freq") * F.when(seen, F.element_at("word_scores", kind).cast("double"))
               .otherwise(F.element_at(unseen, kind))).alias("score")))
-    return rows.select("row", "doc_id", "held_out").join(total, "row").select(
+    return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-_SPREAD = "row long, h long, kind int, freq long, tokens long, known long, base double, score double"
+_SPREAD = "row long, doc_id long, held_out boolean, h long, kind int, freq long, tokens long, known long, base double, score double"
