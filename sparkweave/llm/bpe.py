@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from sparkweave.llm.common import CACHE_ENTRIES, Cache, joined, map_slices, texts
+from sparkweave.llm.common import CACHE_ENTRIES, Cache, held, joined, map_slices, texts
 from sparkweave.llm.pretokens import SPECIAL, pieces, pretokens, vocabulary_path
 
 _NEVER = 1 << 60
@@ -174,10 +174,9 @@ class TextEncoder:
         return joined(cut, self.pieces.lookup(list(chain.from_iterable(cut))))
 
 
-@lru_cache(2)
 def text_encoder(name: str) -> TextEncoder:
     """The worker's encoder of a vocabulary."""
-    return TextEncoder(vocabulary_path(name))
+    return held(f"bpe-{name}", lambda: TextEncoder(vocabulary_path(name)))
 
 
 def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -190,7 +189,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Data
             yield {"doc_id": b["doc_id"], "ids": [x.astype("i8") for x in ids],
                    "decoded": [encoder.trie.decode(x).decode() for x in ids]}
 
-    return map_slices(texts(docs), run, "doc_id long, ids array<bigint>, decoded string")
+    return map_slices(texts(docs), run, "doc_id long, ids array<bigint>, decoded string", holds=f"bpe-{vocabulary}")
 
 
 def encode_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -208,4 +207,4 @@ def encode_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> Da
                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in raw],
                    "decoded_sha256": [hashlib.sha256(encoder.trie.decode(np.frombuffer(x, "<u4"))).hexdigest() for x in raw]}
 
-    return map_slices(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_slices(texts(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", holds=f"bpe-{vocabulary}")

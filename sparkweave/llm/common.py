@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import gc
 from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import xxhash
@@ -62,15 +63,36 @@ def arrow_schema(spark_schema: str) -> pa.Schema:
     return to_arrow_schema(T._parse_datatype_string(spark_schema))
 
 
+#: What this worker keeps from task to task: one operator's encoder and its caches.
+_HELD: dict[str, Any] = {}
+
+
+def held(name: str, make: Callable[[], Any]) -> Any:
+    """The worker's object of that name, made if it isn't there; others go."""
+    release(name)
+    if name not in _HELD:
+        _HELD[name] = make()
+    return _HELD[name]
+
+
+def release(but: str | None = None) -> None:
+    """Let go of what other operators' tasks have left in this worker."""
+    for name in [x for x in _HELD if x != but]:
+        del _HELD[name]
+
+
 @contextlib.contextmanager
-def without_cycles() -> Iterator[None]:
-    """Python's search for reference cycles is off: these tasks make none, and
-    their caches are long to search."""
+def task(holds: str | None) -> Iterator[None]:
+    """A task that uses the held object of that name, if any.  Python's search
+    for reference cycles is off in it: these tasks make none, and their caches
+    are long to search."""
+    release(holds)
     gc.disable()
     try:
         yield
     finally:
         gc.enable()
+        pa.default_memory_pool().release_unused()
 
 
 def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]:
@@ -86,13 +108,15 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, rows: int | None = None) -> DataFrame:
+def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, rows: int | None = None,
+               holds: str | None = None) -> DataFrame:
     """``mapInArrow`` for a generator that takes slices (or tables of about
-    ``rows`` rows of numbers) and yields column dicts."""
+    ``rows`` rows of numbers) and yields column dicts; ``holds`` names what its
+    workers keep from task to task."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        with without_cycles():
+        with task(holds):
             for columns in fn(gathered(batches, rows) if rows else slices(batches)):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
@@ -122,11 +146,12 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[..., dict]], schem
     new, out = arrow_schema(schema), T.StructType(df.schema.fields + T._parse_datatype_string(schema).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fn = make()
-        for b in slices(batches):
-            columns = fn([x or "" for x in b["text"].to_pylist()], *[b[c].to_pylist() for c in more])
-            yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(columns[f.name], f.type) for f in new]],
-                                             names=[*b.schema.names, *new.names])
+        with task(None):
+            fn = make()
+            for b in slices(batches):
+                columns = fn([x or "" for x in b["text"].to_pylist()], *[b[c].to_pylist() for c in more])
+                yield pa.RecordBatch.from_arrays([*b.columns, *[pa.array(columns[f.name], f.type) for f in new]],
+                                                 names=[*b.schema.names, *new.names])
 
     return df.mapInArrow(run, out)
 

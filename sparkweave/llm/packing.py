@@ -15,7 +15,6 @@ import os
 import re
 import struct
 import zlib
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import Cache, joined, map_slices, materialise, texts
+from sparkweave.llm.common import Cache, held, joined, map_slices, materialise, texts
 from sparkweave.llm.pretokens import vocabulary_path
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 2048
@@ -81,9 +80,8 @@ class WordIds:
         return [next(whole_ids) if u else ids for ids, u in zip(safe_ids, unsafe)]
 
 
-@lru_cache(2)
 def _encoder(vocabulary: str) -> WordIds:
-    return WordIds(vocabulary_path(vocabulary))
+    return held(f"packing-{vocabulary}", lambda: WordIds(vocabulary_path(vocabulary)))
 
 
 def encode_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID,
@@ -104,7 +102,7 @@ def encode_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end_id
             yield out
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
-    return map_slices(texts(docs), run, schema)
+    return map_slices(texts(docs), run, schema, holds=f"packing-{vocabulary}")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

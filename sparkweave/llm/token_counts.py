@@ -13,24 +13,22 @@ from __future__ import annotations
 
 import os
 from collections import Counter
-from functools import lru_cache
 from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import CACHE_ENTRIES, map_slices, materialise, texts
+from sparkweave.llm.common import CACHE_ENTRIES, held, map_slices, materialise, texts
 from sparkweave.llm.pretokens import pieces, pretokens, vocabulary_path
 
 HEAVY, HEAVY_BYTES = 200_000, 64
 
 
-@lru_cache(2)
 def _tokenizer(vocabulary: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(vocabulary_path(vocabulary))
+    return held(f"counts-{vocabulary}", lambda: Tokenizer.from_file(vocabulary_path(vocabulary)))
 
 
 def pretoken_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -61,7 +59,8 @@ def pretoken_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> D
             yield {"piece": b["piece"], "freq": b["freq"], "n": [len(x.ids) for x in made]}
 
     corpus = map_slices(texts(docs).select("text"), tally, "piece string, freq long")
-    return map_slices(corpus.groupBy("piece").agg(F.sum("freq").alias("freq")), count, "piece string, freq long, n long")
+    return map_slices(corpus.groupBy("piece").agg(F.sum("freq").alias("freq")), count, "piece string, freq long, n long",
+                      holds=f"counts-{vocabulary}")
 
 
 def _heavy(known: DataFrame) -> dict[str, int]:
