@@ -44,13 +44,18 @@ class WordIds:
 
     def __init__(self, file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tok = Tokenizer.from_file(file)
+        self.tok, self.plain = Tokenizer.from_file(file), Tokenizer.from_file(file)
+        # For words of letters in lower case nothing is left to normalise or to cut but at the space between them.
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([
+            pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.words, self.letters = Cache(self._of_words, WORDS), Cache(self._of_letters, WORDS // 2)
 
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids) for x in self.tok.encode_batch_fast(parts, add_special_tokens=False) for ids in (x.ids,)]
+    def _ids(self, parts: list[str], tok=None) -> list[bytes]:
+        found = (tok or self.tok).encode_batch_fast(parts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for x in found for ids in (x.ids,)]
 
     def _of_letters(self, distinct: list[str]) -> list[bytes]:
         """Words of letters go to the library in lines, parted by a digit: its id
@@ -59,7 +64,7 @@ class WordIds:
         lines = [f" {_PART} ".join([*plain[i:i + 100], ""]) for i in range(0, len(plain), 100)]
         (part,) = struct.unpack("<I", self._ids([_PART])[0])
         found = []
-        for raw in self._ids(lines):
+        for raw in self._ids(lines, self.plain):
             ends = np.flatnonzero(np.frombuffer(raw, "<u4") == part) * 4
             found += [raw[a:b] for a, b in zip([0, *(ends + 4).tolist()], ends.tolist())]
         known = dict(zip(plain, found, strict=True))
