@@ -37,9 +37,10 @@ def reference(vocabulary, text):
 @given(st.lists(st.text(st.sampled_from("ab tzé 日'sl\n1😀́!,"), max_size=40), max_size=4))
 def test_encodings_equal_the_library(parts):
     assert all("".join(pieces(x)) == x for x in parts)
-    for encoder, name in ((bpe.text_encoder(BYTE), BYTE), (packing._encoder(WORD), WORD)):
-        tok = Tokenizer.from_file(vocabulary_path(name)) if name not in _LOADED else _LOADED[name]
-        _LOADED[name] = tok
+    if not _LOADED:
+        for name, make in ((BYTE, bpe.TextEncoder), (WORD, packing.WordIds)):
+            _LOADED[name] = make(vocabulary_path(name)), Tokenizer.from_file(vocabulary_path(name))
+    for encoder, tok in _LOADED.values():
         for x, ids in zip(parts, encoder.encode(parts)):
             assert np.frombuffer(ids, "<u4").tolist() == tok.encode(x, add_special_tokens=False).ids
 
