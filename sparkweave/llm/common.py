@@ -77,8 +77,11 @@ def held(name: str, make: Callable[[], Any]) -> Any:
 
 def release(but: str | None = None) -> None:
     """Let go of what other operators' tasks have left in this worker."""
-    for name in [x for x in _HELD if x != but]:
+    others = [x for x in _HELD if x != but]
+    for name in others:
         del _HELD[name]
+    if others:
+        gc.collect()  # an encoder and its caches refer to each other
 
 
 @contextlib.contextmanager
