@@ -176,7 +176,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
 
     named = (classes.select("label", "digest", "node", "least", "copies").join(links, "node", "left").join(roots, "node", "left")
              .withColumn("root", F.coalesce("component", "node")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join gets both sides from shuffles and can split a large component.
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     result = named.join(least, "root").select("label", "digest", "component_id", (
         F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     compared = F.col("digest").isNotNull()

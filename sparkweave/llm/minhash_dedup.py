@@ -182,7 +182,8 @@ def _labelled(docs: DataFrame, rows: DataFrame, k: int, threshold: int) -> DataF
     found = components(links)
 
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    # Written, so that the join gets both sides from shuffles and can split a large component.
+    least = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
     return named.select("digest", "node", "root").join(least, "root")
 
 
