@@ -13,7 +13,6 @@ are one group of near-duplicates, of which one stays; an empty table stays one.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkweave.llm import minhash_dedup, packing, pii, quality, toxicity
 from sparkweave.llm.common import fold, materialise, table

@@ -32,7 +32,9 @@ WORDS = 600_000
 #: Outside these characters, words between white space might not be normalised
 #: on their own as they are in a text; such texts go to the library whole.
 _UNSAFE = re.compile("[^\x00-ɏ]|İ")
-_SEPARATORS = "\x1c\x1d\x1e\x1f"
+#: So do texts with separators that only one side takes for white space, or with
+#: what might be a special string (which has to be found before lower case).
+_SPECIAL_CASES = ("\x1c", "\x1d", "\x1e", "\x1f", "<|")
 _SIGNS, _PART = frozenset(".,;:!?"), "1"
 
 
@@ -78,7 +80,7 @@ class WordIds:
 
     def encode(self, documents: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        unsafe = [any(c in x for c in _SEPARATORS) or not x.isascii() and bool(_UNSAFE.search(x)) for x in documents]
+        unsafe = [any(c in x for c in _SPECIAL_CASES) or not x.isascii() and bool(_UNSAFE.search(x)) for x in documents]
         cut = [[] if u else x.lower().split() for x, u in zip(documents, unsafe)]
         safe_ids = joined(cut, self.words.lookup(list(chain.from_iterable(cut))))
         whole_ids = iter(self._ids([x for x, u in zip(documents, unsafe) if u]))

@@ -44,5 +44,6 @@ def pretokens(piece: str) -> list[str]:
 
 
 def vocabulary_path(name: str) -> str:
-    """Place of a public vocabulary file on the machine that asks."""
+    """Place, on the machine that asks, of a public vocabulary file, or of any
+    other by its whole path."""
     return path(name)

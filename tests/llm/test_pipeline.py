@@ -1,10 +1,9 @@
-import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sparkweave.llm import minhash_dedup, pii
+from sparkweave.llm import minhash_dedup
 from tests.llm import brute
-from tests.llm.test_tokens import WORD, check_packing
+from tests.llm.test_tokens import check_packing
 
 SF = "/root/testdata/sf0.001"
 

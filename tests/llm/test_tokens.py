@@ -15,6 +15,7 @@ BYTE, WORD = "byte_bpe_50k.json", "word_bpe_49k.json"
 HARD = [
     None, "", " ", "a", "a  b \n c\r\n\tд ", f"x{SPECIAL} y {SPECIAL}{SPECIAL}", "it's we'll IT'S é é ß Σας 日本語 😀😀",
     "word " * 3000, "x" * 3000, " " * 500 + "y", "\u0085a b c\x1cd", "1234567 ²Ⅷ٣", "\x00\x01�", "the the the",
+    "a <|ENDOFTEXT|>b <|endoftext|> <|StartOfText|> <|startoftext|>c İİ ǅ ȺȾ",
 ]
 
 
@@ -34,7 +35,7 @@ def reference(vocabulary, text):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(st.sampled_from("ab tzé 日'sl\n1😀́!,"), max_size=40), max_size=4))
+@given(st.lists(st.text(st.sampled_from("ab tzé 日'sl\n1😀́!,ȺǅΣ<|>"), max_size=40), max_size=4))
 def test_encodings_equal_the_library(parts):
     assert all("".join(pieces(x)) == x for x in parts)
     if not _LOADED:
