@@ -6,7 +6,8 @@ characters dropped) and matched once by an Aho-Corasick automaton that holds
 the lexicon and the exception phrases; a match inside an exception phrase does
 not count.  Entries are whole words or stems (beginnings of words).
 
-The lexicon is learned from a bounded labelled sample.  Words and word
+The lexicon is learned from a bounded labelled sample, in which a text counts
+once however many copies it has.  Words and word
 beginnings that stand in toxic documents only, after many different words, are
 taken at once; other frequent ones compete to cover the toxic documents that
 are not covered yet, so that what merely occurs in copies of a covered document
@@ -17,7 +18,9 @@ matches into a score.
 
 from __future__ import annotations
 
+import heapq
 import re
+from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ from sparkweave.llm.common import append_columns, map_slices, materialise
 from sparkweave.llm.labelled import labelled_sample
 
 PER_CLASS = 4000  # documents of a class in the training sample
-CANDIDATES, ENTRIES, LIFT = 4000, 1000, 12.0  # most candidates and entries; least ratio of their rates
+ENTRIES, LIFT = 1000, 12.0  # most entries; least ratio of their rates
 STEMS = (4, 5, 6, 7)
 SURE = 25  # different words before a term, and ratio of its rates, from which it is taken at once
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "dumbass",
@@ -109,7 +112,8 @@ def features(weight: float, text: str) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column | None = None, per_class: int = PER_CLASS) -> Lexicon:
     """Lexicon and curve from a labelled sample; without labels of both classes,
     the plain insults with the prior weight."""
-    sample = materialise(labelled_sample(docs, labels, label, per_class, rows), "toxicity-sample")
+    sample = labelled_sample(docs, labels, label, per_class, rows).groupBy("label", "text").agg(F.min("doc_id").alias("doc_id"))
+    sample = materialise(sample, "toxicity-sample")
     sizes = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     plain = Lexicon(tuple((w, False, PRIOR) for w in INSULTS))
@@ -129,39 +133,31 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
               .groupBy("term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
     lift = (F.col("toxic") + 0.5) / (n_toxic + 1) / ((F.col("clean") + 0.5) / (n_clean + 1))
     least = max(3, n_toxic // 400)
-    found = (counts.filter(((F.col("toxic") >= least) & (lift >= LIFT)) | (~F.col("stem") & F.col("term").isin(*INSULTS)))
-             .orderBy(F.desc("toxic"), "clean", "term", "stem").limit(CANDIDATES).collect())
+    found = counts.filter(((F.col("toxic") >= least) & (lift >= LIFT)) | (~F.col("stem") & F.col("term").isin(*INSULTS))).collect()
     candidates = {(r.term, r.stem): (r.toxic, r.clean) for r in found}
 
     def incidence(batches):
         for b in batches:
             out = []
-            for x in b["text"].to_pylist():
+            for doc, x in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
                 ws = ["", *_WORD.findall(folded(x))]
-                out.append(list({f"{int(s)}{t} {before}" for before, w in zip(ws, ws[1:])
-                                 for t, s in [(w, False)] + [(w[:n], True) for n in STEMS if len(w) > n] if (t, s) in candidates}))
-            yield {"terms": out}
-
-    toxic = map_slices(sample.filter("label = 1").select("text"), incidence, "terms array<string>").collect()
-    covers: dict[tuple[str, bool], set[int]] = {}
-    befores: dict[tuple[str, bool], set[str]] = {}
-    for i, r in enumerate(toxic):
-        for t in r.terms:
-            term, before = t[1:].split(" ", 1)
-            covers.setdefault((term, t[0] == "1"), set()).add(i)
-            befores.setdefault((term, t[0] == "1"), set()).add(before)
+                out += {(t, s, doc, before) for before, w in zip(ws, ws[1:])
+                        for t, s in [(w, False)] + [(w[:n], True) for n in STEMS if len(w) > n] if (t, s) in candidates}
+            yield dict(zip(("term", "stem", "doc", "before"), zip(*out))) if out else {"term": [], "stem": [], "doc": [], "before": []}
+
+    places = map_slices(sample.filter("label = 1").select("doc_id", "text"), incidence, "term string, stem boolean, doc long, before string")
+    places = materialise(places.groupBy("term", "stem").agg(
+        F.sort_array(F.collect_set("doc")).alias("docs"), F.count_distinct("before").alias("befores")), "toxicity-terms")
     # Surely toxic: hardly ever in clean documents, and after too many different words to be from copies.
-    sure = [t for t, b in befores.items() if len(b) >= SURE and candidates[t][1] * n_toxic * SURE <= candidates[t][0] * n_clean]
-    chosen, left = _narrowed(sure, candidates)[:ENTRIES], set(range(len(toxic)))
-    for t in chosen:
-        left -= covers.pop(t)
-    while len(chosen) < ENTRIES and covers:
-        gain = {t: len(d & left) - 2 * candidates[t][1] for t, d in covers.items()}
-        best = max(covers, key=lambda t: (gain[t], len(t[0]), t))
-        if gain[best] < least:
-            break
-        chosen.append(best)
-        left -= covers.pop(best)
+    sure = [t for r in places.filter(F.col("befores") >= SURE).select("term", "stem").collect()
+            if candidates[t := (r.term, r.stem)][1] * n_toxic * SURE <= candidates[t][0] * n_clean]
+    chosen = _narrowed(sure, candidates)[:ENTRIES]
+    covered = {d for r in places.filter(F.col("befores") >= SURE).collect() if (r.term, r.stem) in set(chosen) for d in r.docs}
+    # Of terms in the same documents only one can be taken: the last in order.
+    alike = (places.join(counts.select("term", "stem", "clean"), ["term", "stem"]).groupBy("docs", "clean")
+             .agg(F.max(F.struct(F.length("term").alias("n"), "term", "stem")).alias("t")))
+    covers = {(r.t.term, r.t.stem): set(r.docs) for r in alike.collect()}
+    chosen += _covering({t: d for t, d in covers.items() if t not in set(chosen)}, candidates, covered, ENTRIES - len(chosen), least)
     weigh = lambda t: float(np.log((candidates[t][0] + 0.5) / (n_toxic + 1) / ((candidates[t][1] + 0.5) / (n_clean + 1))))
     entries = {t: weigh(t) for t in chosen} | {(w, False): PRIOR for w in INSULTS if (w, False) not in candidates}
     entries |= {(w, False): weigh((w, False)) for w in INSULTS if (w, False) in candidates and weigh((w, False)) > 0}
@@ -179,13 +175,47 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     return Lexicon(lexicon.entries, _logistic(x, y))
 
 
+def _covering(covers: dict[tuple[str, bool], set[int]], counts: dict[tuple[str, bool], tuple[int, int]], covered: set[int],
+              most: int, least: int) -> list[tuple[str, bool]]:
+    """Terms that, one after another, cover most documents not covered yet, less
+    twice their clean ones, as long as that is ``least``.  What a term gains
+    only falls, so a gain is reckoned anew when it comes first."""
+    order, covered, chosen = sorted(covers, key=lambda t: (len(t[0]), t)), set(covered), []
+    gain = lambda t: len(covers[t] - covered) - 2 * counts[t][1]
+    heap = [(-g, -i) for i, t in enumerate(order) if (g := gain(t)) >= least]
+    heapq.heapify(heap)
+    while heap and len(chosen) < most:
+        t = order[-heap[0][1]]
+        if (g := gain(t)) == -heap[0][0]:
+            heapq.heappop(heap)
+            chosen.append(t)
+            covered |= covers[t]
+        elif g >= least:
+            heapq.heapreplace(heap, (-g, heap[0][1]))
+        else:
+            heapq.heappop(heap)
+    return chosen
+
+
 def _narrowed(found: list[tuple[str, bool]], counts: dict[tuple[str, bool], tuple[int, int]]) -> list[tuple[str, bool]]:
     """Without beginnings that a longer term explains (nine tenths of their
     documents), and then without terms that a remaining beginning covers."""
-    longer = [t for t in found if not (t[1] and any(
-        u != t and u[0].startswith(t[0]) and (len(u[0]) > len(t[0]) or not u[1]) and 10 * counts[u][0] >= 9 * counts[t][0] for u in found))]
-    stems = [t[0] for t in longer if t[1]]
-    return sorted((t for t in longer if not any(t[0].startswith(s) and (t[0] != s or not t[1]) for s in stems)), key=lambda t: (-counts[t][0], t))
+    order = sorted(found)
+    names = [t for t, _ in order]
+
+    def explained(t):
+        at = bisect_left(names, t[0])
+        while at < len(order) and names[at].startswith(t[0]):
+            u = order[at]
+            if u != t and (len(u[0]) > len(t[0]) or not u[1]) and 10 * counts[u][0] >= 9 * counts[t][0]:
+                return True
+            at += 1
+        return False
+
+    longer = [t for t in found if not (t[1] and explained(t))]
+    stems = {t for t, s in longer if s}
+    return sorted((t for t in longer if not any(t[0][:n] in stems and (len(t[0]) > n or not t[1]) for n in range(1, len(t[0]) + 1))),
+                  key=lambda t: (-counts[t][0], t))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[float, float, float]:

@@ -85,3 +85,37 @@ def test_sample_is_bounded_and_leaves_labels_alone(spark, given_tables):
     docs, labels = given_tables
     rows = labelled_sample(docs, labels, "quality", 20, fold("doc_id", 3) != 1).collect()
     assert len(rows) == 40 and all(brute.fold(r.doc_id, 3) != 1 for r in rows)
+
+
+def test_copies_of_a_long_toxic_document_leave_the_lexicon_whole(spark):
+    """Copies of one document with more words than the lexicon would once look at."""
+    own = " ".join(f"{a}{b}{c}quor" for a in "bcdfghjklmnpstvz" for b in "aeiouy" for c in ("rst", "mnt", "lks", "vrn", "zzt", "gld", "pph", "xio", "wun", "kee"))
+    plain = ["the", "old", "house", "by", "a", "river", "stood", "quiet"]
+    rows, labels = [], []
+    for i in range(300):
+        rows.append((i, f"{plain[i % 8]} {plain[i // 8 % 8]} {'grobnak' if i < 60 else plain[i % 5]} number{chr(97 + i % 26)} word{chr(97 + i // 26)}"))
+        labels.append((i, 0, int(i < 60)))
+    for i in range(300, 500):
+        rows.append((i, own))
+        labels.append((i, 0, 1))
+    assert len(toxicity.terms(own)) > 4000
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    automaton = lexicon.automaton()
+    assert toxicity.matched(automaton, "a grobnak here")[1] == 1
+    assert not [t for t, _, _ in lexicon.entries if t in own]
+
+
+def test_covering_equals_the_plain_choice():
+    rng = np.random.default_rng(0)
+    terms = [(f"t{i}", bool(i % 2)) for i in range(80)]
+    covers = {t: set(rng.integers(0, 60, rng.integers(1, 30)).tolist()) for t in terms}
+    counts = {t: (len(covers[t]), int(rng.integers(0, 3))) for t in terms}
+    left, rest, want = set(range(60)) - {1, 2, 3}, dict(covers), []
+    while rest and len(want) < 20:
+        gain = {t: len(d & left) - 2 * counts[t][1] for t, d in rest.items()}
+        best = max(rest, key=lambda t: (gain[t], len(t[0]), t))
+        if gain[best] < 2:
+            break
+        want.append(best)
+        left -= rest.pop(best)
+    assert toxicity._covering(covers, counts, {1, 2, 3}, 20, 2) == want
