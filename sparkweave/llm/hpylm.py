@@ -1,24 +1,30 @@
 """Hierarchical Pitman-Yor language model and per-document scores.
 
-Words are drawn from restaurants, one for each context; a context is the kind
-of the word before (``KINDS``).  Context restaurants share two parents (after a
-word, and after a mark or at the beginning), which share the root over words.
-The root's base is diffuse: it serves each distinct word at one table, and what
-is left for new tables is the probability of a word never seen, which all such
-words share as one class, as they do in the base score.
-
-Seating is sampled by blocked Gibbs sweeps.  Given the totals of all
-restaurants, words are independent, so a sweep is one pass over the table of
-word counts: all customers of a word in a restaurant are seated anew by the
-Chinese-restaurant rule, one after another (beyond 20, a twentieth of those
-seated at a time), and the proposal is accepted by the ratio of its
-normalisers.  Only the totals (a few numbers a sweep) leave the tasks; seeds
-come from the word and the sweep, so a lost task seats the same way again.
-Predictive probabilities are averaged over the sweeps after the first ones.
-
-Counts are whole-corpus aggregates, combined in the tasks.  Scores of the most
-frequent words (at most ``HEAVY``, 14 MB) are broadcast and summed where texts
-are read; rare words are joined, so no key of the join is hot.
+Words are drawn from restaurants, one for each word that was seen before
+another.  The restaurant of a word has as its parent that of the word's kind
+(``KINDS``); those share two parents (after a word, and after a mark or at the
+beginning), which share the root over words.  A word never seen as a context
+goes to its kind.  The root's base is diffuse: it serves each distinct word at
+one table, and what is left for new tables is the probability of a word never
+seen, which all such words share as one class, as they do in the base score.
+
+Seating is sampled by blocked Gibbs sweeps.  All customers of a word in a
+restaurant are seated anew by the Chinese-restaurant rule, one after another
+(beyond 20, a twentieth of those seated at a time), and the proposal is
+accepted by the ratio of its normalisers.  A sweep first seats the (context,
+word) pairs, given the tables of their context and the chance of the word in
+its parent, and then the levels above, whose customers are the tables below;
+given the totals of their restaurants, words are independent there.  A pair
+that occurs once has one table, so only the others are seated.  Seeds come from
+the pair or word and the sweep, so a lost task seats the same way again.
+
+Tables of pairs and contexts and chances of words in the kinds are averaged
+over the sweeps after the first ones; a prediction puts these averages
+together, and its probabilities sum to 1.
+
+Counts are whole-corpus aggregates, combined in the tasks.  The most frequent
+contexts and words (at most ``HEAVY`` each, 16 MB) are broadcast; rare ones and
+pairs are joined, with keys that spread for what is known already.
 """
 
 from __future__ import annotations
@@ -45,6 +51,11 @@ WORDS = 200_000
 _C = [f"c{k}" for k in range(KINDS)]
 
 
+def _kind() -> Column:
+    """Of a row's context."""
+    return F.col("u").bitwiseAND(F.lit(7))
+
+
 def _kind_of_last() -> np.ndarray:
     kinds = np.full(256, 2, "i8")
     kinds[list(b".!?")] = 1
@@ -69,33 +80,56 @@ def tokens(text: str) -> tuple[np.ndarray, np.ndarray]:
     return h, kinds
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """``h`` (64-bit hash of a word) and its occurrences in each context, in all
-    texts.  Two words of a vocabulary of 10 million share a hash with a
-    probability of about 3e-6."""
+def contexts(h: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """Key of each token's context: 61 bits of the word before, then its kind."""
+    u = np.zeros_like(h)
+    u[1:] = h[:-1] & ~7
+    return u | kinds
+
+
+def mixed(u: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """64-bit hash of a (context, word) pair."""
+    x = u.view("u8") * np.uint64(0x9E3779B97F4A7C15) ^ h.view("u8")
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (x ^ (x >> np.uint64(31))).view("i8")
+
+
+def pair_counts(docs: DataFrame) -> DataFrame:
+    """Occurrences ``c`` of each word ``h`` (64-bit hash) after each context
+    ``u``, in all texts.  Two words of a vocabulary of 10 million share a hash
+    with a probability of about 3e-6, two contexts with 2e-5."""
 
     def run(batches):
         held, n = [], 0
 
         def emit() -> dict:
-            h, kinds = (np.concatenate(x) for x in zip(*held))
-            distinct, place = np.unique(h, return_inverse=True)
-            c = np.bincount(place * KINDS + kinds, minlength=len(distinct) * KINDS).reshape(-1, KINDS)
+            u, h = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            return {"h": distinct} | {name: c[:, k] for k, name in enumerate(_C)}
+            _, first, c = np.unique(mixed(u, h), return_index=True, return_counts=True)
+            return {"u": u[first], "h": h[first], "c": c}
 
         for b in batches:
             for x in b["text"].to_pylist():
-                held.append(tokens(x))
-                n += len(held[-1][0])
+                h, kinds = tokens(x)
+                held.append((contexts(h, kinds), h))
+                n += len(h)
             if n >= GATHERED:
                 yield emit()
                 n = 0
         if held:
             yield emit()
 
-    schema = "h long, " + ", ".join(f"{c} long" for c in _C)
-    return map_slices(texts(docs).select("text"), run, schema).groupBy("h").agg(*[F.sum(c).alias(c) for c in _C])
+    return map_slices(texts(docs).select("text"), run, "u long, h long, c long").groupBy("u", "h").agg(F.sum("c").alias("c"))
+
+
+def _by_word(pairs: DataFrame, customers: Column, *more: Column) -> DataFrame:
+    """Sums of ``customers`` of each word after each kind."""
+    return pairs.groupBy("h").agg(*more, *[F.sum(F.when(_kind() == k, customers).otherwise(0)).alias(c) for k, c in enumerate(_C)])
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """``h`` and its occurrences after each kind, in all texts."""
+    return _by_word(pair_counts(docs), F.col("c"))
 
 
 def _uniform(h: np.ndarray, seed: int) -> np.ndarray:
@@ -131,14 +165,14 @@ def _erfinv(x: np.ndarray) -> np.ndarray:
     return np.sign(x) * np.sqrt(np.sqrt(b * b - a / 0.147) - b)
 
 
-def seat(c: np.ndarray, new: np.ndarray, d: float, h: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def seat(c: np.ndarray, new: np.ndarray, d: float | np.ndarray, h: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """(tables, log of the product of normalisers) of ``c`` customers of a word
     seated one after another; ``new`` is the weight of a new table."""
-    t, logs = (c > 0).astype("i8"), np.zeros(len(c))
+    t, logs, d = (c > 0).astype("i8"), np.zeros(len(c)), np.broadcast_to(d, len(c))
     at, seated, step = np.flatnonzero(c > 1), 1, 0
     while len(at):
         size = max(1, seated // 20)
-        u, total = _uniform(h[at], seed * 1009 + step), seated - d * t[at] + new[at]
+        u, total = _uniform(h[at], seed * 1009 + step), seated - d[at] * t[at] + new[at]
         if size == 1:
             logs[at] += np.log(total)
             t[at] += u * total < new[at]
@@ -166,20 +200,22 @@ class Chain:
 
     def totals(self) -> dict[str, np.ndarray]:
         c2 = np.stack(self._parents(self.t), axis=1)
-        return {"t": self.t.sum(axis=0), "c2": c2.sum(axis=0), "t2": self.t2.sum(axis=0), "c3": np.array([self.t2.sum()]),
+        return {"c1": self.c.sum(axis=0), "t": self.t.sum(axis=0), "c2": c2.sum(axis=0), "t2": self.t2.sum(axis=0), "c3": np.array([self.t2.sum()]),
                 "n1": np.array([(self.t2.sum(axis=1) == 1).sum()]), "n2": np.array([(self.t2.sum(axis=1) == 2).sum()])}
 
-    def predict(self, totals: dict, counts: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of each word in the root, the parents and the contexts."""
+    def predict(self, totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Probability of each word in the root, the parents and the kinds."""
         d, s = self.d, STRENGTH
         root = (self.t2.sum(axis=1) - d["root"]) / (s + totals["c3"][0])
         c2 = np.stack(self._parents(self.t), axis=1)
         middle = (c2 - d["parent"] * self.t2 + (s + d["parent"] * totals["t2"]) * root[:, None]) / (s + totals["c2"])
-        leaf = (self.c - d["leaf"] * self.t + (s + d["leaf"] * totals["t"]) * middle[:, PARENT]) / (s + counts)
+        leaf = (self.c - d["leaf"] * self.t + (s + d["leaf"] * totals["t"]) * middle[:, PARENT]) / (s + totals["c1"])
         return root, middle, leaf
 
-    def sweep(self, number: int, totals: dict, counts: np.ndarray, n_words: int) -> None:
-        root, middle, _ = self.predict(totals, counts, n_words)
+    def sweep(self, number: int, totals: dict, customers: np.ndarray) -> None:
+        """Seats ``customers`` anew, given the totals of the sweep before."""
+        root, middle, _ = self.predict(totals)
+        self.c, self.t = customers, np.minimum(self.t, customers)
         d, s = self.d, STRENGTH
         for k in range(KINDS):
             new = (s + d["leaf"][k] * totals["t"][k]) * np.maximum(middle[:, PARENT[k]], 1e-300)
@@ -204,25 +240,34 @@ class Model:
     """What the driver keeps: totals of the sweeps, and averaged chances of a
     word never seen."""
 
-    def __init__(self, n_tokens: int, n_words: int, counts: np.ndarray, discounts: dict, totals: list[dict]):
-        self.n_tokens, self.n_words, self.counts, self.discounts, self.totals = n_tokens, n_words, counts, discounts, totals
-
-    def probabilities(self, h: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """Averaged predictive probability of each word in each context."""
-        chain_, out = Chain(h, c, self.discounts), np.zeros(c.shape)
+    def __init__(self, n_tokens: int, n_words: int, discounts: dict, totals: list[dict]):
+        self.n_tokens, self.n_words, self.discounts, self.totals = n_tokens, n_words, discounts, totals
+
+    def replayed(self, h: np.ndarray, history: list[np.ndarray]) -> Chain:
+        """The chain of words after the sweeps whose customers ``history`` has."""
+        chain_ = Chain(h, history[0], self.discounts)
+        for i, customers in enumerate(history[1:]):
+            chain_.sweep(i, self.totals[i], customers)
+        return chain_
+
+    def probabilities(self, h: np.ndarray, c: np.ndarray | list[np.ndarray]) -> np.ndarray:
+        """Averaged predictive probability of each word in each kind; ``c``: its
+        customers there, in each sweep if they change."""
+        history = c if isinstance(c, list) else [c] * len(self.totals)
+        chain_, out = Chain(h, history[0], self.discounts), np.zeros(history[0].shape)
         for i, totals in enumerate(self.totals[1:]):
-            chain_.sweep(i, self.totals[i], self.counts, self.n_words)
+            chain_.sweep(i, self.totals[i], history[i + 1])
             if i >= BURN_IN:
-                out += chain_.predict(totals, self.counts, self.n_words)[2]
+                out += chain_.predict(totals)[2]
         return out / (len(self.totals) - 1 - BURN_IN)
 
     def unseen(self) -> np.ndarray:
-        """Averaged probability, in each context, of all words never seen."""
+        """Averaged probability, in each kind, of all words never seen."""
         out, d, s = np.zeros(KINDS), self.discounts, STRENGTH
         for totals in self.totals[1 + BURN_IN:]:
             root = (s + d["root"] * self.n_words) / (s + totals["c3"][0])
             middle = (s + d["parent"] * totals["t2"]) / (s + totals["c2"]) * root
-            out += (s + d["leaf"] * totals["t"]) / (s + self.counts) * middle[PARENT]
+            out += (s + d["leaf"] * totals["t"]) / (s + totals["c1"]) * middle[PARENT]
         return out / (len(self.totals) - 1 - BURN_IN)
 
     def base(self, c: np.ndarray) -> np.ndarray:
@@ -236,39 +281,120 @@ def _discount(n1, n2) -> np.ndarray:
     return np.clip((n1 + 0.5) / (n1 + 2 * n2 + 1), 0.1, 0.9)
 
 
-def _matrix(b) -> tuple[np.ndarray, np.ndarray]:
-    return b["h"].to_numpy(), np.stack([b[c].to_numpy() for c in _C], axis=1)
+def _history(b, sweeps: int) -> list[np.ndarray]:
+    """Customers of words in the first seating and in each of the sweeps."""
+    named = lambda i: [f"{c}_{i}" if i and f"{c}_{i}" in b.schema.names else c for c in _C]
+    return [np.stack([b[c].to_numpy() for c in named(i)], axis=1) for i in range(sweeps + 1)]
 
 
-def fit(counts: DataFrame) -> Model:
-    """Model of a (written) table of word counts."""
-    total = sum(F.col(c) for c in _C)
-    one, two = ([F.count(F.when(F.col(c) == n, 1)).alias(f"{c}_{n}") for c in _C] for n in (1, 2))
-    r = counts.agg(F.count("*").alias("n_words"), F.sum(total).alias("n"), *[F.sum(c).alias(c) for c in _C], *one, *two).first()
-    sums = np.array([r[c] or 0 for c in _C], float)
+_TOTALS = [("c1", KINDS), ("t", KINDS), ("c2", 2), ("t2", 2), ("c3", 1), ("n1", 1), ("n2", 1)]
+
+
+def _total(words: DataFrame, model: Model, sweeps: int) -> dict[str, np.ndarray]:
+    """Totals of the kinds and above after so many sweeps."""
+    flat = [f"{k}_{i}" for k, n in _TOTALS for i in range(n)]
+
+    def run(batches):
+        for b in batches:
+            t = model.replayed(b["h"].to_numpy(), _history(b, sweeps)).totals()
+            yield {f"{k}_{i}": [int(t[k][i])] for k, n in _TOTALS for i in range(n)}
+
+    r = map_slices(words, run, ", ".join(f"{c} long" for c in flat), WORDS).agg(*[F.sum(c).alias(c) for c in flat]).first()
+    return {k: np.array([r[f"{k}_{i}"] or 0 for i in range(n)], float) for k, n in _TOTALS}
+
+
+def _begun(words: DataFrame, n: Column) -> Model:
+    """Model after the first seating of a (written) table of words, of which
+    ``n`` are the occurrences."""
+    one, two = ([F.count(F.when(F.col(c) == m, 1)).alias(f"{c}_{m}") for c in _C] for m in (1, 2))
+    r = words.agg(F.count("*").alias("n_words"), F.sum(n).alias("n"), *one, *two).first()
     leaf = _discount([r[f"{c}_1"] for c in _C], [r[f"{c}_2"] for c in _C])
-    model = Model(r.n or 0, r.n_words, sums, {"leaf": leaf, "parent": np.array([0.75, 0.75]), "root": 0.75}, [])
-    keys = [("t", KINDS), ("c2", 2), ("t2", 2), ("c3", 1), ("n1", 1), ("n2", 1)]
-    flat = [f"{k}_{i}" for k, n in keys for i in range(n)]
-    for sweep in range(SWEEPS + 1):
+    model = Model(r.n or 0, r.n_words, {"leaf": leaf, "parent": np.array([0.75, 0.75]), "root": 0.75}, [])
+    t = _total(words, model, 0)
+    model.discounts["root"] = float(_discount(t["n1"], t["n2"])[0])
+    model.totals.append(t)
+    return model
 
-        def run(batches, done=sweep, state=model):
-            for b in batches:
-                h, c = _matrix(b)
-                chain_ = Chain(h, c, state.discounts)
-                for i in range(done):
-                    chain_.sweep(i, state.totals[i], state.counts, state.n_words)
-                t = chain_.totals()
-                yield {f"{k}_{i}": [int(t[k][i])] for k, n in keys for i in range(n)}
-
-        sums_of = map_slices(counts, run, ", ".join(f"{c} long" for c in flat), WORDS).agg(*[F.sum(c).alias(c) for c in flat]).first()
-        model.totals.append({k: np.array([sums_of[f"{k}_{i}"] or 0 for i in range(n)], float) for k, n in keys})
-        if not sweep:  # the discounts of the upper levels, by the first seating
-            t = model.totals[0]
-            model.discounts["root"] = float(_discount(t["n1"], t["n2"])[0])
+
+def fit(counts: DataFrame) -> Model:
+    """Model of the kinds and above, of a (written) table of word counts."""
+    model = _begun(counts, sum(F.col(c) for c in _C))
+    for sweep in range(1, SWEEPS + 1):
+        model.totals.append(_total(counts, model, sweep))
     return model
 
 
+def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame, DataFrame]:
+    """(model of the kinds and above, discounts of the contexts by kind,
+    contexts, words, pairs) of a (written) table of pair counts.  Contexts have
+    ``u``, customers ``n`` and ``tables``; words have ``h``, occurrences ``n``
+    and their customers in each sweep; pairs have ``u``, ``h`` and ``left``
+    (customers less the discounts of their tables)."""
+    seen = {r.k: r for r in pairs.groupBy(_kind().alias("k")).agg(*[F.count(F.when(F.col("c") == m, 1)).alias(f"n{m}") for m in (1, 2)]).collect()}
+    d = np.array([float(_discount(seen[k].n1, seen[k].n2)) if k in seen else 0.75 for k in range(KINDS)])
+    places = materialise(pairs.groupBy("u").agg(F.sum("c").alias("n"), F.count("*").alias("types")), "contexts")
+    words = materialise(_by_word(pairs, F.lit(1), F.sum("c").alias("n")), "words")
+    model = _begun(words, F.col("n"))
+    more = pairs.filter("c > 1")
+    state = more.withColumns({"t": F.lit(1).cast("long"), "logs": F.lit(None).cast("double"), "sum": F.lit(0).cast("long")})
+    tables = places.select("u", F.col("types").alias("tables"))
+    total = tables.select("u", F.lit(0).cast("long").alias("sum"))
+    for sweep in range(1, SWEEPS + 1):
+
+        def chances(batches, done=sweep - 1, model=model):
+            for b in batches:
+                h = b["h"].to_numpy()
+                chance = model.replayed(h, _history(b, done)).predict(model.totals[done])[2]
+                yield {"h": h} | {f"p{k}": chance[:, k] for k in range(KINDS)}
+
+        def seated(batches, sweep=sweep):
+            for b in batches:
+                u, h, c, old, p, n = (b[x].to_numpy() for x in ("u", "h", "c", "t", "p", "tables"))
+                discount, key = d[u & 7], mixed(u, h)
+                t, logs = seat(c, (STRENGTH + discount * n) * np.maximum(p, 1e-300), discount, key, sweep * 31 + 25)
+                if sweep > 1:
+                    before = b["logs"].to_numpy()
+                    take = np.log(_uniform(key, (sweep * 31 + 25) * 7 + 3)) < logs - before
+                    t, logs = np.where(take, t, old), np.where(take, logs, before)
+                yield {"u": u, "h": h, "c": c, "t": t, "logs": logs, "sum": b["sum"].to_numpy() + (t if sweep > BURN_IN else 0)}
+
+        chance = map_slices(words, chances, "h long, " + ", ".join(f"p{k} double" for k in range(KINDS)), WORDS)
+        given = state.join(tables, "u").join(chance, "h").select(
+            "u", "h", "c", "t", "logs", "sum", "tables", F.element_at(F.array(*[f"p{k}" for k in range(KINDS)]), (_kind() + 1).cast("int")).alias("p"))
+        state = materialise(map_slices(given, seated, "u long, h long, c long, t long, logs double, sum long", WORDS), f"pairs-{sweep}")
+        further = state.filter("t > 1").withColumn("more", F.col("t") - 1)
+        here = places.join(total, "u").join(further.groupBy("u").agg(F.sum("more").alias("more")), "u", "left").withColumn(
+            "tables", F.col("types") + F.coalesce("more", F.lit(0)))
+        here = materialise(here.select("u", "n", "types", "tables", (F.col("sum") + (F.col("tables") if sweep > BURN_IN else 0)).alias("sum")), f"contexts-{sweep}")
+        places, tables, total = here.select("u", "n", "types"), here.select("u", "tables"), here.select("u", "sum")
+        added = _by_word(further, F.col("more")).select("h", *[F.col(c).alias(f"more_{c}") for c in _C])
+        words = materialise(words.join(added, "h", "left").select(
+            *words.columns, *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(f"{c}_{sweep}") for c in _C]), f"words-{sweep}")
+        model.totals.append(_total(words, model, sweep))
+    discount = F.element_at(F.array(*[F.lit(float(x)) for x in d]), (_kind() + 1).cast("int"))
+    kept = SWEEPS - BURN_IN
+    left = (pairs.filter("c = 1").select("u", "h", (1 - discount).alias("left"))
+            .union(state.select("u", "h", (F.col("c") - discount * F.col("sum") / kept).alias("left"))))
+    return model, d, here.select("u", "n", (F.col("sum") / kept).alias("tables")), words, left
+
+
+def _most_frequent(table: DataFrame, key: str) -> list:
+    """At most ``HEAVY`` rows of the largest ``n``, by ``key``."""
+    step, room, least = F.floor(F.log2("n") * 4), HEAVY, None
+    for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.step
+    return table.filter(step >= least).orderBy(key).collect() if least is not None else []
+
+
+def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place among the sorted ``known``, whether it is there) of each key."""
+    place = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    return place, known[place] == keys if len(known) else np.zeros(len(keys), bool)
+
+
 def scores(docs: DataFrame, training: Column) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score``, ``score`` and ``perplexity`` of every row.
@@ -279,62 +405,77 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     each; extra columns are ignored; an empty table gives no rows; without
     training rows every word is unseen, with a probability of one."""
     rows = texts(docs).withColumn("held_out", ~F.coalesce(training, F.lit(False)))
-    counts = materialise(word_counts(rows.filter(~F.col("held_out")).select("doc_id", "text")), "word-counts")
-    model = fit(counts)
+    pairs = materialise(pair_counts(rows.filter(~F.col("held_out")).select("doc_id", "text")), "pair-counts")
+    model, d, places, words, left = fit_pairs(pairs)
     p = [f"p{k}" for k in range(KINDS)]
 
     def weigh(batches):
         for b in batches:
-            h, c = _matrix(b)
-            logs = np.log10(model.probabilities(h, c))
-            yield {"h": h, "n": c.sum(axis=1), "base": model.base(c.sum(axis=1))} | {x: logs[:, k] for k, x in enumerate(p)}
-
-    known = materialise(map_slices(counts, weigh, "h long, n long, base double, " + ", ".join(f"{x} float" for x in p), WORDS), "word-scores")
-    step, room, least = F.floor(F.log2("n") * 4), HEAVY, None
-    for r in known.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
-        room -= r["count"]
-        if room < 0:
-            break
-        least = r.step
-    heavy = known.filter(step >= least).orderBy("h").collect() if least is not None else []
+            h, n = b["h"].to_numpy(), b["n"].to_numpy()
+            chance = model.probabilities(h, _history(b, SWEEPS))
+            yield {"h": h, "n": n, "base": model.base(n)} | {x: chance[:, k] for k, x in enumerate(p)}
+
+    known = materialise(map_slices(words, weigh, "h long, n long, base double, " + ", ".join(f"{x} float" for x in p), WORDS), "word-scores")
+    discount = F.element_at(F.array(*[F.lit(float(x)) for x in d]), (_kind() + 1).cast("int"))
+    # Of a context: what a customer counts, and the weight of its kind.
+    places = places.select("u", "n", (1 / (STRENGTH + F.col("n"))).alias("one"),
+                           ((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("n"))).alias("above"))
+    often, heavy = _most_frequent(places, "u"), _most_frequent(known, "h")
     shared = docs.sparkSession.sparkContext.broadcast((
-        np.array([r.h for r in heavy], "i8"), np.array([r.base for r in heavy]), np.array([[r[x] for x in p] for r in heavy]).reshape(-1, KINDS)))
+        np.array([r.u for r in often], "i8"), np.array([(r.one, r.above) for r in often]).reshape(-1, 2),
+        np.array([r.h for r in heavy], "i8"), np.array([r.base for r in heavy]), np.array([[r[x] for x in p] for r in heavy], "f4").reshape(-1, KINDS)))
     names = [f.name for f in arrow_schema(_SPREAD)]
 
     def spread(batches):
-        at_heavy, base, score = shared.value
+        at_often, weights, at_heavy, base, chance = shared.value
         for b in batches:
             out = {c: [] for c in names}
             for row, doc, held, x in zip(*[b[c].to_pylist() for c in ("row", "doc_id", "held_out", "text")]):
                 h, kinds = tokens(x)
-                place = np.minimum(np.searchsorted(at_heavy, h), max(0, len(at_heavy) - 1))
-                found = at_heavy[place] == h if len(at_heavy) else np.zeros(len(h), bool)
-                rare, freq = np.unique(np.stack([h[~found], kinds[~found]]), axis=1, return_counts=True)
-                n, more = int(found.sum()), len(freq)
-                at = place[found]
+                u = contexts(h, kinds)
+                _, first, freq = np.unique(mixed(u, h), return_index=True, return_counts=True)
+                n, u, h = len(h), u[first], h[first]
+                at_u, has_u = _found(at_often, u)
+                at_h, has_h = _found(at_heavy, h)
+                more = len(h)
+                one, above, p_above, p_base = (np.full(more, np.nan) for _ in range(4))
+                one[has_u], above[has_u] = weights[at_u[has_u]].T
+                p_above[has_h], p_base[has_h] = chance[at_h[has_h], u[has_h] & 7], base[at_h[has_h]]
                 spot = word_hash(b"\0%d" % row) - (1 << 63)  # the document's own row: any key that spreads
-                for c, first, rest in (("h", [spot], rare[0]), ("kind", [0], rare[1]), ("freq", [0], freq), ("tokens", [len(h)], np.zeros(more, "i8")),
-                                       ("known", [n], np.zeros(more, "i8")), ("base", [base[at].sum()], np.zeros(more)),
-                                       ("score", [score[at, kinds[found]].sum()], np.zeros(more)), ("row", [row], np.full(more, row))):
-                    out[c] += [np.asarray(first), rest]
+                for c, own, rest in (("u", 0, u), ("h", spot, h), ("freq", 0, freq), ("tokens", n, np.zeros(more, "i8")), ("row", row, np.full(more, row)),
+                                     ("one", 1.0, one), ("above", 1.0, above), ("chance", 1.0, p_above), ("base", 0.0, p_base)):
+                    out[c] += [np.asarray([own]), rest]
                 out["doc_id"] += [doc] + [None] * more
                 out["held_out"] += [held] + [None] * more
             yield {c: v if c in ("doc_id", "held_out") else np.concatenate(v) for c, v in out.items()} if out["row"] else out
 
-    known = known.select("h", F.col("base").alias("word_base"), F.array(*p).alias("word_scores"))
-    unseen = F.array(*[F.lit(float(x)) for x in np.log10(model.unseen())])
-    seen = F.col("word_base").isNotNull()
-    kind = F.col("kind") + 1
     # A row's number is made and used in one pass, so it needs no stable order of the rows.
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    total = (map_slices(numbered, spread, _SPREAD).join(known, "h", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"), F.sum(F.col("known") + F.when(seen, F.col("freq")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("freq") * F.coalesce("word_base", F.lit(float(model.base(np.array(0)))))).alias("base_score"),
-        F.sum(F.col("score") + F.col("freq") * F.when(seen, F.element_at("word_scores", kind).cast("double"))
-              .otherwise(F.element_at(unseen, kind))).alias("score")))
+    met = map_slices(numbered, spread, _SPREAD).join(left, ["u", "h"], "left").withColumn("left", F.coalesce("left", F.lit(0.0)))
+    rare_u, rare_h = F.isnan("above"), F.isnan("chance")
+    unseen = F.array(*[F.lit(float(x)) for x in model.unseen()])
+    at = (_kind() + 1).cast("int")
+    looked = (met.filter(rare_u | rare_h)
+              .withColumn("u_key", F.when(rare_u, F.col("u")).otherwise(F.xxhash64("row", "h")))
+              .withColumn("h_key", F.when(rare_h, F.col("h")).otherwise(F.xxhash64("row", "u", "h")))
+              .join(places.select(F.col("u").alias("u_key"), F.col("one").alias("one_u"), F.col("above").alias("above_u")), "u_key", "left")
+              .join(known.select(F.col("h").alias("h_key"), F.col("base").alias("base_h"), F.array(*p).alias("chance_h")), "h_key", "left"))
+    is_known = ~rare_h | F.col("base_h").isNotNull()
+    looked = looked.select(
+        "row", "doc_id", "held_out", "tokens", "freq", "left", is_known.alias("known"),
+        F.when(rare_u, F.coalesce("one_u", F.lit(0.0))).otherwise(F.col("one")).alias("one"),
+        F.when(rare_u, F.coalesce("above_u", F.lit(1.0))).otherwise(F.col("above")).alias("above"),
+        F.when(rare_h, F.coalesce(F.element_at("chance_h", at).cast("double"), F.element_at(unseen, at))).otherwise(F.col("chance")).alias("chance"),
+        F.when(rare_h, F.coalesce("base_h", F.lit(float(model.base(np.array(0)))))).otherwise(F.col("base")).alias("base"))
+    whole = met.filter(~rare_u & ~rare_h).withColumn("known", F.lit(True)).select(*looked.columns).union(looked)
+    total = whole.groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"),
+        F.sum(F.when(F.col("known"), F.col("freq")).otherwise(0)).alias("n_known"), F.sum(F.col("freq") * F.col("base")).alias("base_score"),
+        F.sum(F.col("freq") * F.log10(F.col("left") * F.col("one") + F.col("above") * F.col("chance"))).alias("score"))
     return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-_SPREAD = "row long, doc_id long, held_out boolean, h long, kind int, freq long, tokens long, known long, base double, score double"
+_SPREAD = ("row long, doc_id long, held_out boolean, u long, h long, freq long, tokens long, "
+           "one double, above double, chance double, base double")

@@ -78,3 +78,35 @@ def test_seating():
             k += rng.random() < 0.8 / (n - 0.5 * k + 0.8)
         plain.append(k)
     assert abs(t.mean() - np.mean(plain)) < 0.15 and t.min() >= 1 and (t <= c).all()
+
+
+def test_word_contexts(spark):
+    """A word is likelier after the word it follows than after another of the same kind."""
+    rows = [(i, ("abc one. xyz two. " if i % 2 else "xyz two. abc one. ") * 5) for i in range(40)]
+    rows += [(100, "abc one. "), (101, "abc two. "), (102, "xyz two. "), (103, "nnn one. ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in hpylm.scores(docs, F.col("doc_id") < 100).collect()}
+    assert found[100] > found[101] + 0.5 and found[102] > found[101] + 0.5
+
+
+def test_probabilities_after_each_word_add_up(spark):
+    from sparkweave.llm.common import materialise
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    pairs = materialise(hpylm.pair_counts(docs), "pairs")
+    counted = Counter()
+    for r in docs.select("text").collect():
+        h, kinds = hpylm.tokens(r.text or "")
+        counted.update(zip(hpylm.contexts(h, kinds).tolist(), h.tolist()))
+    assert {(r.u, r.h): r.c for r in pairs.collect()} == counted
+    model, d, places, words, left = hpylm.fit_pairs(pairs)
+    pdf = words.toPandas()
+    import pyarrow as pa
+    history = hpylm._history(pa.Table.from_pandas(pdf), hpylm.SWEEPS)
+    p = model.probabilities(pdf["h"].to_numpy(), history).sum(axis=0) + model.unseen()
+    assert p == pytest.approx(np.ones(hpylm.KINDS), abs=1e-6)
+    sums = left.groupBy("u").agg(F.sum("left").alias("left")).join(places, "u").collect()
+    assert len(sums) == len({u for u, _ in counted})
+    for r in sums:
+        above = hpylm.STRENGTH + d[r.u & 7] * r.tables
+        assert (r.left + above) / (hpylm.STRENGTH + r.n) == pytest.approx(1)
+        assert r.tables >= 1 and r.left > 0
