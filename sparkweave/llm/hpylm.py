@@ -39,7 +39,7 @@ from sparkweave.llm.common import arrow_schema, map_slices, materialise, texts,
 
 KINDS = 8  # start; after a sentence mark; another mark; a digit; a word of up to 2, 4, 7, more bytes
 PARENT = np.array([0, 0, 0, 0, 1, 1, 1, 1])  # of each kind's restaurant
-SWEEPS, BURN_IN = 3, 1
+SWEEPS, BURN_IN = 4, 1
 STRENGTH = 1.0
 HEAVY = 131_072
 END = b""  # what closes a text
@@ -200,7 +200,8 @@ class Chain:
 
     def totals(self) -> dict[str, np.ndarray]:
         c2 = np.stack(self._parents(self.t), axis=1)
-        return {"c1": self.c.sum(axis=0), "t": self.t.sum(axis=0), "c2": c2.sum(axis=0), "t2": self.t2.sum(axis=0), "c3": np.array([self.t2.sum()]),
+        return {"c1": self.c.sum(axis=0), "t": self.t.sum(axis=0), "c2": c2.sum(axis=0),
+                "m1": (c2 == 1).sum(axis=0), "m2": (c2 == 2).sum(axis=0), "t2": self.t2.sum(axis=0), "c3": np.array([self.t2.sum()]),
                 "n1": np.array([(self.t2.sum(axis=1) == 1).sum()]), "n2": np.array([(self.t2.sum(axis=1) == 2).sum()])}
 
     def predict(self, totals: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -287,7 +288,7 @@ def _history(b, sweeps: int) -> list[np.ndarray]:
     return [np.stack([b[c].to_numpy() for c in named(i)], axis=1) for i in range(sweeps + 1)]
 
 
-_TOTALS = [("c1", KINDS), ("t", KINDS), ("c2", 2), ("t2", 2), ("c3", 1), ("n1", 1), ("n2", 1)]
+_TOTALS = [("c1", KINDS), ("t", KINDS), ("c2", 2), ("m1", 2), ("m2", 2), ("t2", 2), ("c3", 1), ("n1", 1), ("n2", 1)]
 
 
 def _total(words: DataFrame, model: Model, sweeps: int) -> dict[str, np.ndarray]:
@@ -309,8 +310,9 @@ def _begun(words: DataFrame, n: Column) -> Model:
     one, two = ([F.count(F.when(F.col(c) == m, 1)).alias(f"{c}_{m}") for c in _C] for m in (1, 2))
     r = words.agg(F.count("*").alias("n_words"), F.sum(n).alias("n"), *one, *two).first()
     leaf = _discount([r[f"{c}_1"] for c in _C], [r[f"{c}_2"] for c in _C])
-    model = Model(r.n or 0, r.n_words, {"leaf": leaf, "parent": np.array([0.75, 0.75]), "root": 0.75}, [])
-    t = _total(words, model, 0)
+    model = Model(r.n or 0, r.n_words, {"leaf": leaf}, [])
+    t = _total(words, model, 0)  # the first seating, which gives the discounts of the upper levels
+    model.discounts["parent"] = _discount(t["m1"], t["m2"])
     model.discounts["root"] = float(_discount(t["n1"], t["n2"])[0])
     model.totals.append(t)
     return model

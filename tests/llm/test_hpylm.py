@@ -110,3 +110,15 @@ def test_probabilities_after_each_word_add_up(spark):
         above = hpylm.STRENGTH + d[r.u & 7] * r.tables
         assert (r.left + above) / (hpylm.STRENGTH + r.n) == pytest.approx(1)
         assert r.tables >= 1 and r.left > 0
+
+
+def test_discounts_of_the_parents(spark):
+    from sparkweave.llm.common import materialise
+    counts = materialise(hpylm.word_counts(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")), "counts")
+    model = hpylm.fit(counts)
+    c = counts.toPandas()[hpylm._C].to_numpy()
+    for g in (0, 1):
+        customers = (c[:, hpylm.PARENT == g] > 0).sum(axis=1)
+        n1, n2 = (customers == 1).sum(), (customers == 2).sum()
+        assert model.discounts["parent"][g] == pytest.approx(min(0.9, max(0.1, (n1 + 0.5) / (n1 + 2 * n2 + 1))))
+    assert hpylm.SWEEPS >= 4 and len(model.totals) == hpylm.SWEEPS + 1
