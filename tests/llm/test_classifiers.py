@@ -119,3 +119,11 @@ def test_covering_equals_the_plain_choice():
         want.append(best)
         left -= rest.pop(best)
     assert toxicity._covering(covers, counts, {1, 2, 3}, 20, 2) == want
+
+
+def test_labels_of_missing_documents_use_up_no_places(spark, given_tables):
+    docs, labels = given_tables
+    there = docs.join(labels, "doc_id").filter("quality = 1").select(docs["*"])
+    n = there.join(labels.filter("toxic = 0"), "doc_id", "left_semi").select("doc_id").distinct().count()
+    sample = labelled_sample(there, labels, "toxic", n, None).filter("label = 0")
+    assert n and sample.count() == n
