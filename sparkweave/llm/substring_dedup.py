@@ -4,7 +4,7 @@ A window is ``window`` consecutive words.  With a difference cover D modulo a
 period v, two equal windows at any two places i and j have an offset d below v
 with both i + d and j + d in D modulo v; so both hold, there, the same anchor of
 ``window - v + 1`` words.  Anchors are hashed at cover positions alone.  Those
-that occur twice are extended: every window around them is hashed whole (128
+that occur twice are extended: every window around them is hashed whole (96
 bits), and windows that occur twice are removed.
 
 Texts are numbered and written once, in buckets of the number, so that both
@@ -32,7 +32,7 @@ WINDOW = 35
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16)}
 #: Places a task looks at together for what it meets twice.
 TOGETHER = 1 << 20
-PLACES = "row long, pos int"
+KEYED, PLACES = "k0 long, row long, tail long", "row long, pos int"
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -77,34 +77,30 @@ class Hashed:
         return text, np.arange(len(text)) - self.starts[text]
 
 
-def _known(parts: list[tuple[np.ndarray, ...]], keys: int) -> dict:
-    """Places (key..., row, pos) of a task: of those with a key that occurs
-    twice, the first stays under its key and the others get one of their own;
-    all of them are marked (pos is negative)."""
-    *key, row, pos = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort(key[::-1])
-    key, row, pos = [k[order] for k in key], row[order], pos[order]
-    same = np.ones(max(len(row) - 1, 0), bool)
-    for k in key:
-        same &= k[1:] == k[:-1]
-    later = np.concatenate([[False], same]) if len(row) else same
-    repeated = later | (np.concatenate([same, [False]]) if len(row) else same)
-    own = mixed(row[later].astype("u8") * _BASE + pos[later].astype("u8"))
-    for i, k in enumerate(key):
-        k[later] = mixed(own + np.uint64(i)).view("i8")
-    return dict(zip([*(f"k{i}" for i in range(keys)), "row", "pos"], [*key, row, np.where(repeated, ~pos, pos).astype("i4")]))
-
-
-def _emitted(found: Iterator[tuple[np.ndarray, ...]], keys: int) -> Iterator[dict]:
+def _known(key: np.ndarray, more: np.ndarray, row: np.ndarray, pos: np.ndarray) -> dict:
+    """Places of a task under ``k0`` and a ``tail``: 32 more bits of the key, whether
+    the place is known to repeat, and its position.  Of places with a key that
+    occurs twice the first stays under it and the others get keys of their own;
+    all of them are known."""
+    order = np.lexsort((more, key))
+    key, more, row, pos = key[order], more[order], row[order], pos[order]
+    same = (key[1:] == key[:-1]) & (more[1:] == more[:-1])
+    later, repeated = np.append(False, same), np.append(same, False)
+    repeated |= later
+    key[later] = mixed(row[later].astype("u8") * _BASE + pos[later].astype("u8")).view("i8")
+    return {"k0": key, "row": row, "tail": (more.astype("i8") << 32) | (repeated.astype("i8") << 31) | pos}
+
+
+def _emitted(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[dict]:
     held, n = [], 0
     for part in found:
         held.append(part)
         n += len(part[0])
         if n >= TOGETHER:
-            yield _known(held, keys)
+            yield _known(*(np.concatenate(x) for x in zip(*held)))
             held, n = [], 0
     if n:
-        yield _known(held, keys)
+        yield _known(*(np.concatenate(x) for x in zip(*held)))
 
 
 def _anchors(window: int) -> Callable:
@@ -119,9 +115,9 @@ def _anchors(window: int) -> Callable:
                 # Only texts of a whole window have one; their anchors end within them.
                 at = np.flatnonzero(covered[pos % period] & (pos + length <= hashed.sizes[text]) & (hashed.sizes[text] >= window))
                 row = b["row"].to_numpy()
-                yield hashed.windows(at, length), row[text[at]], pos[at]
+                yield hashed.windows(at, length), np.zeros(len(at), "i4"), row[text[at]], pos[at]
 
-        yield from _emitted(found(), 1)
+        yield from _emitted(found())
 
     return run
 
@@ -141,47 +137,45 @@ def _windows(window: int) -> Callable:
                 np.add.at(change, hashed.starts[of] + anchors + 1, -1)
                 at = np.flatnonzero((np.cumsum(change)[:-1] > 0) & (pos + window <= hashed.sizes[text]))
                 row = b["row"].to_numpy()
-                yield hashed.windows(at, window, 0), hashed.windows(at, window, 1), row[text[at]], pos[at]
+                yield hashed.windows(at, window, 0), hashed.windows(at, window, 1).astype("i4"), row[text[at]], pos[at]
 
-        yield from _emitted(found(), 2)
+        yield from _emitted(found())
 
     return run
 
 
-def _repeated(names: list[str]) -> Callable:
-    """Places whose key (sorted input) occurs twice or was known to."""
-
-    def run(tables):
-        held: list[np.ndarray] | None = None
-        for t in tables:
-            new = [t[c].to_numpy() for c in (*names, "row", "pos")]
-            all_ = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            differs = np.zeros(len(all_[0]) - 1, bool)
-            for k in all_[:len(names)]:
-                differs |= k[1:] != k[:-1]
-            last = int(np.flatnonzero(differs)[-1]) + 1 if differs.any() else 0
-            held = [x[last:] for x in all_]  # the last group may go on
-            if last:
-                yield _of_groups([x[:last] for x in all_], differs[:last - 1])
-        if held is not None:
-            yield _of_groups(held, np.zeros(len(held[0]) - 1, bool))
+def _repeated(tables: Iterator) -> Iterator[dict]:
+    """Places whose key (sorted input) occurs twice or is known to."""
+    held: list[np.ndarray] | None = None
+    for t in tables:
+        rows = [t[c].to_numpy() for c in ("k0", "tail", "row")]
+        rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
+        starts = _starts(*rows[:2])
+        held = [x[starts[-1]:] for x in rows]  # the last group may go on
+        yield _of_groups([x[:starts[-1]] for x in rows], starts[:-1])
+    if held is not None:
+        yield _of_groups(held, np.zeros(1, "i8"))
 
-    return run
+
+def _starts(key: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    more = tail >> 32
+    return np.append(0, np.flatnonzero((key[1:] != key[:-1]) | (more[1:] != more[:-1])) + 1)
 
 
-def _of_groups(columns: list[np.ndarray], differs: np.ndarray) -> dict:
-    row, pos = columns[-2:]
-    starts = np.concatenate([[0], np.flatnonzero(differs) + 1])
-    sizes = np.diff([*starts, len(row)])
-    repeats = np.repeat((sizes > 1) | np.logical_or.reduceat(pos < 0, starts), sizes)
-    pos = np.where(pos < 0, ~pos, pos)
-    return {"row": row[repeats], "pos": pos[repeats]}
+def _of_groups(rows: list[np.ndarray], starts: np.ndarray) -> dict:
+    _, tail, row = rows
+    if not len(starts):
+        return {"row": row, "pos": tail.astype("i4")}
+    sizes = np.diff(np.append(starts, len(row)))
+    known = np.logical_or.reduceat((tail >> 31 & 1).astype(bool), starts)
+    repeats = np.repeat((sizes > 1) | known, sizes)
+    return {"row": row[repeats], "pos": (tail[repeats] & 0x7FFFFFFF).astype("i4")}
 
 
-def _places(found: DataFrame, keys: list[str]) -> DataFrame:
+def _places(found: DataFrame) -> DataFrame:
     """By text, the places whose key occurs twice."""
-    together = found.repartition(*keys).sortWithinPartitions(*keys)
-    dup = map_slices(together, _repeated(keys), PLACES, rows=SLICE_ROWS * 64)
+    together = found.repartition("k0").sortWithinPartitions("k0", "tail")
+    dup = map_slices(together, _repeated, PLACES, rows=SLICE_ROWS * 64)
     return dup.groupBy("row").agg(F.collect_list("pos").alias("places"))
 
 
@@ -208,11 +202,10 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shorter than a window keeps all; repeated rows and null ids are texts of
     their own; extra columns are ignored; an empty table gives no rows."""
     rows = _bucketed(texts(docs).withColumn("row", F.monotonically_increasing_id()), "row")
-    anchors = map_slices(rows.select("row", "text"), _anchors(window), "k0 long, row long, pos int")
-    places = materialise(_places(anchors, ["k0"]), "anchors")
-    extended = map_slices(rows.select("row", "text").join(places.hint("shuffle_hash"), "row"), _windows(window),
-                          "k0 long, k1 long, row long, pos int")
-    starts = materialise(_places(extended, ["k0", "k1"]), "windows")
+    anchors = map_slices(rows.select("row", "text"), _anchors(window), KEYED)
+    places = materialise(_places(anchors), "anchors")
+    extended = map_slices(rows.select("row", "text").join(places.hint("shuffle_hash"), "row"), _windows(window), KEYED)
+    starts = materialise(_places(extended), "windows")
 
     def kept(batches):
         for b in batches:
