@@ -92,3 +92,9 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 def mkdirs(spark: SparkSession, path: str) -> None:
     fs, p = _fs_and_path(spark, path)
     fs.mkdirs(p)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Remove a file or folder; False if there is none."""
+    fs, p = _fs_and_path(spark, path)
+    return bool(fs.delete(p, True))

@@ -10,9 +10,7 @@ folder per call.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +22,7 @@ from sparkweave.operators.governance import empty_policy, masked_view, set_mask,
 from sparkweave.operators.ids import allocate_ids
 from sparkweave.operators.refine import EtlSpec, refine
 from sparkweave.plans.lifecycle import ingest_refine_write
+from sparkweave.plans.registry import ORACLE, QUERIES, register, table  # noqa: F401 (the registry is this module's, too)
 from sparkweave.session import fresh_path
 from sparkweave.sinks.documents import DocumentTable
 from sparkweave.sinks.files import choose_output, put_object, write_any
@@ -36,24 +35,6 @@ from sparkweave.streaming.cdc import land_changes, read_landed
 from sparkweave.streaming.monitor import accumulate
 from sparkweave.streaming.topics import FileTopic, decode_messages
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def register(name: str, sql: str | None = None):
-    def deco(fn: Query) -> Query:
-        QUERIES[name] = fn
-        if sql is not None:
-            ORACLE[name] = " ".join(sql.split())
-        return fn
-    return deco
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def ntz(value: str):
     return F.lit(value).cast("timestamp_ntz")
 
@@ -706,3 +687,6 @@ def q_tenant_scope(spark, d):
                       (F.col("n_regionkey") == 1).alias("can_write"))
     return tenant_scope(table(spark, d, "customer"), grants, "tenant1", "c_nationkey")
 
+
+# Queries with state, nested data, access rules and indexes register themselves.
+from sparkweave.plans import catalog_access, catalog_nested, catalog_state  # noqa: E402, F401

@@ -12,7 +12,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -92,3 +92,12 @@ def work_path(spark: SparkSession, *parts: str) -> str:
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, unused folder below the shared root (one per run)."""
     return work_path(spark, name, uuid.uuid4().hex)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a new folder below the shared root and read back:
+    its lineage ends there, and a lost executor costs a reread."""
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
