@@ -33,7 +33,7 @@ LEAST_LENGTH, LEAST_COUNT, FACTOR = 6, 5, 5
 #: Most words that share a half before the rest of them is halved.
 GROUP = 2048
 #: Code points of a shard's index, about.
-SHARD = 400_000
+SHARD = 250_000
 #: Rows between checkpoints of an index's counts.
 STEP = 16
 
@@ -226,7 +226,8 @@ def near_words(words: DataFrame) -> DataFrame:
         level = level.withColumn("cut", F.explode(halves)).select("word", "n", "m", "asks", "cut.*").withColumn("key", _key())
     dealt = materialise(dealt, "spelling-groups")
     shards = int((dealt.agg(F.sum(F.length("word") + 1)).first()[0] or 0) // SHARD) + 1
-    found = (dealt.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).groupBy("shard")
+    # A shard is little to read and much to search: its number of partitions is given, not left to sizes.
+    found = (dealt.withColumn("shard", F.pmod("key", F.lit(shards)).cast("int")).repartition(shards, "shard").groupBy("shard")
              .applyInPandas(_searched, PAIRS))
     return found.distinct()
 
