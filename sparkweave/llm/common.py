@@ -48,10 +48,10 @@ def fold(doc_id: Column | str, k: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % k
 
 
-def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Record batches cut to at most ``SLICE_ROWS`` rows and about ``SLICE_BYTES``."""
+def slices(batches: Iterable[pa.RecordBatch], most: int = SLICE_ROWS, nbytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Record batches cut to at most ``most`` rows and about ``nbytes``."""
     for batch in batches:
-        rows = max(1, min(SLICE_ROWS, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        rows = max(1, min(most, batch.num_rows * nbytes // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
@@ -112,15 +112,15 @@ def gathered(batches: Iterable[pa.RecordBatch], rows: int) -> Iterator[pa.Table]
 
 
 def map_slices(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str, rows: int | None = None,
-               holds: str | None = None) -> DataFrame:
-    """``mapInArrow`` for a generator that takes slices (or tables of about
-    ``rows`` rows of numbers) and yields column dicts; ``holds`` names what its
-    workers keep from task to task."""
+               holds: str | None = None, cut: tuple[int, int] = (SLICE_ROWS, SLICE_BYTES)) -> DataFrame:
+    """``mapInArrow`` for a generator that takes slices of at most ``cut`` rows and
+    bytes (or tables of about ``rows`` rows of numbers) and yields column dicts;
+    ``holds`` names what its workers keep from task to task."""
     arrow = arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with task(holds):
-            for columns in fn(gathered(batches, rows) if rows else slices(batches)):
+            for columns in fn(gathered(batches, rows) if rows else slices(batches, *cut)):
                 yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, schema)
