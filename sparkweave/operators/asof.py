@@ -30,7 +30,7 @@ def asof_join(rows: DataFrame, facts: DataFrame, keys: list[str], at: str, fact_
     value = F.struct(*values)
     facts = (facts.where(F.col(fact_at).isNotNull()).groupBy(*keys, F.col(fact_at).alias(_AT)).agg(F.max(value).alias(_VALUE))
              .withColumn(_KIND, F.lit(0)))
-    asked = rows.select(*keys, F.col(at).alias(_AT), F.struct(*rows.columns).alias(_ROW)).withColumn(_KIND, F.lit(1))
+    asked = rows.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias(_AT), F.struct(*rows.columns).alias(_ROW)).withColumn(_KIND, F.lit(1))
     both = facts.unionByName(asked, allowMissingColumns=True).withColumn("_bucket", time_bucket(F.col(_AT), every))
 
     # The value that each bucket starts with: of the last bucket before it that has a fact.
@@ -54,8 +54,10 @@ def asof_join(rows: DataFrame, facts: DataFrame, keys: list[str], at: str, fact_
         c = F.col(k).eqNullSafe(F.col(f"_l{i}"))
         match = c if match is None else match & c
     joined = carried.join(starts, match, "left")
-    found = F.when(F.col(_AT).isNotNull(), F.coalesce("_last", "_start"))
-    return joined.select(*[F.col(_ROW).getField(c).alias(c) for c in rows.columns], *[found.getField(v).alias(v) for v in values])
+    found = F.coalesce("_last", "_start")
+    timed = joined.select(*[F.col(_ROW).getField(c).alias(c) for c in rows.columns], *[found.getField(v).alias(v) for v in values])
+    kinds = [F.lit(None).cast(timed.schema[v].dataType).alias(v) for v in values]
+    return timed.unionByName(rows.where(F.col(at).isNull()).select("*", *kinds))
 
 
 def lag_series(polls: DataFrame, log: DataFrame, commits: DataFrame, topic: str = "topic", at: str = "at", offset: str = "offset",
