@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sparkweave import fs
 from sparkweave.session import fresh_path
 
 #: What a Python task turns into objects at a time: rows, and bytes on average.
@@ -33,13 +34,57 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
 
 
+#: Folders written since each of the enclosing ``scratch`` blocks began.
+_SCRATCH: list[list[str]] = []
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends
     there, and a lost executor costs a reread instead of a recomputation."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    for paths in _SCRATCH:
+        paths.append(path)
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Remove what ``materialise`` wrote, once nothing reads it any more (all that
+    was made of it is written itself)."""
+    for t in tables:
+        if t is not None:
+            fs.delete(t.sparkSession, t.written_at)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
+    """Removes at its end, unless that is an error, all that ``materialise`` wrote
+    in it but the tables in ``kept`` (which may be added to inside)."""
+    paths: list[str] = []
+    _SCRATCH.append(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(paths)
+    stays = {t.written_at for t in kept}
+    for path in paths:
+        if path not in stays:
+            fs.delete(spark, path)
+
+
+def positioned(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with names of ours for all columns but its ``own``."""
+    return docs.toDF(*[c if c in own else f"other_{i}" for i, c in enumerate(docs.columns)])
+
+
+def by_position(docs: DataFrame, change: Callable[[DataFrame], DataFrame], *own: str) -> DataFrame:
+    """``change`` applied to ``docs`` while all columns but its ``own`` have names of
+    ours, so that no name clashes with a work column, is ambiguous or holds a
+    dot.  ``change`` keeps the columns and their order."""
+    return change(positioned(docs, *own)).toDF(*docs.columns)
 
 
 def fold(doc_id: Column | str, k: int) -> Column:

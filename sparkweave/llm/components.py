@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import map_slices, materialise
+from sparkweave.llm.common import discard, map_slices, materialise
 
 #: Edges a task gathers before it emits their forest.
 FOREST_EDGES = 500_000
@@ -74,7 +74,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         n = state.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if n == seen or n[0] == 0:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found = state.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            found.written_at = state.written_at
+            return found
         seen = n
         both = state.union(state.select("v", "u"))
         # Written, so that the joins get both sides from shuffles and can split a node's many edges.
@@ -83,4 +85,5 @@ def components(edges: DataFrame) -> DataFrame:
         down = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "components")
         small = (large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
                  .select("e.*").filter("u <> v").distinct())
-        state = materialise(small, "components")
+        old, state = state, materialise(small, "components")
+        discard(old, least, large, down)

@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import arrow_schema, map_slices, materialise, texts, word_hash, words
+from sparkweave.llm.common import arrow_schema, discard, map_slices, materialise, texts, word_hash, words
 
 KINDS = 8  # start; after a sentence mark; another mark; a digit; a word of up to 2, 4, 7, more bytes
 PARENT = np.array([0, 0, 0, 0, 1, 1, 1, 1])  # of each kind's restaurant
@@ -337,7 +337,7 @@ def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame
     places = materialise(pairs.groupBy("u").agg(F.sum("c").alias("n"), F.count("*").alias("types")), "contexts")
     words = materialise(_by_word(pairs, F.lit(1), F.sum("c").alias("n")), "words")
     model = _begun(words, F.col("n"))
-    more = pairs.filter("c > 1")
+    more, before = pairs.filter("c > 1"), (places, words)
     state = more.withColumns({"t": F.lit(1).cast("long"), "logs": F.lit(None).cast("double"), "sum": F.lit(0).cast("long")})
     tables = places.select("u", F.col("types").alias("tables"))
     total = tables.select("u", F.lit(0).cast("long").alias("sum"))
@@ -373,6 +373,8 @@ def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame
         words = materialise(words.join(added, "h", "left").select(
             *words.columns, *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(f"{c}_{sweep}") for c in _C]), f"words-{sweep}")
         model.totals.append(_total(words, model, sweep))
+        discard(*before)  # a sweep's tables go when the next one's are there
+        before = (state, here, words)
     discount = F.element_at(F.array(*[F.lit(float(x)) for x in d]), (_kind() + 1).cast("int"))
     kept = SWEEPS - BURN_IN
     left = (pairs.filter("c = 1").select("u", "h", (1 - discount).alias("left"))
@@ -432,7 +434,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
         at_often, weights, at_heavy, base, chance = shared.value
         for b in batches:
             out = {c: [] for c in names}
-            for row, doc, held, x in zip(*[b[c].to_pylist() for c in ("row", "doc_id", "held_out", "text")]):
+            for row, twin, doc, held, x in zip(*[b[c].to_pylist() for c in ("row", "twin", "doc_id", "held_out", "text")]):
                 h, kinds = tokens(x)
                 u = contexts(h, kinds)
                 _, first, freq = np.unique(mixed(u, h), return_index=True, return_counts=True)
@@ -444,15 +446,16 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
                 one[has_u], above[has_u] = weights[at_u[has_u]].T
                 p_above[has_h], p_base[has_h] = chance[at_h[has_h], u[has_h] & 7], base[at_h[has_h]]
                 spot = word_hash(b"\0%d" % row) - (1 << 63)  # the document's own row: any key that spreads
-                for c, own, rest in (("u", 0, u), ("h", spot, h), ("freq", 0, freq), ("tokens", n, np.zeros(more, "i8")), ("row", row, np.full(more, row)),
+                for c, own, rest in (("u", 0, u), ("h", spot, h), ("freq", 0, freq), ("tokens", n, np.zeros(more, "i8")), ("row", row, np.full(more, row)), ("twin", twin, np.full(more, twin)),
                                      ("one", 1.0, one), ("above", 1.0, above), ("chance", 1.0, p_above), ("base", 0.0, p_base)):
                     out[c] += [np.asarray([own]), rest]
                 out["doc_id"] += [doc] + [None] * more
                 out["held_out"] += [held] + [None] * more
             yield {c: v if c in ("doc_id", "held_out") else np.concatenate(v) for c, v in out.items()} if out["row"] else out
 
-    # A row's number is made and used in one pass, so it needs no stable order of the rows.
-    numbered = rows.withColumn("row", F.monotonically_increasing_id())
+    # A row's key is made of what it holds (96 bits), so it is the same in every pass and after a lost task, in
+    # whatever order the rows come; equal rows share theirs, and their sums are divided by their number.
+    numbered = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("twin", F.hash("text", "doc_id"))
     met = map_slices(numbered, spread, _SPREAD).join(left, ["u", "h"], "left").withColumn("left", F.coalesce("left", F.lit(0.0)))
     rare_u, rare_h = F.isnan("above"), F.isnan("chance")
     unseen = F.array(*[F.lit(float(x)) for x in model.unseen()])
@@ -464,20 +467,24 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
               .join(known.select(F.col("h").alias("h_key"), F.col("base").alias("base_h"), F.array(*p).alias("chance_h")), "h_key", "left"))
     is_known = ~rare_h | F.col("base_h").isNotNull()
     looked = looked.select(
-        "row", "doc_id", "held_out", "tokens", "freq", "left", is_known.alias("known"),
+        "row", "twin", "doc_id", "held_out", "tokens", "freq", "left", is_known.alias("known"),
         F.when(rare_u, F.coalesce("one_u", F.lit(0.0))).otherwise(F.col("one")).alias("one"),
         F.when(rare_u, F.coalesce("above_u", F.lit(1.0))).otherwise(F.col("above")).alias("above"),
         F.when(rare_h, F.coalesce(F.element_at("chance_h", at).cast("double"), F.element_at(unseen, at))).otherwise(F.col("chance")).alias("chance"),
         F.when(rare_h, F.coalesce("base_h", F.lit(float(model.base(np.array(0)))))).otherwise(F.col("base")).alias("base"))
     whole = met.filter(~rare_u & ~rare_h).withColumn("known", F.lit(True)).select(*looked.columns).union(looked)
-    total = whole.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("tokens").alias("n_tokens"),
+    total = whole.groupBy("row", "twin").agg(
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"),
+        F.count_if(F.col("tokens") > 0).alias("rows"),
         F.sum(F.when(F.col("known"), F.col("freq")).otherwise(0)).alias("n_known"), F.sum(F.col("freq") * F.col("base")).alias("base_score"),
         F.sum(F.col("freq") * F.log10(F.col("left") * F.col("one") + F.col("above") * F.col("chance"))).alias("score"))
+    each = lambda c: F.col(c) / F.col("rows")
+    total = (total.withColumn("n_known", each("n_known").cast("long")).withColumn("base_score", each("base_score")).withColumn("score", each("score"))
+             .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))))
     return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-_SPREAD = ("row long, doc_id long, held_out boolean, u long, h long, freq long, tokens long, "
+_SPREAD = ("row long, twin int, doc_id long, held_out boolean, u long, h long, freq long, tokens long, "
            "one double, above double, chance double, base double")

@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import map_slices, materialise, runs, texts, word_hash, words
+from sparkweave.llm.common import by_position, discard, map_slices, materialise, runs, texts, word_hash, words
 from sparkweave.llm.components import Forest, components
 
 SHINGLE, THRESHOLD = 5, 80  # words; per cent
@@ -106,21 +106,26 @@ def similar(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
     return 100 * both >= threshold * (len(a) + len(b) - both)
 
 
+def _text_key() -> Column:
+    """By which a text is found again, with its id (both may repeat, or be null)."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sketch(docs: DataFrame, k: int = SHINGLE, row: str | None = None) -> DataFrame:
-    """``row`` (the column named, or a number), ``doc_id``, ``n_shingles``,
-    ``digest`` of the set and ``registers``."""
+    """``row`` (the column named, or a number), ``doc_id``, ``text_key``,
+    ``n_shingles``, ``digest`` of the set and ``registers``."""
     multipliers = _multipliers(ROWS * BANDS)
 
     def run(batches):
         for b in batches:
             sets = [shingle_set(x, k) for x in b["text"].to_pylist()]
-            yield {"row": b["row"], "doc_id": b["doc_id"], "n_shingles": [len(s) for s in sets],
+            yield {"row": b["row"], "doc_id": b["doc_id"], "text_key": b["text_key"], "n_shingles": [len(s) for s in sets],
                    "digest": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                    "registers": [registers(s, multipliers).tobytes() if len(s) else None for s in sets]}
 
     number = F.col(row) if row else F.monotonically_increasing_id()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), number.alias("row"))
-    return map_slices(rows, run, "row long, doc_id long, n_shingles long, digest binary, registers binary")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _text_key().alias("text_key"), number.alias("row"))
+    return map_slices(rows, run, "row long, doc_id long, text_key long, n_shingles long, digest binary, registers binary")
 
 
 def _links_of_blocks(k: int, threshold: int):
@@ -128,7 +133,7 @@ def _links_of_blocks(k: int, threshold: int):
         for g in runs(batches, ("cluster", "i", "j")):
             nodes: dict[int, tuple] = {}
             for node, digest, block, regs, text in zip(g["node"], g["digest"], g["block"], g["registers"], g["text"]):
-                if node not in nodes:  # several rows may carry the document's id: the one with its set is it
+                if node not in nodes:  # repeated rows come with the same text
                     found = shingle_set(text or "", k)
                     if len(found) and xxhash.xxh3_128_digest(found.tobytes()) == digest:
                         nodes[node] = (block, regs, found)
@@ -159,27 +164,28 @@ def _labelled(docs: DataFrame, rows: DataFrame, k: int, threshold: int) -> DataF
     classes = materialise(
         rows.filter("n_shingles > 0").groupBy("digest")
         .agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.min_by("doc_id", "row").alias("doc_id"),
-             F.min_by("registers", "row").alias("registers"), F.count("*").alias("copies")), "classes")
+             F.min_by("text_key", "row").alias("text_key"), F.min_by("registers", "row").alias("registers"), F.count("*").alias("copies")), "classes")
 
     bucket = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(
         i, F.col("registers").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
     bands = classes.select("node", F.explode(bucket).alias("bucket"))
     first = bands.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
     tied = bands.join(first, "bucket").filter("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v"))
-    clusters = components(tied)
-    clusters = clusters.union(clusters.select("component", "component").distinct()).withColumnRenamed("component", "cluster")
+    tied_to = components(tied)
+    clusters = tied_to.union(tied_to.select("component", "component").distinct()).withColumnRenamed("component", "cluster")
     blocks = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n_blocks"))
 
-    members = (clusters.join(blocks, "cluster").join(classes.select("node", "doc_id", "digest", "registers"), "node")
+    members = (clusters.join(blocks, "cluster").join(classes.select("node", "doc_id", "text_key", "digest", "registers"), "node")
                .withColumn("block", F.pmod(F.xxhash64("node"), "n_blocks").cast("int")))
-    whole = texts(docs).select(F.col("doc_id").alias("__id"), "text")
-    dealt = (members.join(whole, F.col("doc_id").eqNullSafe(F.col("__id")))
+    whole = texts(docs).select(F.col("doc_id").alias("__id"), _text_key().alias("__key"), "text")
+    dealt = (members.join(whole, (F.col("text_key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__id")))
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
              .select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
                      "node", "digest", "block", "registers", "text"))
     links = map_slices(dealt.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j"),
                        _links_of_blocks(k, threshold), "u long, v long")
     found = components(links)
+    discard(tied_to)
 
     named = classes.join(found, "node", "left").withColumn("root", F.coalesce("component", "node"))
     # Written, so that the join gets both sides from shuffles and can split a large component.
@@ -208,7 +214,12 @@ def representatives(docs: DataFrame, k: int = SHINGLE, threshold: int = THRESHOL
     near-duplicates one row stays, the first with the component's id.
 
     Rows without shingles (null, empty or blank texts) all stay.  Where all ids
-    of a component are null, its first row stays."""
+    of a component are null, its first row stays.  Other columns keep their
+    values whatever they are called."""
+    return by_position(docs, lambda d: _representatives(d, k, threshold), "doc_id", "text")
+
+
+def _representatives(docs: DataFrame, k: int, threshold: int) -> DataFrame:
     numbered = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     rows = materialise(sketch(numbered, k, "__row"), "sketch")
     label = _labelled(numbered, rows, k, threshold)

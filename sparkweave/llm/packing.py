@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import held, map_slices, materialise, texts
+from sparkweave.llm.common import discard, held, map_slices, materialise, texts
 from sparkweave.llm.pretokens import vocabulary_path
 
 CAPACITY, END_ID, GROUP_PIECES = 4096, 1, 16_384
@@ -229,9 +229,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         if n < 2:
             break
         moved = _packed(light, n, capacity, turn).selectExpr("row AS sequence_id", "sequence_id AS new", "offset AS shift")
-        open_ = materialise(
+        old, open_ = open_, materialise(
             open_.join(moved, "sequence_id", "left").withColumn("sequence_id", F.coalesce("new", "sequence_id"))
             .withColumn("offset", F.col("offset") + F.coalesce("shift", F.lit(0))).drop("new", "shift"), "packed")
+        discard(old, light)
         turn += 1
         if n <= GROUP_PIECES:
             break

@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import materialise, texts
+from sparkweave.llm.common import by_position, materialise, texts
 
 KEEP, STEP, NEAR = 0.5, 0.3, 40
 
@@ -157,7 +157,12 @@ def pii_report(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets
     (overlapping spans by that of the first) and ``n_chars`` counted anew where
-    the text changed.  All rows and columns stay; a null text stays null."""
+    the text changed.  All rows and columns stay, whatever they are called; a null
+    text stays null."""
+    return by_position(docs, _redacted, "text", "n_chars")
+
+
+def _redacted(docs: DataFrame) -> DataFrame:
     rows = materialise(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
     spans = find_spans(rows.select(F.col("__row").alias("row"), F.coalesce("text", F.lit("")).alias("text"))).filter("kind IS NOT NULL")
     before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import append_columns, map_slices, word_hash, words
+from sparkweave.llm.common import append_columns, by_position, map_slices, word_hash, words
 from sparkweave.llm.labelled import labelled_sample
 
 PER_CLASS = 3000  # documents of a class in the training sample
@@ -87,7 +87,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: Colu
     every document by what share of the sample is labelled 1 (a half if none)."""
     sample = labelled_sample(docs, labels, label, per_class, rows)
     if metadata:
-        sample = sample.join(docs.select("doc_id", *metadata).dropDuplicates(["doc_id"]), "doc_id")
+        sample = sample.join(docs.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in metadata]), "doc_id")
 
     def run(batches):
         for b in batches:
@@ -148,6 +148,23 @@ def _fit(m: Machine, cases: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray)
             m.bias -= RATE * err.sum() / np.sqrt(gb)
 
 
+def size_class() -> Column:
+    """Metadata of a document: the doublings of its ``n_chars`` (null: none)."""
+    return F.floor(F.log2(F.greatest(F.col("n_chars"), F.lit(0)) + 1)).cast("int")
+
+
+def accepted(docs: DataFrame, machine: Machine, metadata: dict[str, Column] | None = None) -> DataFrame:
+    """Rows of ``docs`` with all their columns, whatever they are called, that the
+    machine predicts as 1; ``metadata`` by name, over ``text`` and ``n_chars``."""
+    metadata = metadata or {}
+
+    def change(d: DataFrame) -> DataFrame:
+        named = d.withColumns(metadata) if metadata else d
+        return with_scores(named, machine, tuple(metadata)).filter("__predicted = 1").select(*d.columns)
+
+    return by_position(docs, change, "text", "n_chars")
+
+
 def with_scores(docs: DataFrame, machine: Machine, metadata: tuple[str, ...] = ()) -> DataFrame:
     """All rows and columns of ``docs``, and ``__score`` (0 to 1) and
     ``__predicted`` (1 from a half on).

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkweave.llm import (bpe, centroid_clustering, embedding_dedup, fingerprints, hpylm, minhash_dedup, packing, pii, quality,
@@ -12,6 +12,11 @@ from sparkweave.llm import (bpe, centroid_clustering, embedding_dedup, fingerpri
 from sparkweave.llm.common import fold, table
 
 
+def _held_out(k: int, remainder: int) -> Column:
+    """Whether nothing is learned from a row; a null id has no labels."""
+    return F.coalesce(fold("doc_id", k) == remainder, F.lit(True)).alias("held_out")
+
+
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
 
@@ -24,7 +29,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
     lexicon = toxicity.learn(docs, labels, rows=fold("doc_id", 5) != 0)
     return toxicity.with_scores(docs.select("doc_id", "text"), lexicon).select(
-        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), F.col("__score").alias("score"),
+        "doc_id", _held_out(5, 0), F.col("__score").alias("score"),
         F.col("__predicted").alias("predicted"), F.col("__matches").alias("n_matches"))
 
 
@@ -34,9 +39,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (table(spark, sf_dir, t) for t in ("documents", "labels"))
-    machine = quality.train(docs, labels, rows=fold("doc_id", 3) != 1)
-    return quality.with_scores(docs.select("doc_id", "text"), machine).select(
-        "doc_id", (fold("doc_id", 3) == 1).alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    docs = docs.select("doc_id", "text", quality.size_class().alias("size_class"))
+    machine = quality.train(docs, labels, rows=fold("doc_id", 3) != 1, metadata=("size_class",))
+    return quality.with_scores(docs, machine, ("size_class",)).select(
+        "doc_id", _held_out(3, 1), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

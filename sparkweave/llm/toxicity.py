@@ -28,11 +28,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import append_columns, map_slices, materialise
+from sparkweave.llm.common import append_columns, by_position, map_slices, materialise
 from sparkweave.llm.labelled import labelled_sample
 
 PER_CLASS = 4000  # documents of a class in the training sample
-ENTRIES, LIFT = 1000, 12.0  # most entries; least ratio of their rates
+LIFT = 12.0  # least ratio of an entry's rates
 STEMS = (4, 5, 6, 7)
 SURE = 25  # different words before a term, and ratio of its rates, from which it is taken at once
 INSULTS = ("idiot", "moron", "stupid", "scum", "loser", "pathetic", "worthless", "disgusting", "imbecile", "dumbass",
@@ -58,7 +58,7 @@ def folded(text: str) -> str:
 
 def terms(text: str) -> set[tuple[str, bool]]:
     """Words and word beginnings (flagged) of a folded text."""
-    found = {(w, False) for w in _WORD.findall(text) if 2 < len(w) < 40}
+    found = {(w, False) for w in _WORD.findall(text)}
     return found | {(w[:n], True) for w, _ in found for n in STEMS if len(w) > n}
 
 
@@ -151,13 +151,13 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
     # Surely toxic: hardly ever in clean documents, and after too many different words to be from copies.
     sure = [t for r in places.filter(F.col("befores") >= SURE).select("term", "stem").collect()
             if candidates[t := (r.term, r.stem)][1] * n_toxic * SURE <= candidates[t][0] * n_clean]
-    chosen = _narrowed(sure, candidates)[:ENTRIES]
+    chosen = _narrowed(sure, candidates)
     covered = {d for r in places.filter(F.col("befores") >= SURE).collect() if (r.term, r.stem) in set(chosen) for d in r.docs}
     # Of terms in the same documents only one can be taken: the last in order.
     alike = (places.join(counts.select("term", "stem", "clean"), ["term", "stem"]).groupBy("docs", "clean")
              .agg(F.max(F.struct(F.length("term").alias("n"), "term", "stem")).alias("t")))
     covers = {(r.t.term, r.t.stem): set(r.docs) for r in alike.collect()}
-    chosen += _covering({t: d for t, d in covers.items() if t not in set(chosen)}, candidates, covered, ENTRIES - len(chosen), least)
+    chosen += _covering({t: d for t, d in covers.items() if t not in set(chosen)}, candidates, covered, least)
     weigh = lambda t: float(np.log((candidates[t][0] + 0.5) / (n_toxic + 1) / ((candidates[t][1] + 0.5) / (n_clean + 1))))
     entries = {t: weigh(t) for t in chosen} | {(w, False): PRIOR for w in INSULTS if (w, False) not in candidates}
     entries |= {(w, False): weigh((w, False)) for w in INSULTS if (w, False) in candidates and weigh((w, False)) > 0}
@@ -176,7 +176,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: Column
 
 
 def _covering(covers: dict[tuple[str, bool], set[int]], counts: dict[tuple[str, bool], tuple[int, int]], covered: set[int],
-              most: int, least: int) -> list[tuple[str, bool]]:
+              least: int) -> list[tuple[str, bool]]:
     """Terms that, one after another, cover most documents not covered yet, less
     twice their clean ones, as long as that is ``least``.  What a term gains
     only falls, so a gain is reckoned anew when it comes first."""
@@ -184,7 +184,7 @@ def _covering(covers: dict[tuple[str, bool], set[int]], counts: dict[tuple[str,
     gain = lambda t: len(covers[t] - covered) - 2 * counts[t][1]
     heap = [(-g, -i) for i, t in enumerate(order) if (g := gain(t)) >= least]
     heapq.heapify(heap)
-    while heap and len(chosen) < most:
+    while heap:
         t = order[-heap[0][1]]
         if (g := gain(t)) == -heap[0][0]:
             heapq.heappop(heap)
@@ -229,6 +229,12 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.05) -> tuple[floa
     return float(w[0]), max(0.0, float(w[1])), max(0.0, float(w[2]))
 
 
+def accepted(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Rows of ``docs`` with all their columns, whatever they are called, that the
+    lexicon does not predict as toxic."""
+    return by_position(docs, lambda d: with_scores(d, lexicon).filter("__predicted = 0").select(*d.columns), "text")
+
+
 def with_scores(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """All rows and columns of ``docs``, and ``__score`` (0 to 1),
     ``__predicted`` (1 from a half on) and ``__matches``.

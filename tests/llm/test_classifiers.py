@@ -118,7 +118,7 @@ def test_covering_equals_the_plain_choice():
             break
         want.append(best)
         left -= rest.pop(best)
-    assert toxicity._covering(covers, counts, {1, 2, 3}, 20, 2) == want
+    assert toxicity._covering(covers, counts, {1, 2, 3}, 2) == want
 
 
 def test_labels_of_missing_documents_use_up_no_places(spark, given_tables):
@@ -127,3 +127,57 @@ def test_labels_of_missing_documents_use_up_no_places(spark, given_tables):
     n = there.join(labels.filter("toxic = 0"), "doc_id", "left_semi").select("doc_id").distinct().count()
     sample = labelled_sample(there, labels, "toxic", n, None).filter("label = 0")
     assert n and sample.count() == n
+
+
+def test_toxicity_score_equals_brute_force(spark, given_tables):
+    """Matches looked for term by term, at every place, without an automaton."""
+    docs, labels = given_tables
+    lexicon = toxicity.learn(docs, labels, rows=fold("doc_id", 5) != 0)
+
+    def plain(text):
+        x = toxicity.folded(text or "")
+        letter = lambda i: 0 <= i < len(x) and x[i].isalpha()
+
+        def places(term):
+            at = x.find(term)
+            while at >= 0:
+                if not letter(at - 1):
+                    yield at
+                at = x.find(term, at + 1)
+
+        spared = [(a, a + len(p)) for e in lexicon.exceptions for p in [toxicity.folded(e)] for a in places(p) if not letter(a + len(p))]
+        hits = {}
+        for term, stem, weight in lexicon.entries:
+            for a in places(term):
+                if (stem or not letter(a + len(term))) and not any(i <= a < j for i, j in spared):
+                    hits[a] = max(weight, hits.get(a, 0.0))
+        z = lexicon.curve[0] + float(np.dot(lexicon.curve[1:], toxicity.features(sum(hits.values()), x)))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30))), len(hits)
+
+    toxic = labels.filter("toxic = 1").select("doc_id")
+    rows = docs.join(toxic, "doc_id", "left_semi").union(docs.filter("doc_id % 9 = 0").select(*docs.columns))
+    for r in toxicity.with_scores(rows, lexicon).collect():
+        score, n = plain(r.text)
+        assert r["__score"] == pytest.approx(score) and r["__matches"] == n
+
+
+def test_words_of_any_length_are_terms():
+    assert {("a", False), ("x" * 60, False), ("xxxx", True)} <= toxicity.terms("a " + "x" * 60)
+
+
+def test_size_class_is_metadata(spark):
+    rows = [(i, "same text", 10 if i % 2 else 5000) for i in range(60)] + [(90, "same text", None), (91, None, -5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    labels = docs.select("doc_id", (F.col("n_chars") < 100).cast("int").alias("quality"))
+    size = {"size_class": quality.size_class()}
+    machine = quality.train(docs.withColumns(size), labels, metadata=("size_class",))
+    odd = docs.withColumnsRenamed({"doc_id": "doc_id"}).toDF("doc_id", "text", "n_chars").withColumn("__score", F.lit(3)).withColumn("SIZE_CLASS", F.lit("x"))
+    kept = quality.accepted(odd, machine, size)
+    assert kept.columns == odd.columns and {r.doc_id for r in kept.collect() if r.doc_id < 60} == set(range(1, 60, 2))
+    assert all(r["__score"] == 3 and r["SIZE_CLASS"] == "x" for r in kept.collect())
+
+
+def test_held_out_is_never_null(spark):
+    from sparkweave.llm.queries import _held_out
+    rows = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long").select("doc_id", _held_out(5, 0)).collect()
+    assert {r.doc_id: r.held_out for r in rows} == {None: True, 1: brute.fold(1, 5) == 0, 2: brute.fold(2, 5) == 0}

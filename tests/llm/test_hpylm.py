@@ -122,3 +122,38 @@ def test_discounts_of_the_parents(spark):
         n1, n2 = (customers == 1).sum(), (customers == 2).sum()
         assert model.discounts["parent"][g] == pytest.approx(min(0.9, max(0.1, (n1 + 0.5) / (n1 + 2 * n2 + 1))))
     assert hpylm.SWEEPS >= 4 and len(model.totals) == hpylm.SWEEPS + 1
+
+
+def test_score_of_a_text_recomputed_from_the_seating(spark):
+    import pyarrow as pa
+    from sparkweave.llm.common import materialise
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    training = fold("doc_id", 5) != 1
+    found = {r.doc_id: r for r in hpylm.scores(docs, training).collect()}
+    model, d, places, words, left = hpylm.fit_pairs(materialise(hpylm.pair_counts(docs.filter(training)), "pairs"))
+    pdf = words.toPandas()
+    chance = dict(zip(pdf["h"].tolist(), model.probabilities(pdf["h"].to_numpy(), hpylm._history(pa.Table.from_pandas(pdf), hpylm.SWEEPS))))
+    context = {r.u: (r.n, r.tables) for r in places.collect()}
+    seated = {(r.u, r.h): r.left for r in left.collect()}
+    unseen, s = model.unseen(), hpylm.STRENGTH
+    for r in docs.collect()[::7]:
+        total = 0.0
+        h, kinds = hpylm.tokens(r.text or "")
+        for u, w, k in zip(hpylm.contexts(h, kinds).tolist(), h.tolist(), kinds.tolist()):
+            p = chance[w][k] if w in chance else unseen[k]
+            if u in context:
+                n, tables = context[u]
+                p = (seated.get((u, w), 0.0) + (s + d[k] * tables) * p) / (s + n)
+            total += math.log10(p)
+        assert found[r.doc_id].score == pytest.approx(total, rel=1e-5)
+
+
+def test_rows_in_any_order_and_repeated(spark):
+    """Rows that come in another order in every pass are not mixed up."""
+    rows = [(i % 40 if i % 7 else None, f"some text number {i % 23} of {i % 3}. The end") for i in range(120)] + [(1, "twice here")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.score, 9))
+    still = sorted(map(key, hpylm.scores(docs, fold("doc_id", 5) != 1).collect()))
+    shuffled = docs.withColumn("x", F.rand()).repartition(5, "x").drop("x")
+    assert sorted(map(key, hpylm.scores(shuffled, fold("doc_id", 5) != 1).collect())) == still
+    check(rows, hpylm.scores(docs, fold("doc_id", 5) != 1).collect())
