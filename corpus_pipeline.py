@@ -8,6 +8,9 @@ and returns the columns of documents, but the last.
 
 Nulls and empty texts are documents like others; repeated rows of a document
 are one group of near-duplicates, of which one stays; an empty table stays one.
+More columns of the documents are kept by all stages but the last, whatever they
+are called.  ``run`` removes what a stage wrote on its way, and the stage before
+it, as soon as the stage's result is written.
 """
 
 from __future__ import annotations
@@ -15,19 +18,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkweave.llm import minhash_dedup, packing, pii, quality, toxicity
-from sparkweave.llm.common import fold, materialise, table
+from sparkweave.llm.common import by_position, discard, fold, materialise, positioned, scratch, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
-    machine = quality.train(docs, table(spark, sf_dir, "labels"), rows=fold("doc_id", 3) != 1)
-    return quality.with_scores(docs, machine).filter("__predicted = 1").select(*docs.columns)
+    size = {"size_class": quality.size_class()}
+
+    def keep(d: DataFrame) -> DataFrame:
+        known = d.select("doc_id", "text", "n_chars").withColumns(size)
+        machine = quality.train(known, table(spark, sf_dir, "labels"), rows=fold("doc_id", 3) != 1, metadata=tuple(size))
+        return quality.accepted(d, machine, size)
+
+    return by_position(docs, keep, "doc_id", "text", "n_chars")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity lexicon accepts."""
-    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"), rows=fold("doc_id", 5) != 0)
-    return toxicity.with_scores(docs, lexicon).filter("__predicted = 0").select(*docs.columns)
+    def keep(d: DataFrame) -> DataFrame:
+        return toxicity.accepted(d, toxicity.learn(d, table(spark, sf_dir, "labels"), rows=fold("doc_id", 5) != 0))
+
+    return by_position(docs, keep, "doc_id", "text")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +53,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(positioned(docs, "doc_id", "text"))
 
 
 STAGES = [
@@ -60,6 +71,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents of ``sf_dir``."""
     docs = table(spark, sf_dir, "documents")
+    kept: list[DataFrame] = []
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch(spark, kept):
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            kept.append(docs)
+        if len(kept) > 1:
+            discard(kept.pop(0))
     return docs
