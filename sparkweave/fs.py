@@ -26,6 +26,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, as readers show it."""
+    fs, p = _fs_and_path(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def list_names(spark: SparkSession, path: str, dirs_only: bool = False) -> list[str]:
     """Names of the direct children of ``path`` (empty if it does not exist)."""
     fs, p = _fs_and_path(spark, path)

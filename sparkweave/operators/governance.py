@@ -54,6 +54,17 @@ def masked_view(df: DataFrame, policy: DataFrame, table: str, principal: str,
     return df.select(*[apply_mask(rules[c], F.col(c)).alias(c) if c in rules else F.col(c) for c in df.columns])
 
 
+def masked_columns(df: DataFrame, masks: DataFrame) -> DataFrame:
+    """The masks of a table (column, mask) with what they hide: ``documents``, and
+    the ``masked_values`` and ``distinct_values`` of each column.  One pass: the
+    masked columns become rows (column, value) beside each other."""
+    names = [r["column"] for r in masks.collect()]  # one row for each masked column
+    values = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in names])).alias("v")
+    counted = (df.select(values).select("v.*").groupBy("column")
+               .agg(F.count("*").alias("documents"), F.count("value").alias("masked_values"), F.countDistinct("value").alias("distinct_values")))
+    return masks.join(counted, "column").select("column", "mask", "documents", "masked_values", "distinct_values")
+
+
 def tenant_scope(df: DataFrame, grants: DataFrame, principal: str, tenant_col: str,
                  grant_tenant_col: str = "tenant", access: str = "can_read") -> DataFrame:
     """Rows of ``df`` whose tenant the principal may access (semi join).

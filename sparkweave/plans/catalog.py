@@ -18,7 +18,7 @@ from sparkweave.functions.masks import last4, sha256
 from sparkweave.functions.text import clean_newlines, long_words_joined
 from sparkweave.operators import documents as docs
 from sparkweave.operators import stats
-from sparkweave.operators.governance import empty_policy, masked_view, set_mask, tenant_scope
+from sparkweave.operators.governance import empty_policy, masked_columns, masked_view, set_mask, tenant_scope
 from sparkweave.operators.ids import allocate_ids
 from sparkweave.operators.refine import EtlSpec, refine
 from sparkweave.plans.lifecycle import ingest_refine_write
@@ -26,14 +26,15 @@ from sparkweave.plans.registry import ORACLE, QUERIES, register, table  # noqa:
 from sparkweave.session import fresh_path
 from sparkweave.sinks.documents import DocumentTable
 from sparkweave.sinks.files import choose_output, put_object, write_any
-from sparkweave.sinks.tables import VersionedTable, append_to_table, create_table_if_absent, merge_into_table
+from sparkweave.sinks.loads import append_load, next_load, read_latest, read_loads, upsert_load
+from sparkweave.sinks.tables import append_to_table, create_table_if_absent, merge_into_table
 from sparkweave.sources import jdbc
 from sparkweave.sources.files import read_any, read_parquet
 from sparkweave.sources.inventory import read_inventory
 from sparkweave.sources.responses import read_search_results, read_user_profiles
 from sparkweave.streaming.cdc import land_changes, read_landed
 from sparkweave.streaming.monitor import accumulate
-from sparkweave.streaming.topics import FileTopic, decode_messages
+from sparkweave.streaming import topics
 
 def ntz(value: str):
     return F.lit(value).cast("timestamp_ntz")
@@ -288,24 +289,21 @@ EVENTS_SCHEMA = T.StructType([
 ])
 
 
-def _events_topic(spark, d) -> FileTopic:
-    topic = FileTopic(spark, fresh_path(spark, "q/topics"), partitions=4)
-    topic.produce(table(spark, d, "events"), topic=F.col("event_type"), key="user_id")
-    return topic
+def _events_topic(spark, d) -> str:
+    root = fresh_path(spark, "q/topics")
+    topics.publish(table(spark, d, "events"), root, topic=F.col("event_type"), key="user_id")
+    return root
 
 
 @register("topic_produce", """
     select event_type as topic, count(*) as messages, count(*) as published, 0::bigint as min_offset
     from events group by event_type""")
 def topic_produce(spark, d):
-    """Publish events (topic = event_type, key = user_id); offsets must be
-    dense per topic partition, so published (sum of max offset + 1) equals
-    the message count."""
-    log = _events_topic(spark, d).log()
-    per_part = log.groupBy("topic", "partition").agg(F.count(F.lit(1)).alias("n"),
-                                                     (F.max("offset") + 1).alias("p"), F.min("offset").alias("m"))
-    return per_part.groupBy("topic").agg(F.sum("n").alias("messages"), F.sum("p").alias("published"),
-                                         F.min("m").alias("min_offset"))
+    """Publish events (topic = event_type, key = user_id).  Positions in a topic,
+    dense from 0, are numbered without a single-task window, so published (max
+    + 1) equals the number of messages."""
+    sent = allocate_ids(topics.messages(spark, _events_topic(spark, d)), "offset", start=0, group_cols=["topic"])
+    return sent.groupBy("topic").agg(F.count("*").alias("messages"), (F.max("offset") + 1).alias("published"), F.min("offset").alias("min_offset"))
 
 
 @register("topic_lag", """
@@ -315,12 +313,11 @@ def topic_produce(spark, d):
 def topic_lag(spark, d):
     """Consumer lag: one group reads one topic, then one more message arrives in
     every topic; topics that no group has read are at 0."""
-    topic = _events_topic(spark, d)
+    root = _events_topic(spark, d)
     names = table(spark, d, "events").select("event_type").distinct()
-    first = names.agg(F.min("event_type")).first()[0]
-    topic.consume("lag-group", first)
-    topic.produce(names, topic=F.col("event_type"), key="event_type")
-    return topic.stats().groupBy("topic").agg(F.sum("published").alias("published"), F.sum("consumed").alias("consumed"))
+    topics.consume(spark, root, "lag-group", names.agg(F.min("event_type")).first()[0])
+    topics.publish(names, root, topic=F.col("event_type"), key="event_type")
+    return topics.topic_positions(spark, root).select("topic", "published", "consumed")
 
 
 @register("metric_monitor", """
@@ -338,9 +335,9 @@ def metric_monitor(spark, d):
     inbox = fresh_path(spark, "q/metric_polls")
     info.repartition("event_type").write.parquet(inbox)
     polls = spark.readStream.schema(info.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    series = VersionedTable(spark, fresh_path(spark, "q/metric_series"))
+    series = fresh_path(spark, "q/metric_series")
     accumulate(polls.select("event_type", *stats.metric_snapshot_columns()), series, fresh_path(spark, "q/metric_ckpt"))
-    return series.read().select(F.unix_millis("timestamp").alias("ts_ms"), "event_type", "size_kb", "published", "consumed")
+    return read_loads(spark, series).select(F.unix_millis("timestamp").alias("ts_ms"), "event_type", "size_kb", "published", "consumed")
 
 
 @register("epoch_seconds", """
@@ -356,17 +353,15 @@ def q_epoch_seconds(spark, d):
 def topic_monitor(spark, d):
     """Topic statistics from the log and the committed positions of a
     consumer group that has read everything: consumed equals published."""
-    topic = _events_topic(spark, d)
-    topic.consume("monitor-group")
-    per_part = topic.stats()
-    return per_part.groupBy("topic").agg(F.sum("published").alias("published"), F.sum("consumed").alias("consumed"))
+    root = _events_topic(spark, d)
+    topics.consume(spark, root, "monitor-group")
+    return topics.topic_positions(spark, root).select("topic", "published", "consumed")
 
 
 @register("topic_consume", "select * from events")
 def topic_consume(spark, d):
     """Publish events, consume them with a new group (bounded stream), decode."""
-    got = _events_topic(spark, d).consume("analytics")
-    rows, _ = decode_messages(got, EVENTS_SCHEMA)
+    rows, _ = topics.decode_messages(topics.consume(spark, _events_topic(spark, d), "analytics"), EVENTS_SCHEMA)
     return rows
 
 
@@ -393,9 +388,9 @@ def union_append(spark, d):
     s.write.mode("append").parquet(inbox)
     s.write.mode("append").parquet(inbox)
     snaps = spark.readStream.schema(s.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
-    series = VersionedTable(spark, fresh_path(spark, "q/snapshots"))
+    series = fresh_path(spark, "q/snapshots")
     accumulate(snaps, series, fresh_path(spark, "q/snapshots_ckpt"))
-    return series.read()
+    return read_loads(spark, series)
 
 
 # ---------------------------------------------------------------------- tables
@@ -408,10 +403,10 @@ def upsert_merge(spark, d):
     """Target: orders before 1999; source: orders from 1998 with a new status.
     1998 rows are matched (replaced), later rows are inserted."""
     o = table(spark, d, "orders")
-    t = VersionedTable(spark, fresh_path(spark, "q/upsert_merge"))
-    t.overwrite(o.where(F.col("o_orderdate") < ntz("1999-01-01")))
-    t.merge(o.where(F.col("o_orderdate") >= ntz("1998-01-01")).withColumn("o_orderstatus", F.lit("X")), "o_orderkey")
-    return t.read()
+    root = fresh_path(spark, "q/upsert_merge")
+    append_load(o.where(F.col("o_orderdate") < ntz("1999-01-01")), root)
+    upsert_load(o.where(F.col("o_orderdate") >= ntz("1998-01-01")).withColumn("o_orderstatus", F.lit("X")), root, "o_orderkey")
+    return read_latest(spark, root, "o_orderkey")
 
 
 @register("table_merge", """
@@ -455,17 +450,17 @@ def upsert_null_order(spark, d):
     """Latest event per user where a third of the order values is NULL: a NULL
     is older than any other; among NULLs only, the second column decides."""
     e = table(spark, d, "events").select("user_id", "event_id", "value")
-    t = VersionedTable(spark, fresh_path(spark, "q/null_order"))
-    t.upsert(e.withColumn("seq", F.when(F.col("event_id") % 3 != 0, F.col("event_id"))), key="user_id", order=["seq", "event_id"])
-    return t.read().drop("seq")
+    root = fresh_path(spark, "q/null_order")
+    upsert_load(e.withColumn("seq", F.when(F.col("event_id") % 3 != 0, F.col("event_id"))), root, "user_id", order=["seq", "event_id"])
+    return read_latest(spark, root, "user_id").drop("seq")
 
 
 @register("insert_or_replace_latest", """
     select * from events qualify row_number() over (partition by user_id order by event_id desc) = 1""")
 def insert_or_replace_latest(spark, d):
-    t = VersionedTable(spark, fresh_path(spark, "q/latest"))
-    t.upsert(table(spark, d, "events"), key="user_id", order="event_id")
-    return t.read()
+    root = fresh_path(spark, "q/latest")
+    upsert_load(table(spark, d, "events"), root, "user_id", order="event_id")
+    return read_latest(spark, root, "user_id")
 
 
 @register("schema_merge_append", """
@@ -474,20 +469,32 @@ def insert_or_replace_latest(spark, d):
     select s_suppkey + 1000, null, s_nationkey, null, 'v' from supplier""")
 def schema_merge_append(spark, d):
     s = table(spark, d, "supplier")
-    t = VersionedTable(spark, fresh_path(spark, "q/schema_merge"))
-    t.overwrite(s)
-    t.append_merge(s.select((F.col("s_suppkey") + 1000).alias("s_suppkey"), "s_nationkey", F.lit("v").alias("tag")))
-    return t.read()
+    root = fresh_path(spark, "q/schema_merge")
+    append_load(s, root)
+    append_load(s.select((F.col("s_suppkey") + 1000).alias("s_suppkey"), "s_nationkey", F.lit("v").alias("tag")), root)
+    return read_loads(spark, root)
+
+
+@register("schema_widen_append", """
+    select n_nationkey::bigint as id, n_regionkey::double as x, null::varchar as tag, n_name as name from nation
+    union all select s_suppkey + 5000000000, s_acctbal, 'v', null from supplier""")
+def schema_widen_append(spark, d):
+    """Appends whose types are wider (int to bigint, int to double) and whose
+    columns differ: all loads read with the widest types."""
+    root = fresh_path(spark, "q/schema_widen")
+    append_load(table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("x"), F.col("n_name").alias("name")), root)
+    append_load(table(spark, d, "supplier").select((F.col("s_suppkey") + 5_000_000_000).alias("id"), F.col("s_acctbal").alias("x"), F.lit("v").alias("tag")), root)
+    return read_loads(spark, root)
 
 
 @register("csv_accumulate", "select * from supplier union all select * from supplier")
 def csv_accumulate(spark, d):
-    """Existing CSV + new rows: a part is added, old rows are not rewritten."""
+    """Existing CSV + new rows: a load is added, old rows are not rewritten."""
     s = table(spark, d, "supplier")
-    t = VersionedTable(spark, fresh_path(spark, "q/customers_csv"), fmt="csv")
-    t.overwrite(s)
-    t.append(s)
-    return t.read()
+    root = fresh_path(spark, "q/customers_csv")
+    for _ in range(2):
+        append_load(s, root, next_load(spark, root), fmt="csv")
+    return read_loads(spark, root, "csv", s.schema)
 
 
 @register("table_append", "select * from nation union all select * from nation")
@@ -587,15 +594,17 @@ def jdbc_roundtrip(spark, d):
     return back.select("n_nationkey", "n_name", "n_regionkey")
 
 
-@register("object_inventory")
+@register("object_inventory", """
+    select 'lang=' || lang as folder, sum(strlen(coalesce(text, '')) + 1)::bigint as total_bytes,
+           printf('%.2f MB', sum(strlen(coalesce(text, '')) + 1) / 1048576.0::double) as total_size
+    from documents group by lang""")
 def object_inventory(spark, d):
-    """Documents landed per language folder, listed by the inventory source
-    and summarised per folder (file counts depend on the writer)."""
+    """Texts landed per language folder, one a line; Spark's listing of them,
+    summarised per folder (how many files there are depends on the writer)."""
     root = fresh_path(spark, "q/inventory")
-    table(spark, d, "documents").write.partitionBy("lang").parquet(root)
-    inv = read_inventory(spark, root)
-    folder = F.regexp_extract("path", r"^([^/]+)/", 1)
-    return stats.size_summary(inv.withColumn("folder", folder).where(F.col("folder") != ""), "length", ["folder"])
+    table(spark, d, "documents").select("lang", F.coalesce("text", F.lit("")).alias("value")).write.partitionBy("lang").text(root)
+    inventory = read_inventory(spark, root).withColumn("folder", F.regexp_extract("path", "^([^/]+)/", 1))
+    return stats.size_summary(inventory.where("folder != ''"), "length", ["folder"]).drop("objects")
 
 
 # ------------------------------------------------------------------ governance
@@ -639,16 +648,18 @@ def document_table_public(spark, d):
 
 
 @register("policy_masks", """
-    select * from (values ('c_mktsegment', 'last4'), ('c_name', 'first2')) t("column", mask)
-    where (select count(*) from customer) > 0""")
+    select p."column", p.mask, count(*) as documents, count(case p."column" when 'c_name' then c_name else c_mktsegment end) as masked_values,
+           count(distinct case p."column" when 'c_name' then c_name else c_mktsegment end) as distinct_values
+    from customer, (values ('c_mktsegment', 'last4'), ('c_name', 'first2')) p("column", mask) group by all""")
 def policy_masks(spark, d):
-    """The masks of a document table, listed."""
+    """The masks of a document table, with what they hide: the documents, and
+    the values and distinct values of each masked column."""
     c = table(spark, d, "customer")
     t = DocumentTable(spark, fresh_path(spark, "q/doc_masks"), name="customer", key="c_custkey")
     t.create(c.schema)
     t.insert(c)
     t.set_masks(dict(CUSTOMER_POLICY))
-    return t.get_masks()
+    return masked_columns(t.read("owner"), t.get_masks())
 
 
 @register("document_insert", "select * from customer")

@@ -1,245 +1,18 @@
-"""Tables: catalog tables and versioned path tables (SNK-9..17, SRC-11).
+"""Catalog tables: create, append, merge (SNK-9, SNK-10, SNK-16).
 
-``VersionedTable`` never reads and overwrites the same folder (Spark would
-delete the input before reading it).  Each commit writes a new data folder
-and then atomically creates a small manifest ``_commits/<n>.json`` that lists
-the data folders ("parts") of version ``n``.  Readers only see committed
-versions; a failed attempt leaves an unreferenced folder and can simply be
-retried.  A ``batch_id`` makes commits idempotent (a replayed streaming
-micro-batch is skipped): ``_batches/<id>`` names the version a batch was
-about to become, and that commit tells whether it did.
-
-* append: adds one part, nothing is rewritten;
-* upsert / merge: the table is kept bucketed by ``pmod(xxhash64(key), B)``.
-  Only the buckets hit by the (de-duplicated) update batch are read,
-  merged and rewritten; the parts of all other buckets are carried over.
-  The cost of a merge is the size of the buckets it touches, not the table.
-
-Where an Iceberg or Delta catalog is configured, prefer its MERGE; this
-class is the portable path for plain Parquet/CSV/JSON storage.
+Row-level formats run SQL ``MERGE INTO``; plain file tables get the merged rows
+in a new place, so that no folder is read and overwritten at once.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkweave import fs
 from sparkweave.operators.upsert import upsert
-from sparkweave.sinks.files import write_any
-from sparkweave.sources.files import read_any, read_json, read_parquet
-
-
-#: Estimated bytes of a bucket (one task's work) and the most buckets of a table.
-BUCKET_BYTES, MAX_BUCKETS = 128 << 20, 1 << 16
-#: Estimates from here on are products over joins or defaults, not sizes.
-UNKNOWN_BYTES = 1 << 47
-
-
-class ConcurrentCommitError(RuntimeError):
-    pass
-
-
-def merge_schemas(a: T.StructType | None, b: T.StructType) -> T.StructType:
-    if a is None:
-        return b
-    fields = list(a.fields)
-    known = {f.name: f for f in a.fields}
-    for f in b.fields:
-        if f.name in known:
-            if known[f.name].dataType != f.dataType:
-                raise ValueError(f"column {f.name!r}: {known[f.name].dataType} vs {f.dataType}")
-        else:
-            fields.append(f)
-    return T.StructType(fields)
-
-
-class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str, fmt: str = "parquet", buckets: int | None = None):
-        """``buckets``: of a keyed table; by default, chosen by the size of the
-        first upsert (about ``BUCKET_BYTES`` each) and stored with the table."""
-        self.spark, self.path, self.fmt, self.buckets = spark, path.rstrip("/"), fmt, buckets
-
-    # ---- metadata -------------------------------------------------------
-    def versions(self) -> list[int]:
-        names = fs.list_names(self.spark, f"{self.path}/_commits")
-        return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json"))
-
-    def latest(self) -> int | None:
-        v = self.versions()
-        return v[-1] if v else None
-
-    def manifest(self, version: int | None = None) -> dict | None:
-        """Commit of ``version`` (default latest); None if there is none.  An
-        unreadable commit is an error, never an empty table."""
-        version = self.latest() if version is None else version
-        if version is None:
-            return None
-        text = fs.read_text(self.spark, f"{self.path}/_commits/{version:08d}.json")
-        if text is None:
-            return None
-        try:
-            return json.loads(text)
-        except ValueError as e:
-            raise RuntimeError(f"commit {version} of {self.path} is incomplete") from e
-
-    def schema(self, version: int | None = None) -> T.StructType | None:
-        m = self.manifest(version)
-        return T.StructType.fromJson(json.loads(m["schema"])) if m else None
-
-    def _batch_marker(self, batch_id: str) -> str:
-        safe = "".join(ch if ch.isalnum() or ch in "-_." else "_" for ch in batch_id)
-        return f"{self.path}/_batches/{safe}"
-
-    def has_batch(self, batch_id: str) -> bool:
-        """Whether a commit carries ``batch_id``.  The marker names the version
-        a batch was about to become; only that commit tells if it did."""
-        planned = fs.read_text(self.spark, self._batch_marker(batch_id))
-        if not planned:
-            return False
-        m = self.manifest(int(planned))
-        return m is not None and m["batch"] == batch_id
-
-    # ---- read -----------------------------------------------------------
-    def read(self, version: int | None = None, schema: T.StructType | None = None) -> DataFrame:
-        """Rows of ``version`` (default latest).  A table that does not exist
-        yet reads as an empty frame with ``schema`` (if given)."""
-        m = self.manifest(version)
-        if m is None:
-            if schema is None:
-                raise FileNotFoundError(f"no committed version in {self.path}")
-            return self.spark.createDataFrame([], schema)
-        full = T.StructType.fromJson(json.loads(m["schema"]))
-        if not m["parts"]:
-            return self.spark.createDataFrame([], full)
-        return self._read_parts(m["parts"], full)
-
-    def lookup(self, key: str, value) -> DataFrame:
-        """Rows with ``key`` = ``value``; of a table keyed by it, only the
-        bucket that can hold them is opened."""
-        m = self.manifest()
-        if m is None or m.get("keys") != [key]:
-            return self.read().where(F.col(key) == F.lit(value))
-        full = T.StructType.fromJson(json.loads(m["schema"]))
-        hashed = F.pmod(F.xxhash64(F.lit(value).cast(full[key].dataType)), F.lit(m["buckets"]))
-        bucket = self.spark.range(1).select(hashed).first()[0]
-        parts = [p for p in m["parts"] if p["bucket"] is None or p["bucket"] == bucket]
-        return self._read_parts(parts, full).where(F.col(key) == F.lit(value))
-
-    def _read_parts(self, parts: list[dict], full: T.StructType) -> DataFrame:
-        if not parts:
-            return self.spark.createDataFrame([], full)
-        dirs = [p["dir"] for p in parts]
-        if self.fmt == "csv":
-            # CSV columns are positional: read each folder with its own schema.
-            frames = [read_any(self.spark, p["dir"], "csv", T.StructType.fromJson(json.loads(p["schema"])), multi_line=True)
-                      for p in parts]
-            out = frames[0]
-            for f in frames[1:]:
-                out = out.unionByName(f, allowMissingColumns=True)
-            return out.select(*[F.col(c.name) if c.name in out.columns else F.lit(None).cast(c.dataType).alias(c.name)
-                                for c in full.fields])
-        if self.fmt == "json":
-            return read_json(self.spark, dirs, full)
-        return read_parquet(self.spark, dirs, full)
-
-    # ---- write ----------------------------------------------------------
-    def _publish(self, prev: dict | None, parts: list[dict], schema: T.StructType, op: str,
-                 batch_id: str | None, keys: list[str] | None = None) -> int:
-        version = (prev["version"] + 1) if prev else 0
-        bucketed = {"keys": keys, "buckets": self.buckets} if keys else {
-            k: prev.get(k) for k in ("keys", "buckets")} if prev and any(p["bucket"] is not None for p in parts) else {}
-        manifest = {"version": version, "op": op, "batch": batch_id, "parts": parts, "schema": schema.json(), **bucketed}
-        if batch_id is not None:
-            fs.write_text(self.spark, self._batch_marker(batch_id), str(version), overwrite=True)
-        if not fs.write_text(self.spark, f"{self.path}/_commits/{version:08d}.json", json.dumps(manifest)):
-            raise ConcurrentCommitError(f"version {version} of {self.path} was committed by another writer")
-        return version
-
-    def _new_dir(self, prev: dict | None) -> str:
-        version = (prev["version"] + 1) if prev else 0
-        return f"{self.path}/data/{version:08d}-{uuid.uuid4().hex[:12]}"
-
-    def _commit(self, df: DataFrame, op: str, keep_previous: bool, batch_id: str | None) -> int:
-        if batch_id is not None and self.has_batch(batch_id):
-            return self.latest()
-        prev = self.manifest()
-        data_dir = self._new_dir(prev)
-        write_any(df, data_dir, self.fmt, mode="errorifexists")
-        part = {"dir": data_dir, "schema": df.schema.json(), "bucket": None}
-        parts = (prev["parts"] if (prev and keep_previous) else []) + [part]
-        schema = merge_schemas(T.StructType.fromJson(json.loads(prev["schema"])) if (prev and keep_previous) else None,
-                               df.schema)
-        return self._publish(prev, parts, schema, op, batch_id)
-
-    def overwrite(self, df: DataFrame, batch_id: str | None = None) -> int:
-        return self._commit(df, "overwrite", False, batch_id)
-
-    def append(self, df: DataFrame, batch_id: str | None = None) -> int:
-        """Append rows; new columns are added (schema merge), old rows read NULL."""
-        if self.latest() is not None:
-            merge_schemas(self.schema(), df.schema)  # type conflicts fail before writing
-        return self._commit(df, "append", True, batch_id)
-
-    def _bucket(self, keys: list[str]):
-        return F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(self.buckets)).cast("int")
-
-    def _write_bucketed(self, df: DataFrame, keys: list[str], prev: dict | None) -> list[dict]:
-        if self.buckets is None:
-            size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-            wide = int(self.spark.conf.get("spark.sql.shuffle.partitions"))  # where the planner can't tell the size
-            self.buckets = max(16, min(MAX_BUCKETS, -(-size // BUCKET_BYTES) if size < UNKNOWN_BYTES else wide))
-        data_dir = self._new_dir(prev)
-        write_any(df.withColumn("_bucket", self._bucket(keys)).repartition("_bucket"), data_dir, self.fmt,
-                  mode="errorifexists", partition_by=["_bucket"])
-        schema = df.schema.json()
-        return [{"dir": f"{data_dir}/{name}", "schema": schema, "bucket": int(name.split("=", 1)[1])}
-                for name in fs.list_names(self.spark, data_dir) if name.startswith("_bucket=")]
-
-    def upsert(self, df: DataFrame, key: str | list[str], order: str | list[str] | None = None,
-               batch_id: str | None = None) -> int:
-        """Insert-or-replace by key into a new version (latest wins with ``order``).
-
-        Only buckets that receive update rows are rewritten.  Parts written by
-        ``append``/``overwrite`` carry no bucket and are folded into the
-        buckets by the next upsert.
-        """
-        from sparkweave.operators.upsert import _keys, check_keys, latest_per_key
-        if batch_id is not None and self.has_batch(batch_id):
-            return self.latest()
-        keys = _keys(key)
-        check_keys(df, keys, unique=order is None)
-        src = latest_per_key(df, keys, order) if order is not None else df
-        prev = self.manifest()
-        if prev is None:
-            return self._publish(None, self._write_bucketed(src, keys, None), src.schema, "upsert", batch_id, keys)
-        if prev.get("keys"):
-            if prev["keys"] != keys:
-                raise ValueError(f"{self.path} is bucketed by {prev['keys']}, not by {keys}")
-            self.buckets = prev["buckets"]  # a new count would look for old rows in other buckets
-        src = src.persist()
-        try:
-            touched = {r[0] for r in src.select(self._bucket(keys).alias("b")).distinct().collect()}
-            hit = [p for p in prev["parts"] if p.get("bucket") is None or p["bucket"] in touched]
-            kept = [p for p in prev["parts"] if p.get("bucket") is not None and p["bucket"] not in touched]
-            full = merge_schemas(T.StructType.fromJson(json.loads(prev["schema"])), src.schema)
-            old = self._read_parts(hit, T.StructType.fromJson(json.loads(prev["schema"])))
-            merged = upsert(old, src, keys, null_keys="ignore")
-            merged = merged.select(*[F.col(c.name) if c.name in merged.columns
-                                     else F.lit(None).cast(c.dataType).alias(c.name) for c in full.fields])
-            new_parts = self._write_bucketed(merged, keys, prev)
-        finally:
-            src.unpersist()
-        return self._publish(prev, kept + new_parts, full, "upsert", batch_id, keys)
-
-    merge = upsert
-
-    def append_merge(self, df: DataFrame, batch_id: str | None = None) -> int:
-        return self.append(df, batch_id)
 
 
 def create_table_if_absent(spark: SparkSession, name: str, schema: T.StructType | str,
@@ -329,13 +102,10 @@ def merge_into_table(df: DataFrame, name: str, key: str | list[str], new_locatio
     staged = spark.read.schema(current.schema).parquet(new_location)
     emptied = (matched.select(*parts).distinct().select(*[F.col(p).alias(f"_p_{p}") for p in parts])
                .join(staged, same, "left_anti").collect())  # of partitions, never of rows
-    mode = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(mode)
-    spark.conf.set(mode, "dynamic")  # the write option is not heeded by insertInto
-    try:
-        staged.write.mode("overwrite").insertInto(name)
-    finally:
-        spark.conf.set(mode, before)
+    # insertInto heeds the session's setting only, so the overwrite has a session of its own (the catalog is shared).
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    own.read.schema(current.schema).parquet(new_location).write.mode("overwrite").insertInto(name)
     for r in emptied:
         spec = ", ".join(f"`{p}` = " + ("null" if r[f"_p_{p}"] is None else "'" + str(r[f"_p_{p}"]).replace("'", "\\'") + "'") for p in parts)
         spark.sql(f"ALTER TABLE {name} DROP IF EXISTS PARTITION ({spec})")

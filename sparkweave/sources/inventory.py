@@ -1,119 +1,35 @@
-"""Object inventory as a Python Data Source (SRC-15, SRC-16).
+"""Object inventory (SRC-15, SRC-16, SRC-17).
 
-``spark.read.format("sw_inventory").option("path", root).load()`` lists every
-file below ``root`` as ``(path, length, modified)``, with ``path`` relative
-to the root.  Unlike the ``binaryFile`` source it keeps hidden and
-zero-length files.  Listing is split into one input partition per folder
-down to ``splitDepth`` levels (default 2), so wide trees - and one big
-top-level folder - are listed in parallel on the executors.
-
-Paths go through ``pyarrow.fs`` (local, HDFS, S3 URIs).
+An inventory is any table ``(path, length, modified)``, such as the inventory
+report of an object store; the operators here and in ``operators.tree`` work on
+it.  ``read_inventory`` makes one from Spark's own listing of a folder: the
+``binaryFile`` source without its contents, which lists wide trees in parallel.
+It leaves out hidden and empty files.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMA = "path string, length bigint, modified timestamp"
-
-
-def _fs(root: str):
-    from pyarrow import fs as pafs
-    if "://" not in root:
-        return pafs.LocalFileSystem(), root.rstrip("/")
-    if root.startswith("file://"):
-        return pafs.LocalFileSystem(), root[len("file://"):].rstrip("/")
-    scheme, rest = root.split("://", 1)
-    filesystem, p = pafs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else root)
-    return filesystem, p.rstrip("/")
-
-
-class _Part(InputPartition):
-    def __init__(self, sub: str, recursive: bool):
-        super().__init__(sub)
-        self.sub = sub
-        self.recursive = recursive
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options):
-        self.root = options["path"]
-        self.recursive = options.get("recursive", "true").lower() == "true"
-        self.split_depth = max(1, int(options.get("splitDepth", "2")))
-
-    def partitions(self):
-        """One partition for the root's own files, then one per folder down
-        to ``split_depth`` levels (each also lists its own files), and one
-        recursive partition per folder at the last level."""
-        from pyarrow import fs as pafs
-        filesystem, root = _fs(self.root)
-        if filesystem.get_file_info(root).type == pafs.FileType.NotFound:
-            raise FileNotFoundError(f"no such folder: {self.root}")
-        parts = [_Part("", False)]
-        if not self.recursive:
-            return parts
-        frontier = [""]
-        for level in range(1, self.split_depth + 1):
-            nxt = []
-            for sub in frontier:
-                base = f"{root}/{sub}" if sub else root
-                for info in filesystem.get_file_info(pafs.FileSelector(base, allow_not_found=True)):
-                    if info.type == pafs.FileType.Directory:
-                        rel = f"{sub}/{info.base_name}" if sub else info.base_name
-                        last = level == self.split_depth
-                        parts.append(_Part(rel, last))
-                        if not last:
-                            nxt.append(rel)
-            frontier = nxt
-        return parts
-
-    def read(self, partition):
-        from pyarrow import fs as pafs
-        filesystem, root = _fs(self.root)
-        base = f"{root}/{partition.sub}" if partition.sub else root
-        sel = pafs.FileSelector(base, recursive=partition.recursive, allow_not_found=True)
-        for info in filesystem.get_file_info(sel):
-            if info.type != pafs.FileType.File:
-                continue
-            rel = info.path[len(root):].lstrip("/")
-            yield (rel, int(info.size or 0), info.mtime)
-
-
-class InventorySource(DataSource):
-    @classmethod
-    def name(cls):
-        return "sw_inventory"
-
-    def schema(self):
-        return SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options)
-
-
-def register(spark: SparkSession) -> None:
-    # Ship the reader classes by value: executors need not have this package.
-    import sys
+from pyspark.sql import functions as F
 
-    from pyspark import cloudpickle
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.dataSource.register(InventorySource)
+from sparkweave import fs
 
 
-def read_inventory(spark: SparkSession, root: str, recursive: bool = True, split_depth: int = 2) -> DataFrame:
-    """Files below ``root``; listing is split into one task per folder down
-    to ``split_depth`` levels."""
-    register(spark)
-    return (spark.read.format("sw_inventory").option("path", root)
-            .option("recursive", str(recursive).lower()).option("splitDepth", str(split_depth)).load())
+def read_inventory(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
+    """``path`` (below the root), ``length`` and ``modified`` of the files of a
+    folder, and of those below it if ``recursive``."""
+    if not fs.exists(spark, root):
+        raise FileNotFoundError(f"no such folder: {root}")
+    top = fs.qualified(spark, root).rstrip("/") + "/"
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(root)
+             .select("path", "length", F.col("modificationTime").alias("modified")))
+    return files.withColumn("path", F.substring("path", len(top) + 1, 1 << 30))
 
 
 def listing(inventory: DataFrame, folder: str = "", allowed: list[str] | None = None) -> DataFrame:
     """One folder level, ``ls``-like: name, size, mtime as 'MMM dd HH:mm'.
     With ``allowed``, a folder outside those roots is refused.
     Sub-folders appear once with the total size of the files below them."""
-    from pyspark.sql import functions as F
     if allowed is not None and not any(f"{folder.strip('/')}/".startswith(f"{a.strip('/')}/") for a in allowed):
         raise PermissionError(f"folder {folder!r} is not in the allow-list")
     prefix = folder.rstrip("/") + "/" if folder else ""

@@ -3,7 +3,7 @@
 A change log is a folder of files with ``op, seq, ts`` plus the row image.
 ``land_changes`` streams it (checkpointed, ``availableNow`` or a processing
 trigger) and, per micro-batch, writes the INSERT row images to Parquet and
-to JSON, optionally appends them to a versioned table, and records how many
+to JSON, optionally appends them to a table of loads, and records how many
 changes of other kinds were ignored.  Every output is keyed by batch id and
 overwritten on replay, so a retried batch adds nothing.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweave.functions.json import JSON_OPTIONS
-from sparkweave.sinks.tables import VersionedTable
+from sparkweave.sinks.loads import append_load
 
 ENVELOPE = [T.StructField("op", T.StringType()), T.StructField("seq", T.LongType()),
             T.StructField("ts", T.TimestampType())]
@@ -26,7 +26,7 @@ def change_schema(row_schema: T.StructType) -> T.StructType:
 
 
 def land_batch(batch: DataFrame, batch_id: int, out_root: str, row_cols: list[str],
-               table: VersionedTable | None = None) -> None:
+               table: str | None = None) -> None:
     landed = f"{out_root}/parquet/batch={batch_id}"
     batch.where(F.col("op") == "insert").select(*row_cols).write.mode("overwrite").parquet(landed)
     spark = batch.sparkSession
@@ -35,11 +35,11 @@ def land_batch(batch: DataFrame, batch_id: int, out_root: str, row_cols: list[st
     (batch.where(F.col("op") != "insert").groupBy("op").agg(F.count(F.lit(1)).alias("n"))
           .write.mode("overwrite").parquet(f"{out_root}/ignored/batch={batch_id}"))
     if table is not None and not inserts.isEmpty():
-        table.append(inserts, batch_id=f"cdc-{batch_id}")
+        append_load(inserts, table, batch_id)
 
 
 def land_changes(spark: SparkSession, changes_path: str, row_schema: T.StructType, out_root: str,
-                 table: VersionedTable | None = None, max_files_per_trigger: int = 1000,
+                 table: str | None = None, max_files_per_trigger: int = 1000,
                  processing_time: str | None = None):
     """Start the landing stream; with no ``processing_time`` it processes what
     is there (availableNow) and returns when done.  A micro-batch takes at most

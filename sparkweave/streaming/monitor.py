@@ -1,22 +1,22 @@
 """Metric snapshots accumulated over polls (STR-3, STR-4, SET-1).
 
-Each micro-batch of a snapshot stream is appended to a versioned table with
-its batch id, so the accumulated series survives restarts without
-duplicates.  ``processing_time='5 seconds'`` gives the reference's refresh
-cadence; without it the stream drains what is available and stops.
+Each micro-batch of a snapshot stream becomes one load, under its batch id, so
+the accumulated series survives restarts without duplicates.
+``processing_time='5 seconds'`` gives the reference's refresh cadence; without
+it the stream drains what is available and stops.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from sparkweave.sinks.tables import VersionedTable
+from sparkweave.sinks.loads import append_load
 
 
-def accumulate(snapshots: DataFrame, table: VersionedTable, checkpoint: str,
-               processing_time: str | None = None):
+def accumulate(snapshots: DataFrame, root: str, checkpoint: str, processing_time: str | None = None):
+    """Append the stream's batches to the loads below ``root``."""
     w = (snapshots.writeStream
-         .foreachBatch(lambda b, i: table.append(b, batch_id=f"snap-{i}"))
+         .foreachBatch(lambda b, i: append_load(b, root, i) and None)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     q = w.start()

@@ -1,19 +1,16 @@
 """Topics (SRC-6, SRC-7, SNK-6, STR-1, FLT-7, AGG-5).
 
-``FileTopic`` keeps a topic as an append-only Parquet log with the Kafka
-source's columns ``(key, value, topic, partition, offset, timestamp)`` under
-``<root>/log/topic=<name>/``.  Producing assigns dense offsets per
-(topic, partition) with ``operators.ids.allocate_ids`` (no single-task
-window).  Consuming is a Structured Streaming query with
-``trigger(availableNow=True)`` and one checkpoint per (group, subscription):
-a group sees every message once, a new group starts from the earliest.
-
-Delivered micro-batches are written to ``_delivered/.../batch_id=<n>`` with
-overwrite, so a batch replayed after a failure replaces its own output, and
-``consume`` returns those above the group's last acknowledged number.
-
-With a Kafka connector on the classpath, ``kafka_produce``/``kafka_consume``
-use the same columns against a broker.
+Messages are rows ``(key, value, topic, timestamp)``.  On a broker they go
+through Spark's Kafka source and sink.  Without one, publishing appends them to
+a folder, by topic, and consuming is Spark's file stream over it with
+``trigger(availableNow=True)`` and one checkpoint for each group and
+subscription: a group sees every message once, a new group starts from the
+earliest.  What a batch delivers is written under its number, so a batch that is
+run again replaces its own output; ``consume`` returns what is above the number
+that was returned before.
+
+Positions and statistics are plain aggregates over the messages and over what
+was delivered.
 """
 
 from __future__ import annotations
@@ -26,145 +23,98 @@ from pyspark.sql import types as T
 
 from sparkweave import fs
 from sparkweave.functions.json import decode_json, encode_json
-from sparkweave.operators.ids import allocate_ids
-from sparkweave.operators.stats import topic_stats
 
-LOG_SCHEMA = T.StructType([
+MESSAGE = T.StructType([
     T.StructField("key", T.BinaryType()), T.StructField("value", T.BinaryType()),
-    T.StructField("partition", T.IntegerType()), T.StructField("offset", T.LongType()),
-    T.StructField("timestamp", T.TimestampType()), T.StructField("topic", T.StringType()),
-])
-
+    T.StructField("timestamp", T.TimestampType()), T.StructField("topic", T.StringType())])
+DELIVERED = "group string, sub string, batch_id int, topic string, messages long"
 ALL = "_all"
 
 
-def _col(c: Column | str | None) -> Column | None:
-    return F.col(c) if isinstance(c, str) else c
-
-
-class FileTopic:
-    def __init__(self, spark: SparkSession, root: str, partitions: int = 4):
-        self.spark, self.root = spark, root.rstrip("/")
-        stored = fs.read_text(spark, f"{self.root}/_partitions")  # of the first publish: keys stay where they are
-        self.partitions = int(stored) if stored else partitions
-
-    @property
-    def log_path(self) -> str:
-        return f"{self.root}/log"
-
-    # ---- produce ------------------------------------------------------------
-    def produce(self, df: DataFrame, topic: str | Column, key: Column | str | None = None,
-                value: Column | None = None, timestamp: Column | None = None) -> None:
-        """Publish every row of ``df`` as one message.
-
-        ``topic`` is a name or a Column (one topic per row); ``value`` defaults
-        to the row as JSON; messages with a key go to partition
-        ``pmod(xxhash64(key), partitions)``, others are spread over partitions.
-        """
-        fs.write_text(self.spark, f"{self.root}/_partitions", str(self.partitions))
-        k = _col(key)
-        t = F.lit(topic) if isinstance(topic, str) else topic
-        v = value if value is not None else encode_json(*[F.col(c) for c in df.columns])
-        part = (F.pmod(F.xxhash64(k), F.lit(self.partitions)) if k is not None
-                else F.pmod(F.monotonically_increasing_id(), F.lit(self.partitions))).cast("int")
-        msgs = df.select(
-            (k.cast("string").cast("binary") if k is not None else F.lit(None).cast("binary")).alias("key"),
-            v.cast("binary").alias("value"),
-            part.alias("partition"),
-            (timestamp if timestamp is not None else F.current_timestamp()).cast("timestamp").alias("timestamp"),
-            t.cast("string").alias("topic"))
-        starts = None
-        if fs.exists(self.spark, self.log_path):
-            starts = (self.log().groupBy("topic", "partition")
-                      .agg((F.max("offset") + 1).alias("_start")))
-        logged = allocate_ids(msgs, "offset", start=0, group_cols=["topic", "partition"], starts=starts)
-        (logged.select(*[f.name for f in LOG_SCHEMA.fields])
-               .write.mode("append").partitionBy("topic").parquet(self.log_path))
-
-    # ---- read ---------------------------------------------------------------
-    def log(self, topic: str | None = None) -> DataFrame:
-        """Batch view of the log (all messages ever published)."""
-        if not fs.exists(self.spark, self.log_path):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        df = self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
-        return df.where(F.col("topic") == topic) if topic else df
-
-    def consume(self, group: str, topic: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
-        """Messages not yet seen by ``group`` (bounded run, availableNow).
-
-        Returns what was delivered to the group and not returned to it before;
-        an empty frame when the group is up to date.  Delivered batches are
-        found in storage, and are acknowledged by number just before the call
-        returns, so a failure on the way returns them again next time.
-        """
-        base = f"group={quote(group, safe='')}/sub={quote(topic or ALL, safe='')}"
-        checkpoint = f"{self.root}/_checkpoints/{base}"
-        delivered = f"{self.root}/_delivered/{base}"
-        commits = f"{self.root}/_commits/{base}"
-        fs.mkdirs(self.spark, self.log_path)
-        reader = self.spark.readStream.schema(LOG_SCHEMA)
-        if max_files_per_trigger:
-            reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-        stream = reader.parquet(self.log_path)
-        if topic:
-            # Partition filter: other topics' files are listed but never read.
-            stream = stream.where(F.col("topic") == topic)
-
-        def deliver(batch: DataFrame, batch_id: int) -> None:
-            out = f"{delivered}/batch_id={batch_id}"
-            batch.write.mode("overwrite").parquet(out)
-            (self.spark.read.parquet(out).groupBy("topic", "partition").agg(F.max("offset").alias("offset"))
-                 .write.mode("overwrite").parquet(f"{commits}/batch_id={batch_id}"))
-
-        q = (stream.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-        q.awaitTermination()
-        acknowledged = f"{self.root}/_acknowledged/{base}"
-        last = int(fs.read_text(self.spark, acknowledged) or -1)
-        ids = sorted(i for n in fs.list_names(self.spark, delivered) if (i := int(n.split("=")[1])) > last)
-        if not ids:
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        found = self.spark.read.schema(LOG_SCHEMA).parquet(*[f"{delivered}/batch_id={i}" for i in ids])
-        fs.write_text(self.spark, acknowledged, str(ids[-1]), overwrite=True)
-        return found
-
-    def committed(self) -> DataFrame:
-        """Committed positions: group, sub, batch_id, topic, partition, offset."""
-        path = f"{self.root}/_commits"
-        schema = "topic string, partition int, offset bigint, group string, sub string, batch_id int"
-        if not fs.exists(self.spark, path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(path)
-
-    def stats(self) -> DataFrame:
-        """Per topic partition: size_kb, published, consumed (slowest group)."""
-        return topic_stats(self.log(), self.committed(), partition_col="partition")
-
-
-def decode_messages(messages: DataFrame, schema: T.StructType,
-                    keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+def message(df: DataFrame, topic: str | Column, key: Column | str | None = None, value: Column | None = None,
+            timestamp: Column | None = None) -> DataFrame:
+    """Every row of ``df`` as one message; ``topic`` is a name or a Column, the
+    value defaults to the row as JSON."""
+    k = F.col(key) if isinstance(key, str) else key
+    t = F.lit(topic) if isinstance(topic, str) else topic
+    v = value if value is not None else encode_json(*[F.col(c) for c in df.columns])
+    at = timestamp if timestamp is not None else F.current_timestamp()
+    return df.select((k.cast("string") if k is not None else F.lit(None)).cast("binary").alias("key"), v.cast("binary").alias("value"),
+                     at.cast("timestamp").alias("timestamp"), t.cast("string").alias("topic"))
+
+
+def publish(df: DataFrame, root: str, topic: str | Column, key: Column | str | None = None, value: Column | None = None,
+            timestamp: Column | None = None) -> None:
+    """Append the rows of ``df`` as messages (one write, all or nothing)."""
+    message(df, topic, key, value, timestamp).write.mode("append").partitionBy("topic").parquet(f"{root}/messages")
+
+
+def messages(spark: SparkSession, root: str, topic: str | None = None) -> DataFrame:
+    """All messages ever published (a batch view)."""
+    if not fs.exists(spark, f"{root}/messages"):
+        return spark.createDataFrame([], MESSAGE)
+    df = spark.read.schema(MESSAGE).parquet(f"{root}/messages")
+    return df.where(F.col("topic") == topic) if topic else df
+
+
+def consume(spark: SparkSession, root: str, group: str, topic: str | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Messages that ``group`` hasn't been given yet (a bounded run); none when it
+    is up to date.  A failure on the way returns them again next time."""
+    base = f"group={quote(group, safe='')}/sub={quote(topic or ALL, safe='')}"
+    delivered = f"{root}/delivered/{base}"
+    fs.mkdirs(spark, f"{root}/messages")
+    reader = spark.readStream.schema(MESSAGE)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(f"{root}/messages")
+    if topic:
+        stream = stream.where(F.col("topic") == topic)  # other topics' files are listed, never read
+    q = (stream.writeStream.foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{delivered}/batch_id={i}"))
+         .option("checkpointLocation", f"{root}/checkpoints/{base}").trigger(availableNow=True).start())
+    q.awaitTermination()
+    returned = f"{root}/returned/{base}"
+    last = int(fs.read_text(spark, returned) or -1)
+    ids = sorted(i for n in fs.list_names(spark, delivered) if (i := int(n.split("=")[1])) > last)
+    if not ids:
+        return spark.createDataFrame([], MESSAGE)
+    found = spark.read.schema(MESSAGE).parquet(*[f"{delivered}/batch_id={i}" for i in ids])
+    fs.write_text(spark, returned, str(ids[-1]), overwrite=True)
+    return found
+
+
+def deliveries(spark: SparkSession, root: str) -> DataFrame:
+    """Messages delivered, by group, subscription, batch and topic."""
+    if not fs.exists(spark, f"{root}/delivered"):
+        return spark.createDataFrame([], DELIVERED)
+    schema = T.StructType([*MESSAGE.fields, T.StructField("group", T.StringType()), T.StructField("sub", T.StringType()),
+                           T.StructField("batch_id", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{root}/delivered")
+    return rows.groupBy("group", "sub", "batch_id", "topic").agg(F.count("*").alias("messages"))
+
+
+def topic_positions(spark: SparkSession, root: str) -> DataFrame:
+    """Per topic: ``size_kb`` (bytes / 1000), ``published`` messages and
+    ``consumed``, the position of the slowest group that reads it (0 without)."""
+    stats = messages(spark, root).groupBy("topic").agg(
+        (F.coalesce(F.sum(F.octet_length("value")), F.lit(0)) / F.lit(1000.0)).alias("size_kb"), F.count("*").alias("published"))
+    read = (deliveries(spark, root).groupBy("topic", "group", "sub").agg(F.sum("messages").alias("n"))
+            .groupBy("topic").agg(F.min("n").alias("consumed")))
+    return stats.join(read, "topic", "left").withColumn("consumed", F.coalesce("consumed", F.lit(0).cast("long")))
+
+
+def decode_messages(rows: DataFrame, schema: T.StructType, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """JSON message values -> (rows, quarantine)."""
-    return decode_json(messages, "value", schema, keep=keep)
+    return decode_json(rows, "value", schema, keep=keep)
 
 
 # ---- Kafka (only when the connector is on the classpath) ---------------------
 
-def kafka_available(spark: SparkSession) -> bool:
-    try:
-        spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.sql.kafka010.KafkaSourceProvider")
-        return True
-    except Exception:
-        return False
-
-
 def kafka_produce(df: DataFrame, servers: str, topic: str, key: Column | None = None) -> None:
-    out = df.select((key.cast("string") if key is not None else F.lit(None).cast("string")).alias("key"),
-                    encode_json(*[F.col(c) for c in df.columns]).alias("value"))
-    out.write.format("kafka").option("kafka.bootstrap.servers", servers).option("topic", topic).save()
+    (message(df, topic, key).select("key", "value").write.format("kafka")
+     .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
 
 
-def kafka_consume(spark: SparkSession, servers: str, topic: str, group: str, checkpoint: str,
-                  sink: str) -> None:
+def kafka_consume(spark: SparkSession, servers: str, topic: str, group: str, checkpoint: str, sink: str) -> None:
     (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
           .option("subscribe", topic).option("startingOffsets", "earliest")
           .option("kafka.group.id", group).load()

@@ -34,6 +34,7 @@ def test_document_table(spark, tmp):
     assert [r["_id"] for r in t.peek(1).collect()] == ["a"]
     later = spark.createDataFrame([("b", "Bo 1", None, None, 1), ("b", "Bo 2", None, None, 2)], SCHEMA + ", _seq int")
     t.add(later)                                                    # duplicate key: the later one wins
+    assert t.data.endswith('/data')
     assert t.find_by_id("b", "owner").first()["name"] == "Bo 2"
 
 

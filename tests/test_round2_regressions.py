@@ -12,41 +12,46 @@ from sparkweave import fs
 from sparkweave.functions.json import decode_json
 from sparkweave.operators import stats
 from sparkweave.operators.upsert import latest_per_key, upsert
+from sparkweave.sinks import loads
 from sparkweave.sinks.documents import DocumentTable
-from sparkweave.sinks.tables import VersionedTable
 from sparkweave.sources.inventory import listing
-from sparkweave.streaming.topics import FileTopic
+from sparkweave.streaming import topics
 
 
 def test_consume_returns_every_batch(spark, tmp):
-    topic = FileTopic(spark, tmp, partitions=1)
     for i in range(6):
-        topic.produce(spark.range(i * 100, i * 100 + 100, numPartitions=1).withColumnRenamed("id", "n"), "/volume/stream:topic")
+        topics.publish(spark.range(i * 100, i * 100 + 100, numPartitions=1).withColumnRenamed("id", "n"), tmp, "/volume/stream:topic")
     before = spark.conf.get("spark.sql.streaming.numRecentProgressUpdates")
     spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
     try:
-        assert topic.consume("g/1", max_files_per_trigger=1).count() == 600
-        assert topic.consume("g/1").count() == 0
+        assert topics.consume(spark, tmp, "g/1", max_files_per_trigger=1).count() == 600
+        assert topics.consume(spark, tmp, "g/1").count() == 0
     finally:
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", before)
-    r = topic.stats().collect()
+    r = topics.topic_positions(spark, tmp).collect()
     assert [(x.topic, x.published, x.consumed) for x in r] == [("/volume/stream:topic", 600, 600)]
 
 
 def test_consume_again_after_failure(spark, tmp, monkeypatch):
-    topic = FileTopic(spark, tmp, partitions=1)
-    topic.produce(spark.range(5), "t")
+    topics.publish(spark.range(5), tmp, "t")
     monkeypatch.setattr(fs, "write_text", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("lost")))
     with pytest.raises(RuntimeError):
-        topic.consume("g")
+        topics.consume(spark, tmp, "g")
     monkeypatch.undo()
-    assert topic.stats().first().consumed == 5 and topic.consume("g").count() == 5 and topic.consume("g").count() == 0
+    assert topics.topic_positions(spark, tmp).first().consumed == 5
+    assert topics.consume(spark, tmp, "g").count() == 5 and topics.consume(spark, tmp, "g").count() == 0
 
 
 def test_unread_topic_is_at_zero(spark, tmp):
-    topic = FileTopic(spark, tmp)
-    topic.produce(spark.range(3), "t")
-    assert {r.consumed for r in topic.stats().collect()} == {0}
+    topics.publish(spark.range(3), tmp, "t")
+    assert {r.consumed for r in topics.topic_positions(spark, tmp).collect()} == {0}
+    topics.consume(spark, tmp, "fast")
+    topics.publish(spark.range(2), tmp, "t")
+    topics.consume(spark, tmp, "fast")
+    topics.consume(spark, tmp, "slow", "t")
+    topics.publish(spark.range(1), tmp, "t")
+    r = topics.topic_positions(spark, tmp).first()
+    assert (r.published, r.consumed) == (6, 5)
 
 
 def test_null_order_keeps_the_row(spark):
@@ -57,41 +62,6 @@ def test_null_order_keeps_the_row(spark):
         upsert(df, df, "k")
 
 
-def test_keys_and_buckets_belong_to_the_table(spark, tmp):
-    df = spark.range(1000).selectExpr("id AS k", "id % 200 AS j", "'old' AS v")
-    VersionedTable(spark, tmp, buckets=8).upsert(df, "k")
-    wider = VersionedTable(spark, tmp, buckets=128)
-    wider.upsert(df.limit(6).withColumn("v", F.lit("new")), "k")
-    assert wider.read().count() == 1000 and wider.read().where("v = 'new'").count() == 6
-    with pytest.raises(ValueError):
-        wider.upsert(df.dropDuplicates(["j"]), "j")
-
-
-def test_replay_after_a_crash_between_marker_and_commit(spark, tmp, monkeypatch):
-    t, df = VersionedTable(spark, tmp), spark.range(5)
-    write = fs.write_text
-    for broken in ("_commits", "_batches"):
-        def fail(spark, path, *a, **k):
-            if f"/{broken}/" in path:
-                raise RuntimeError("lost")
-            return write(spark, path, *a, **k)
-        monkeypatch.setattr(fs, "write_text", fail)
-        with pytest.raises(RuntimeError):
-            t.append(df, batch_id="b1")
-        monkeypatch.undo()
-    t.append(df, batch_id="b1")
-    t.append(df, batch_id="b1")
-    assert t.read().count() == 5
-
-
-def test_half_written_commit_is_an_error(spark, tmp):
-    t = VersionedTable(spark, tmp)
-    t.append(spark.range(5))
-    fs.write_text(spark, f"{tmp}/_commits/00000001.json", "")
-    with pytest.raises(RuntimeError):
-        t.read(schema=spark.range(1).schema)
-
-
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_bounds_do_not_depend_on_the_drivers_zone(spark, kind):
     base = dt.datetime(2024, 1, 2, 12)
@@ -125,7 +95,10 @@ def test_plain_insert(spark, tmp):
     for rows in ([(2, "c")], [(3, "c"), (3, "d")], [(None, "c")]):
         with pytest.raises(ValueError):
             t.insert(spark.createDataFrame(rows, "k int, v string"))
-    assert t.data.read().count() == 2
+    assert loads.read_loads(spark, t.data).count() == 2
+    t.insert(spark.createDataFrame([(5, "e")], "k int, v string"), load=5)
+    t.insert(spark.createDataFrame([(5, "e")], "k int, v string"), load=5)  # a replay
+    assert loads.read_loads(spark, t.data).count() == 3
 
 
 def test_listing_allow_list(spark):
@@ -133,28 +106,3 @@ def test_listing_allow_list(spark):
     assert listing(inv, "a", allowed=["a"]).count() == 1
     with pytest.raises(PermissionError):
         listing(inv, "ab", allowed=["a"])
-
-
-def test_lookup_opens_one_bucket(spark, tmp):
-    t = VersionedTable(spark, tmp, buckets=16)
-    t.upsert(spark.range(500).selectExpr("id AS k", "id * 2 AS v"), "k")
-    found = t.lookup("k", 7)
-    assert [r.v for r in found.collect()] == [14] and len({f.rsplit("/", 2)[1] for f in found.inputFiles()}) == 1
-    t.append(spark.createDataFrame([(900, 1)], "k long, v long"))
-    assert t.lookup("k", 900).count() == 1 and t.lookup("v", 14).count() == 1
-
-
-def test_buckets_by_size(spark, tmp, monkeypatch):
-    from sparkweave.sinks import tables
-    VersionedTable(spark, f"{tmp}/a").upsert(spark.range(50).withColumnRenamed("id", "k"), "k")
-    assert VersionedTable(spark, f"{tmp}/a").manifest()["buckets"] == 16
-    monkeypatch.setattr(tables, "BUCKET_BYTES", 10)
-    VersionedTable(spark, f"{tmp}/b").upsert(spark.range(50).withColumnRenamed("id", "k"), "k")
-    assert VersionedTable(spark, f"{tmp}/b").manifest()["buckets"] == 40
-
-
-def test_topic_keeps_its_partition_count(spark, tmp):
-    FileTopic(spark, tmp, partitions=2).produce(spark.range(9), "t", key="id")
-    again = FileTopic(spark, tmp, partitions=8)
-    again.produce(spark.range(9), "t", key="id")
-    assert again.partitions == 2 and {r.partition for r in again.log().collect()} <= {0, 1}

@@ -1,5 +1,6 @@
 import json
 import os
+import re
 import uuid
 
 import pytest
@@ -56,17 +57,18 @@ def test_csv_keeps_white_space_and_splits(spark, tmp):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
-def test_inventory_counts_hidden_and_empty(spark, local_tmp):
+def test_inventory_of_a_folder(spark, local_tmp):
     os.makedirs(f"{local_tmp}/users/sub")
-    for rel, data in [("users/a.csv", b"abc"), ("users/.hidden", b"x"), ("users/sub/empty", b""),
-                      ("users.csv", b"12345"), ("top", b"")]:
+    for rel, data in [("users/a.csv", b"abc"), ("users/.hidden", b"x"), ("users/sub/b", b"1234"), ("users/sub/empty", b""), ("users.csv", b"12345")]:
         with open(f"{local_tmp}/{rel}", "wb") as f:
             f.write(data)
-    want = {"users/a.csv": 3, "users/.hidden": 1, "users/sub/empty": 0, "users.csv": 5, "top": 0}
-    for depth in (1, 2, 3):
-        rows = read_inventory(spark, local_tmp, split_depth=depth).collect()
-        assert len(rows) == len(want) and {r["path"]: r["length"] for r in rows} == want   # each file once
-    with pytest.raises(Exception, match="no such folder"):
+    found = read_inventory(spark, local_tmp)
+    assert found.columns == ["path", "length", "modified"]
+    assert {r["path"]: r["length"] for r in found.collect()} == {"users/a.csv": 3, "users/sub/b": 4, "users.csv": 5}  # hidden and empty ones are left out
+    assert {r["path"] for r in read_inventory(spark, local_tmp, recursive=False).collect()} == {"users.csv"}
+    read = re.search("ReadSchema: [^\n]*", found._jdf.queryExecution().executedPlan().toString())
+    assert read is None or "content" not in read[0]  # names and sizes only
+    with pytest.raises(FileNotFoundError, match="no such folder"):
         read_inventory(spark, f"{local_tmp}/missing").count()
 
 

@@ -2,7 +2,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkweave.streaming.cdc import land_changes, read_landed
-from sparkweave.streaming.topics import FileTopic, decode_messages
+from sparkweave.sinks.loads import loads, read_loads
+from sparkweave.streaming.topics import consume, decode_messages, messages, publish, topic_positions
 
 MSG = T.StructType([T.StructField(n, T.StringType()) for n in ("name", "address", "job", "sex")])
 
@@ -12,34 +13,31 @@ def _msgs(spark, n, start=0):
                                  "name string, address string, job string, sex string")
 
 
-def test_produce_consume_positions(spark, tmp):
-    topic = FileTopic(spark, tmp, partitions=2)
-    topic.produce(_msgs(spark, 3), "incoming")
-    first = topic.consume("demo-consumer", "incoming")
-    assert first.count() == 3
-    assert topic.consume("demo-consumer", "incoming").count() == 0          # nothing new
-    topic.produce(_msgs(spark, 4, start=3), "incoming")
-    again = topic.consume("demo-consumer", "incoming")
-    assert again.count() == 4                                               # only the new ones
-    assert topic.consume("other-group", "incoming").count() == 7            # a new group starts at the earliest
-    rows, bad = decode_messages(again, MSG, keep=["offset"])
-    assert bad.count() == 0 and {r["name"] for r in rows.collect()} == {"n3", "n4", "n5", "n6"}
-    log = topic.log("incoming")
-    per_part = log.groupBy("partition").agg(F.count("*").alias("n"), F.max("offset").alias("mx"), F.min("offset").alias("mn"))
-    for r in per_part.collect():                                            # dense offsets per partition
-        assert r["mn"] == 0 and r["mx"] == r["n"] - 1
-    st = {(r["topic"], r["partition"]): r for r in topic.stats().collect()}
-    assert sum(r["published"] for r in st.values()) == 7
-    assert all(r["consumed"] == r["published"] for r in st.values())
+def test_publish_consume_positions(spark, tmp):
+    publish(_msgs(spark, 3), tmp, "incoming")
+    assert consume(spark, tmp, "demo-consumer", "incoming").count() == 3
+    assert consume(spark, tmp, "demo-consumer", "incoming").count() == 0         # nothing new
+    publish(_msgs(spark, 4, start=3), tmp, "incoming", key="name")
+    again = consume(spark, tmp, "demo-consumer", "incoming")
+    assert again.count() == 4                                                    # only the new ones
+    assert consume(spark, tmp, "other-group", "incoming").count() == 7           # a new group starts at the earliest
+    rows, bad = decode_messages(again, MSG, keep=["key"])
+    assert bad.count() == 0 and {r["name"] for r in rows.collect()} == {"n3", "n4", "n5", "n6"} == {bytes(r["key"]).decode() for r in rows.collect()}
+    assert messages(spark, tmp, "incoming").count() == 7 and messages(spark, tmp, "none").count() == 0
+    st = topic_positions(spark, tmp).collect()
+    assert [(r["topic"], r["published"], r["consumed"]) for r in st] == [("incoming", 7, 7)]
 
 
 def test_quarantine_malformed(spark, tmp):
-    topic = FileTopic(spark, tmp, partitions=1)
     raw = spark.createDataFrame([('{"name": "a", "extra": 1}',), ("{not json",), ('{"job": "x"}',)], "v string")
-    topic.produce(raw, "incoming", value=F.col("v"))
-    rows, bad = decode_messages(topic.consume("g", "incoming"), MSG, keep=["offset"])
+    publish(raw, tmp, "incoming", value=F.col("v"))
+    rows, bad = decode_messages(consume(spark, tmp, "g", "incoming"), MSG, keep=["topic"])
     assert rows.count() == 2 and [r["raw"] for r in bad.collect()] == ["{not json"]
-    assert topic.consume("g").count() == 3  # the all-topics subscription is a separate position
+    assert consume(spark, tmp, "g").count() == 3  # the all-topics subscription is a separate position
+
+
+def test_nothing_published(spark, tmp):
+    assert consume(spark, tmp, "g").count() == 0 and messages(spark, tmp).count() == 0 and topic_positions(spark, tmp).count() == 0
 
 
 def test_cdc_landing_idempotent(spark, tmp, local_tmp):
@@ -54,13 +52,12 @@ def test_cdc_landing_idempotent(spark, tmp, local_tmp):
     batch([("insert", 1, t, 1, "a", t), ("update", 2, t, 1, "b", t), ("insert", 3, t, 2, "c", t)])
     batch([("delete", 4, t, 2, None, None), ("insert", 5, t, 3, "d", t)])
     out = f"{tmp}/out"
-    from sparkweave.sinks.tables import VersionedTable
-    users = VersionedTable(spark, f"{tmp}/users")
+    users = f"{tmp}/users"
     land_changes(spark, changes, row, out, table=users, max_files_per_trigger=1)
-    versions = users.versions()
+    written = loads(spark, users)
     land_changes(spark, changes, row, out, table=users, max_files_per_trigger=1)   # rerun: nothing new
-    assert sorted(r["id"] for r in users.read().collect()) == [1, 2, 3]
-    assert users.versions() == versions and len(versions) <= 3     # only batches holding inserts commit
+    assert sorted(r["id"] for r in read_loads(spark, users).collect()) == [1, 2, 3]
+    assert loads(spark, users) == written and len(written) <= 3     # only batches holding inserts are loads
     pq = read_landed(spark, out, row, "parquet")
     js = read_landed(spark, out, row, "json")
     assert sorted(pq.collect()) == sorted(js.collect())
@@ -74,12 +71,11 @@ def test_cdc_landing_idempotent(spark, tmp, local_tmp):
 
 
 def test_monitor_processing_time(spark, tmp):
-    from sparkweave.sinks.tables import VersionedTable
     from sparkweave.streaming.monitor import accumulate
     schema = "timestamp long, logicalsize long, maxoffset long, minoffsetacrossconsumers long"
     inbox = f"{tmp}/in"
     spark.createDataFrame([(1, 100, 4, 2)], schema).write.mode("append").parquet(inbox)
-    series = VersionedTable(spark, f"{tmp}/series")
+    series = f"{tmp}/series"
     q = accumulate(spark.readStream.schema(schema).parquet(inbox), series, f"{tmp}/ckpt", processing_time="1 second")
     try:
         q.processAllAvailable()
@@ -87,17 +83,16 @@ def test_monitor_processing_time(spark, tmp):
         q.processAllAvailable()
     finally:
         q.stop()
-    assert sorted(r["maxoffset"] for r in series.read().collect()) == [4, 9]
+    assert sorted(r["maxoffset"] for r in read_loads(spark, series).collect()) == [4, 9]
 
 
 def test_cdc_batch_replay_is_idempotent(spark, tmp):
-    from sparkweave.sinks.tables import VersionedTable
     from sparkweave.streaming.cdc import land_batch
     b = spark.createDataFrame([("insert", 1, 7, "a"), ("update", 2, 7, "b"), ("insert", 3, 8, "c")],
                               "op string, seq bigint, id bigint, name string")
-    t = VersionedTable(spark, f"{tmp}/t")
+    t = f"{tmp}/t"
     for _ in range(2):                      # the same micro-batch delivered twice (retry after a failure)
         land_batch(b, 5, f"{tmp}/out", ["id", "name"], t)
     assert spark.read.parquet(f"{tmp}/out/parquet").count() == 2
     assert spark.read.json(f"{tmp}/out/json").count() == 2
-    assert t.read().count() == 2 and len(t.versions()) == 1
+    assert read_loads(spark, t).count() == 2 and loads(spark, t) == [5]

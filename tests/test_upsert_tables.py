@@ -4,7 +4,6 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sparkweave.operators.upsert import append_merge, latest_per_key, upsert
-from sparkweave.sinks.tables import ConcurrentCommitError, VersionedTable
 
 rows_st = st.lists(st.tuples(st.integers(0, 20), st.integers(0, 5)), max_size=25)
 
@@ -54,69 +53,3 @@ def test_append_merge(spark):
     b = spark.createDataFrame([(2, 5)], "id int, b int")
     out = append_merge(a, b)
     assert out.columns == ["id", "a", "b"] and _set(out) == [(1, "x", None), (2, None, 5)]
-
-
-def test_versioned_table_lifecycle(spark, tmp):
-    t = VersionedTable(spark, tmp)
-    empty = t.read(schema=_df(spark, [(1, 1)]).schema)
-    assert empty.count() == 0 and t.latest() is None
-    v0 = t.overwrite(_df(spark, [(1, 10), (2, 20)]))
-    v1 = t.append(_df(spark, [(3, 30)]), batch_id="b1")
-    v1b = t.append(_df(spark, [(3, 30)]), batch_id="b1")      # replayed batch: nothing added
-    assert (v0, v1, v1b) == (0, 1, 1) and t.read().count() == 3
-    t.upsert(spark.createDataFrame([(2, 21, 0), (2, 22, 1), (4, 40, 0)], "_id int, v int, seq int"), "_id", order="seq")
-    cur = {r["_id"]: r["v"] for r in t.read().collect()}
-    assert cur == {1: 10, 2: 22, 3: 30, 4: 40}
-    assert t.read(version=0).count() == 2                      # time travel
-    assert all(p["bucket"] is not None for p in t.manifest()["parts"]) and len(t.manifest(1)["parts"]) == 2
-    with pytest.raises(ValueError):
-        t.append(spark.createDataFrame([("x", 1)], "_id string, v int"))   # type conflict
-
-
-def test_versioned_csv_accumulate(spark, tmp):
-    t = VersionedTable(spark, tmp, fmt="csv")
-    t.overwrite(spark.createDataFrame([(1, "a\nb", 1.5)], "id int, addr string, x double"))
-    t.overwrite(t.read().unionByName(spark.createDataFrame([(2, 'q"uote', None)], "id int, addr string, x double")))
-    assert _set(t.read()) == [(1, "a\nb", 1.5), (2, 'q"uote', None)]
-    t.append(spark.createDataFrame([(3, "z")], "id int, extra string"))
-    assert t.read().columns == ["id", "addr", "x", "extra"] and t.read().count() == 3
-
-
-def test_commit_conflict(spark, tmp):
-    t = VersionedTable(spark, tmp)
-    t.overwrite(_df(spark, [(1, 1)]))
-    orig = t.manifest
-    t.manifest = lambda version=None: orig(0)   # simulate a stale view of the log
-    with pytest.raises(ConcurrentCommitError):
-        t._commit(_df(spark, [(2, 2)]), "append", True, None)
-        t._commit(_df(spark, [(3, 3)]), "append", True, None)
-
-
-def test_upsert_rewrites_only_touched_buckets(spark, tmp):
-    t = VersionedTable(spark, tmp, buckets=16)
-    base = spark.range(0, 2000).select(F.col("id").alias("_id"), (F.col("id") * 10).alias("v"))
-    t.upsert(base, "_id")
-    before = {p["bucket"]: p["dir"] for p in t.manifest()["parts"]}
-    assert len(before) == 16
-    t.upsert(spark.createDataFrame([(7, -1), (5000, 1)], "_id long, v long"), "_id")
-    after = t.manifest()["parts"]
-    changed = {p["bucket"] for p in after if before.get(p["bucket"]) != p["dir"]}
-    assert 1 <= len(changed) <= 2                                   # only the buckets of keys 7 and 5000
-    cur = {r["_id"]: r["v"] for r in t.read().collect()}
-    assert len(cur) == 2001 and cur[7] == -1 and cur[5000] == 1 and cur[8] == 80
-    t.append(spark.createDataFrame([(9000, 9)], "_id long, v long"))   # unbucketed part
-    t.upsert(spark.createDataFrame([(9000, 10)], "_id long, v long"), "_id")
-    cur = {r["_id"]: r["v"] for r in t.read().collect()}
-    assert len(cur) == 2002 and cur[9000] == 10
-    assert all(p["bucket"] is not None for p in t.manifest()["parts"])
-
-
-@pytest.mark.parametrize("fmt", ["json", "csv"])
-def test_text_format_tables_keep_microseconds(spark, tmp, fmt):
-    import datetime as dt
-    t = VersionedTable(spark, tmp, fmt=fmt, buckets=4)
-    ts = dt.datetime(2024, 1, 1, 1, 2, 3, 456789)
-    t.upsert(spark.createDataFrame([(1, ts), (2, ts)], "_id int, at timestamp_ntz"), "_id")
-    t.upsert(spark.createDataFrame([(2, ts + dt.timedelta(microseconds=1))], "_id int, at timestamp_ntz"), "_id")
-    got = {r["_id"]: r["at"] for r in t.read().collect()}
-    assert got == {1: ts, 2: ts + dt.timedelta(microseconds=1)}
