@@ -700,4 +700,4 @@ def q_tenant_scope(spark, d):
 
 
 # Queries with state, nested data, access rules and indexes register themselves.
-from sparkweave.plans import catalog_access, catalog_nested, catalog_state  # noqa: E402, F401
+from sparkweave.plans import catalog_access, catalog_columns, catalog_nested, catalog_state  # noqa: E402, F401

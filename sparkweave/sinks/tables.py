@@ -104,6 +104,7 @@ def merge_into_table(df: DataFrame, name: str, key: str | list[str], new_locatio
                .join(staged, same, "left_anti").collect())  # of partitions, never of rows
     # insertInto heeds the session's setting only, so the overwrite has a session of its own (the catalog is shared).
     own = spark.newSession()
+    own.catalog.setCurrentDatabase(spark.catalog.currentDatabase())
     own.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     own.read.schema(current.schema).parquet(new_location).write.mode("overwrite").insertInto(name)
     for r in emptied:

@@ -109,6 +109,15 @@ def decode_messages(rows: DataFrame, schema: T.StructType, keep: list[str] | Non
 
 # ---- Kafka (only when the connector is on the classpath) ---------------------
 
+def kafka_available(spark: SparkSession) -> bool:
+    """Whether a stream of the connector's format can be described."""
+    try:
+        spark.readStream.format("kafka").option("kafka.bootstrap.servers", "-").option("subscribe", "-").load()
+        return True
+    except Exception:  # noqa: BLE001 (whatever the missing connector raises)
+        return False
+
+
 def kafka_produce(df: DataFrame, servers: str, topic: str, key: Column | None = None) -> None:
     (message(df, topic, key).select("key", "value").write.format("kafka")
      .option("kafka.bootstrap.servers", servers).option("topic", topic).save())
