@@ -35,7 +35,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import arrow_schema, discard, map_slices, materialise, texts, word_hash, words
+from sparkweave.llm.common import arrow_schema, discard, map_slices, materialise, release_shuffles, texts, word_hash, words
 
 KINDS = 8  # start; after a sentence mark; another mark; a digit; a word of up to 2, 4, 7, more bytes
 PARENT = np.array([0, 0, 0, 0, 1, 1, 1, 1])  # of each kind's restaurant
@@ -375,6 +375,7 @@ def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame
         model.totals.append(_total(words, model, sweep))
         discard(*before)  # a sweep's tables go when the next one's are there
         before = (state, here, words)
+        release_shuffles(pairs.sparkSession)
     discount = F.element_at(F.array(*[F.lit(float(x)) for x in d]), (_kind() + 1).cast("int"))
     kept = SWEEPS - BURN_IN
     left = (pairs.filter("c = 1").select("u", "h", (1 - discount).alias("left"))

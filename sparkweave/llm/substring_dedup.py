@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkweave.llm.common import SLICE_ROWS, map_slices, materialise, texts
+from sparkweave.llm.common import SLICE_ROWS, discard, map_slices, materialise, release_shuffles, texts
 from sparkweave.session import fresh_path
 
 WINDOW = 35
@@ -201,11 +201,16 @@ def remove_repeated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     windows are those of the input.  A null or empty text has no words, a text
     shorter than a window keeps all; repeated rows and null ids are texts of
     their own; extra columns are ignored; an empty table gives no rows."""
+    spark = docs.sparkSession
     rows = _bucketed(texts(docs).withColumn("row", F.monotonically_increasing_id()), "row")
+    release_shuffles(spark)  # each pass is written: what it moved can go before the next one moves as much
     anchors = map_slices(rows.select("row", "text"), _anchors(window), KEYED)
     places = materialise(_places(anchors), "anchors")
+    release_shuffles(spark)
     extended = map_slices(rows.select("row", "text").join(places.hint("shuffle_hash"), "row"), _windows(window), KEYED)
     starts = materialise(_places(extended), "windows")
+    discard(places)
+    release_shuffles(spark)
 
     def kept(batches):
         for b in batches:
