@@ -59,14 +59,6 @@ def discard(*tables: DataFrame | None) -> None:
             fs.delete(t.sparkSession, t.written_at)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark remove the shuffles of what is written already: its cleaner finds
-    them when the driver's JVM collects what refers to them, which else may be
-    half an hour later."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 @contextlib.contextmanager
 def scratch(spark: SparkSession, kept: list[DataFrame]) -> Iterator[None]:
     """Removes at its end, unless that is an error, all that ``materialise`` wrote
