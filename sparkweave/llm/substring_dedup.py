@@ -80,14 +80,15 @@ class Hashed:
 def _known(key: np.ndarray, more: np.ndarray, row: np.ndarray, pos: np.ndarray) -> dict:
     """Places of a task under ``k0`` and a ``tail``: 32 more bits of the key, whether
     the place is known to repeat, and its position.  Of places with a key that
-    occurs twice the first stays under it and the others get keys of their own;
-    all of them are known."""
+    occurs twice the first stays under it and the others, which need not meet
+    anything any more, get small numbers as keys, which spread them and take
+    little room; all of them are known."""
     order = np.lexsort((more, key))
     key, more, row, pos = key[order], more[order], row[order], pos[order]
     same = (key[1:] == key[:-1]) & (more[1:] == more[:-1])
     later, repeated = np.append(False, same), np.append(same, False)
     repeated |= later
-    key[later] = mixed(row[later].astype("u8") * _BASE + pos[later].astype("u8")).view("i8")
+    key[later], more[later] = -1 - np.arange(later.sum()), 0
     return {"k0": key, "row": row, "tail": (more.astype("i8") << 32) | (repeated.astype("i8") << 31) | pos}
 
 
