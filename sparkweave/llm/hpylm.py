@@ -442,12 +442,15 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
                 at_u, has_u = _found(at_often, u)
                 at_h, has_h = _found(at_heavy, h)
                 more = len(h)
-                one, above, p_above, p_base = (np.full(more, np.nan) for _ in range(4))
+                one, above, p_above = (np.full(more, np.nan) for _ in range(3))
                 one[has_u], above[has_u] = weights[at_u[has_u]].T
-                p_above[has_h], p_base[has_h] = chance[at_h[has_h], u[has_h] & 7], base[at_h[has_h]]
+                p_above[has_h] = chance[at_h[has_h], u[has_h] & 7]
+                both = has_u & has_h  # one number where both are here; the others are constant and take no room
+                above[both], p_above[both] = above[both] * p_above[both], 1.0
+                known, p_base = int(freq[has_h].sum()), float((freq[has_h] * base[at_h[has_h]]).sum())
                 spot = word_hash(b"\0%d" % row) - (1 << 63)  # the document's own row: any key that spreads
-                for c, own, rest in (("u", 0, u), ("h", spot, h), ("freq", 0, freq), ("tokens", n, np.zeros(more, "i8")), ("row", row, np.full(more, row)), ("twin", twin, np.full(more, twin)),
-                                     ("one", 1.0, one), ("above", 1.0, above), ("chance", 1.0, p_above), ("base", 0.0, p_base)):
+                for c, own, rest in (("u", 0, u), ("h", spot, h), ("freq", 0, freq), ("tokens", n, np.zeros(more, "i8")), ("known", known, np.zeros(more, "i8")), ("row", row, np.full(more, row)), ("twin", twin, np.full(more, twin)),
+                                     ("one", 1.0, one), ("above", 1.0, above), ("chance", 1.0, p_above), ("base", p_base, np.zeros(more))):
                     out[c] += [np.asarray([own]), rest]
                 out["doc_id"] += [doc] + [None] * more
                 out["held_out"] += [held] + [None] * more
@@ -458,26 +461,34 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     numbered = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("twin", F.hash("text", "doc_id"))
     met = map_slices(numbered, spread, _SPREAD).join(left, ["u", "h"], "left").withColumn("left", F.coalesce("left", F.lit(0.0)))
     rare_u, rare_h = F.isnan("above"), F.isnan("chance")
+    rare = rare_u | rare_h
+    score = F.col("freq") * F.log10(F.col("left") * F.col("one") + F.col("above") * F.col("chance"))
+    # One pass over the texts: what has all its numbers is summed, the rest stays a row of its own to be looked up.
+    most, sums = ("doc_id", "held_out", "tokens", "left", "one", "above", "chance"), ("known", "base", "freq")
+    parts = materialise(
+        met.withColumns({"score": F.when(rare, 0.0).otherwise(score), "u": F.when(rare, F.col("u")), "h": F.when(rare, F.col("h"))})
+        .groupBy("row", "twin", "u", "h").agg(*[F.max(c).alias(c) for c in most], *[F.sum(c).alias(c) for c in (*sums, "score")],
+                                              F.count_if(F.col("tokens") > 0).alias("rows")), "document-parts")
     unseen = F.array(*[F.lit(float(x)) for x in model.unseen()])
     at = (_kind() + 1).cast("int")
-    looked = (met.filter(rare_u | rare_h)
+    looked = (parts.filter("u is not null")
               .withColumn("u_key", F.when(rare_u, F.col("u")).otherwise(F.xxhash64("row", "h")))
               .withColumn("h_key", F.when(rare_h, F.col("h")).otherwise(F.xxhash64("row", "u", "h")))
               .join(places.select(F.col("u").alias("u_key"), F.col("one").alias("one_u"), F.col("above").alias("above_u")), "u_key", "left")
               .join(known.select(F.col("h").alias("h_key"), F.col("base").alias("base_h"), F.array(*p).alias("chance_h")), "h_key", "left"))
-    is_known = ~rare_h | F.col("base_h").isNotNull()
+    # What is known and the base of frequent words are in the document's own row.
     looked = looked.select(
-        "row", "twin", "doc_id", "held_out", "tokens", "freq", "left", is_known.alias("known"),
+        "row", "twin", "doc_id", "held_out", "tokens", "rows", "freq", "left",
+        F.when(rare_h & F.col("base_h").isNotNull(), F.col("freq")).otherwise(F.col("known")).alias("known"),
+        F.when(rare_h, F.col("freq") * F.coalesce("base_h", F.lit(float(model.base(np.array(0)))))).otherwise(F.col("base")).alias("base"),
         F.when(rare_u, F.coalesce("one_u", F.lit(0.0))).otherwise(F.col("one")).alias("one"),
         F.when(rare_u, F.coalesce("above_u", F.lit(1.0))).otherwise(F.col("above")).alias("above"),
-        F.when(rare_h, F.coalesce(F.element_at("chance_h", at).cast("double"), F.element_at(unseen, at))).otherwise(F.col("chance")).alias("chance"),
-        F.when(rare_h, F.coalesce("base_h", F.lit(float(model.base(np.array(0)))))).otherwise(F.col("base")).alias("base"))
-    whole = met.filter(~rare_u & ~rare_h).withColumn("known", F.lit(True)).select(*looked.columns).union(looked)
+        F.when(rare_h, F.coalesce(F.element_at("chance_h", at).cast("double"), F.element_at(unseen, at))).otherwise(F.col("chance")).alias("chance"))
+    summed = ("row", "twin", "doc_id", "held_out", "tokens", "rows", "known", "base", "score")
+    whole = parts.filter("u is null").select(*summed).union(looked.withColumn("score", score).select(*summed))
     total = whole.groupBy("row", "twin").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"),
-        F.count_if(F.col("tokens") > 0).alias("rows"),
-        F.sum(F.when(F.col("known"), F.col("freq")).otherwise(0)).alias("n_known"), F.sum(F.col("freq") * F.col("base")).alias("base_score"),
-        F.sum(F.col("freq") * F.log10(F.col("left") * F.col("one") + F.col("above") * F.col("chance"))).alias("score"))
+        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum("rows").alias("rows"),
+        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
     each = lambda c: F.col(c) / F.col("rows")
     total = (total.withColumn("n_known", each("n_known").cast("long")).withColumn("base_score", each("base_score")).withColumn("score", each("score"))
              .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))))
@@ -486,5 +497,5 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-_SPREAD = ("row long, twin int, doc_id long, held_out boolean, u long, h long, freq long, tokens long, "
+_SPREAD = ("row long, twin int, doc_id long, held_out boolean, u long, h long, freq long, tokens long, known long, "
            "one double, above double, chance double, base double")

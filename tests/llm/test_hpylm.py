@@ -157,3 +157,10 @@ def test_rows_in_any_order_and_repeated(spark):
     shuffled = docs.withColumn("x", F.rand()).repartition(5, "x").drop("x")
     assert sorted(map(key, hpylm.scores(shuffled, fold("doc_id", 5) != 1).collect())) == still
     check(rows, hpylm.scores(docs, fold("doc_id", 5) != 1).collect())
+
+
+def test_texts_are_cut_once_for_the_scores(spark):
+    """The sums over frequent words and the look-ups of rare ones come from one pass over the texts."""
+    docs = spark.createDataFrame([(i, f"some text number {i}. The end") for i in range(20)], "doc_id long, text string")
+    plan = hpylm.scores(docs, fold("doc_id", 5) != 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan  # the pass is over, its sums and rows are written
