@@ -334,13 +334,29 @@ def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame
     (customers less the discounts of their tables)."""
     seen = {r.k: r for r in pairs.groupBy(_kind().alias("k")).agg(*[F.count(F.when(F.col("c") == m, 1)).alias(f"n{m}") for m in (1, 2)]).collect()}
     d = np.array([float(_discount(seen[k].n1, seen[k].n2)) if k in seen else 0.75 for k in range(KINDS)])
-    places = materialise(pairs.groupBy("u").agg(F.sum("c").alias("n"), F.count("*").alias("types")), "contexts")
-    words = materialise(_by_word(pairs, F.lit(1), F.sum("c").alias("n")), "words")
+    again = F.count_if(F.col("c") > 1).alias("again")
+    places = materialise(pairs.groupBy("u").agg(F.sum("c").alias("n"), F.count("*").alias("types"), again), "contexts")
+    words = materialise(_by_word(pairs, F.lit(1), F.sum("c").alias("n"), again), "words")
     model = _begun(words, F.col("n"))
-    more, before = pairs.filter("c > 1"), (places, words)
-    state = more.withColumns({"t": F.lit(1).cast("long"), "logs": F.lit(None).cast("double"), "sum": F.lit(0).cast("long")})
-    tables = places.select("u", F.col("types").alias("tables"))
-    total = tables.select("u", F.lit(0).cast("long").alias("sum"))
+    # Contexts and words whose pairs all occur once never get further tables: they stay as they are written, and
+    # words of one pair are counted once.
+    settled, lone = words.filter("again = 0"), sum(F.col(c) for c in _C) == 1
+    several, fixed = settled.filter(~lone), _total(settled.filter(lone), model, 0)
+    here = places.filter("again > 0").select("u", "n", "types", F.col("types").alias("tables"), F.lit(0).cast("long").alias("sum"))
+    live = words.filter("again > 0")
+    often, heavy = _frequent(here), _frequent(live)
+    keys = _sent(pairs, [here.filter(often).select("u"), live.filter(heavy).select("h")])
+
+    def sided(batches):
+        for b in batches:
+            u, h = b["u"].to_numpy(), b["h"].to_numpy()
+            (us,), (hs,) = keys.value
+            yield {"u": u, "h": h, "c": b["c"], "near": _found(us, u)[1] & _found(hs, h)[1], "t": np.ones(len(u), "i8"),
+                   "logs": np.zeros(len(u)), "sum": np.zeros(len(u), "i8")}
+
+    state = materialise(map_slices(pairs.filter("c > 1"), sided, _STATE, WORDS), "pairs-0")
+    keys.destroy()
+    before = (state,)
     for sweep in range(1, SWEEPS + 1):
 
         def chances(batches, done=sweep - 1, model=model):
@@ -349,48 +365,79 @@ def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame
                 chance = model.replayed(h, _history(b, done)).predict(model.totals[done])[2]
                 yield {"h": h} | {f"p{k}": chance[:, k] for k in range(KINDS)}
 
-        def seated(batches, sweep=sweep):
+        chance = lambda some: map_slices(some, chances, "h long, " + ", ".join(f"p{k} double" for k in range(KINDS)), WORDS)
+        shared = _sent(pairs, [here.filter(often).select("u", "tables"), chance(live.filter(heavy))])
+
+        def seated(batches, sweep=sweep, shared=shared):
+            (us, ns), (hs, *ps) = shared.value
+            ps = np.stack(ps, axis=1)
             for b in batches:
                 u, h, c, old, p, n = (b[x].to_numpy() for x in ("u", "h", "c", "t", "p", "tables"))
+                at_u, has_u = _found(us, u)
+                at_h, has_h = _found(hs, h)
+                n, p = n.copy(), p.copy()  # of those that were joined, else not a number
+                n[has_u], p[has_h] = ns[at_u[has_u]], ps[at_h[has_h], u[has_h] & 7]
                 discount, key = d[u & 7], mixed(u, h)
                 t, logs = seat(c, (STRENGTH + discount * n) * np.maximum(p, 1e-300), discount, key, sweep * 31 + 25)
                 if sweep > 1:
                     before = b["logs"].to_numpy()
                     take = np.log(_uniform(key, (sweep * 31 + 25) * 7 + 3)) < logs - before
                     t, logs = np.where(take, t, old), np.where(take, logs, before)
-                yield {"u": u, "h": h, "c": c, "t": t, "logs": logs, "sum": b["sum"].to_numpy() + (t if sweep > BURN_IN else 0)}
-
-        chance = map_slices(words, chances, "h long, " + ", ".join(f"p{k} double" for k in range(KINDS)), WORDS)
-        given = state.join(tables, "u").join(chance, "h").select(
-            "u", "h", "c", "t", "logs", "sum", "tables", F.element_at(F.array(*[f"p{k}" for k in range(KINDS)]), (_kind() + 1).cast("int")).alias("p"))
-        state = materialise(map_slices(given, seated, "u long, h long, c long, t long, logs double, sum long", WORDS), f"pairs-{sweep}")
+                yield {"u": u, "h": h, "c": c, "near": b["near"], "t": t, "logs": logs, "sum": b["sum"].to_numpy() + (t if sweep > BURN_IN else 0)}
+
+        # Pairs of a frequent context and word find both in the task; only the others are joined.
+        unknown, own = F.lit(float("nan")), [f.name for f in arrow_schema(_STATE)]
+        near = state.filter("near").select(*own, unknown.alias("tables"), unknown.alias("p"))
+        far = (state.filter("not near").join(here.filter(~often).select("u", F.col("tables").cast("double")), "u", "left")
+               .join(chance(live.filter(~heavy)), "h", "left")
+               .select(*own, F.coalesce("tables", unknown).alias("tables"),
+                       F.coalesce(F.element_at(F.array(*[f"p{k}" for k in range(KINDS)]), (_kind() + 1).cast("int")), unknown).alias("p")))
+        state = materialise(map_slices(near.union(far), seated, _STATE, WORDS), f"pairs-{sweep}")
+        shared.destroy()
         further = state.filter("t > 1").withColumn("more", F.col("t") - 1)
-        here = places.join(total, "u").join(further.groupBy("u").agg(F.sum("more").alias("more")), "u", "left").withColumn(
+        here = here.drop("tables").join(further.groupBy("u").agg(F.sum("more").alias("more")), "u", "left").withColumn(
             "tables", F.col("types") + F.coalesce("more", F.lit(0)))
         here = materialise(here.select("u", "n", "types", "tables", (F.col("sum") + (F.col("tables") if sweep > BURN_IN else 0)).alias("sum")), f"contexts-{sweep}")
-        places, tables, total = here.select("u", "n", "types"), here.select("u", "tables"), here.select("u", "sum")
         added = _by_word(further, F.col("more")).select("h", *[F.col(c).alias(f"more_{c}") for c in _C])
-        words = materialise(words.join(added, "h", "left").select(
-            *words.columns, *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(f"{c}_{sweep}") for c in _C]), f"words-{sweep}")
-        model.totals.append(_total(words, model, sweep))
+        live = materialise(live.join(added, "h", "left").select(
+            *live.columns, *[(F.col(c) + F.coalesce(f"more_{c}", F.lit(0))).alias(f"{c}_{sweep}") for c in _C]), f"words-{sweep}")
+        totals = [fixed, _total(live, model, sweep), _total(several, model, sweep)]
+        model.totals.append({k: sum(t[k] for t in totals) for k, _ in _TOTALS})
         discard(*before)  # a sweep's tables go when the next one's are there
-        before = (state, here, words)
+        before = (state, here, live)
     discount = F.element_at(F.array(*[F.lit(float(x)) for x in d]), (_kind() + 1).cast("int"))
     kept = SWEEPS - BURN_IN
     left = (pairs.filter("c = 1").select("u", "h", (1 - discount).alias("left"))
             .union(state.select("u", "h", (F.col("c") - discount * F.col("sum") / kept).alias("left"))))
-    return model, d, here.select("u", "n", (F.col("sum") / kept).alias("tables")), words, left
+    contexts_ = here.select("u", "n", (F.col("sum") / kept).alias("tables")).union(
+        places.filter("again = 0").select("u", "n", F.col("types").cast("double")))
+    return model, d, contexts_, live.union(settled.select(*words.columns, *[F.col(c) for _ in range(SWEEPS) for c in _C])), left
 
 
-def _most_frequent(table: DataFrame, key: str) -> list:
-    """At most ``HEAVY`` rows of the largest ``n``, by ``key``."""
+#: Of a pair that occurs more than once; ``near``: both its context and its word are frequent.
+_STATE = "u long, h long, c long, near boolean, t long, logs double, sum long"
+
+
+def _sent(df: DataFrame, tables: list[DataFrame]):
+    """Broadcast of the columns of (bounded) tables, each in the order of its first."""
+    columns = [[c.to_numpy() for c in t.toArrow().columns] for t in tables]
+    return df.sparkSession.sparkContext.broadcast([[c[np.argsort(first)] for c in (first, *rest)] for first, *rest in columns])
+
+
+def _frequent(table: DataFrame) -> Column:
+    """Whether a row is one of the at most ``HEAVY`` of the largest ``n``."""
     step, room, least = F.floor(F.log2("n") * 4), HEAVY, None
     for r in table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect():
         room -= r["count"]
         if room < 0:
             break
         least = r.step
-    return table.filter(step >= least).orderBy(key).collect() if least is not None else []
+    return step >= least if least is not None else F.lit(False)
+
+
+def _most_frequent(table: DataFrame, key: str) -> list:
+    """At most ``HEAVY`` rows of the largest ``n``, by ``key``."""
+    return table.filter(_frequent(table)).orderBy(key).collect()
 
 
 def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
