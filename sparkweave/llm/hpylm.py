@@ -32,10 +32,12 @@ from __future__ import annotations
 from itertools import chain
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkweave.llm.common import arrow_schema, discard, map_slices, materialise, texts, word_hash, words
+from sparkweave.llm.packed import grouped, indexed, pack, steps, summed, unpack
 
 KINDS = 8  # start; after a sentence mark; another mark; a digit; a word of up to 2, 4, 7, more bytes
 PARENT = np.array([0, 0, 0, 0, 1, 1, 1, 1])  # of each kind's restaurant
@@ -435,11 +437,6 @@ def _frequent(table: DataFrame) -> Column:
     return step >= least if least is not None else F.lit(False)
 
 
-def _most_frequent(table: DataFrame, key: str) -> list:
-    """At most ``HEAVY`` rows of the largest ``n``, by ``key``."""
-    return table.filter(_frequent(table)).orderBy(key).collect()
-
-
 def _found(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(place among the sorted ``known``, whether it is there) of each key."""
     place = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
@@ -471,78 +468,228 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
     # Of a context: what a customer counts, and the weight of its kind.
     places = places.select("u", "n", (1 / (STRENGTH + F.col("n"))).alias("one"),
                            ((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("n"))).alias("above"))
-    often, heavy = _most_frequent(places, "u"), _most_frequent(known, "h")
-    shared = docs.sparkSession.sparkContext.broadcast((
-        np.array([r.u for r in often], "i8"), np.array([(r.one, r.above) for r in often]).reshape(-1, 2),
-        np.array([r.h for r in heavy], "i8"), np.array([r.base for r in heavy]), np.array([[r[x] for x in p] for r in heavy], "f4").reshape(-1, KINDS)))
-    names = [f.name for f in arrow_schema(_SPREAD)]
-
-    def spread(batches):
-        at_often, weights, at_heavy, base, chance = shared.value
-        for b in batches:
-            out = {c: [] for c in names}
-            for row, twin, doc, held, x in zip(*[b[c].to_pylist() for c in ("row", "twin", "doc_id", "held_out", "text")]):
-                h, kinds = tokens(x)
-                u = contexts(h, kinds)
-                _, first, freq = np.unique(mixed(u, h), return_index=True, return_counts=True)
-                n, u, h = len(h), u[first], h[first]
-                at_u, has_u = _found(at_often, u)
-                at_h, has_h = _found(at_heavy, h)
-                more = len(h)
-                one, above, p_above = (np.full(more, np.nan) for _ in range(3))
-                one[has_u], above[has_u] = weights[at_u[has_u]].T
-                p_above[has_h] = chance[at_h[has_h], u[has_h] & 7]
-                both = has_u & has_h  # one number where both are here; the others are constant and take no room
-                above[both], p_above[both] = above[both] * p_above[both], 1.0
-                known, p_base = int(freq[has_h].sum()), float((freq[has_h] * base[at_h[has_h]]).sum())
-                spot = word_hash(b"\0%d" % row) - (1 << 63)  # the document's own row: any key that spreads
-                for c, own, rest in (("u", 0, u), ("h", spot, h), ("freq", 0, freq), ("tokens", n, np.zeros(more, "i8")), ("known", known, np.zeros(more, "i8")), ("row", row, np.full(more, row)), ("twin", twin, np.full(more, twin)),
-                                     ("one", 1.0, one), ("above", 1.0, above), ("chance", 1.0, p_above), ("base", p_base, np.zeros(more))):
-                    out[c] += [np.asarray([own]), rest]
-                out["doc_id"] += [doc] + [None] * more
-                out["held_out"] += [held] + [None] * more
-            yield {c: v if c in ("doc_id", "held_out") else np.concatenate(v) for c, v in out.items()} if out["row"] else out
-
-    # A row's key is made of what it holds (96 bits), so it is the same in every pass and after a lost task, in
-    # whatever order the rows come; equal rows share theirs, and their sums are divided by their number.
-    numbered = rows.withColumn("row", F.xxhash64("doc_id", "text")).withColumn("twin", F.hash("text", "doc_id"))
-    met = map_slices(numbered, spread, _SPREAD).join(left, ["u", "h"], "left").withColumn("left", F.coalesce("left", F.lit(0.0)))
-    rare_u, rare_h = F.isnan("above"), F.isnan("chance")
-    rare = rare_u | rare_h
-    score = F.col("freq") * F.log10(F.col("left") * F.col("one") + F.col("above") * F.col("chance"))
-    # One pass over the texts: what has all its numbers is summed, the rest stays a row of its own to be looked up.
-    most, sums = ("doc_id", "held_out", "tokens", "left", "one", "above", "chance"), ("known", "base", "freq")
-    parts = materialise(
-        met.withColumns({"score": F.when(rare, 0.0).otherwise(score), "u": F.when(rare, F.col("u")), "h": F.when(rare, F.col("h"))})
-        .groupBy("row", "twin", "u", "h").agg(*[F.max(c).alias(c) for c in most], *[F.sum(c).alias(c) for c in (*sums, "score")],
-                                              F.count_if(F.col("tokens") > 0).alias("rows")), "document-parts")
-    unseen = F.array(*[F.lit(float(x)) for x in model.unseen()])
-    at = (_kind() + 1).cast("int")
-    looked = (parts.filter("u is not null")
-              .withColumn("u_key", F.when(rare_u, F.col("u")).otherwise(F.xxhash64("row", "h")))
-              .withColumn("h_key", F.when(rare_h, F.col("h")).otherwise(F.xxhash64("row", "u", "h")))
-              .join(places.select(F.col("u").alias("u_key"), F.col("one").alias("one_u"), F.col("above").alias("above_u")), "u_key", "left")
-              .join(known.select(F.col("h").alias("h_key"), F.col("base").alias("base_h"), F.array(*p).alias("chance_h")), "h_key", "left"))
-    # What is known and the base of frequent words are in the document's own row.
-    looked = looked.select(
-        "row", "twin", "doc_id", "held_out", "tokens", "rows", "freq", "left",
-        F.when(rare_h & F.col("base_h").isNotNull(), F.col("freq")).otherwise(F.col("known")).alias("known"),
-        F.when(rare_h, F.col("freq") * F.coalesce("base_h", F.lit(float(model.base(np.array(0)))))).otherwise(F.col("base")).alias("base"),
-        F.when(rare_u, F.coalesce("one_u", F.lit(0.0))).otherwise(F.col("one")).alias("one"),
-        F.when(rare_u, F.coalesce("above_u", F.lit(1.0))).otherwise(F.col("above")).alias("above"),
-        F.when(rare_h, F.coalesce(F.element_at("chance_h", at).cast("double"), F.element_at(unseen, at))).otherwise(F.col("chance")).alias("chance"))
-    summed = ("row", "twin", "doc_id", "held_out", "tokens", "rows", "known", "base", "score")
-    whole = parts.filter("u is null").select(*summed).union(looked.withColumn("score", score).select(*summed))
-    total = whole.groupBy("row", "twin").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("tokens").alias("n_tokens"), F.sum("rows").alias("rows"),
-        F.sum("known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("score").alias("score"))
-    each = lambda c: F.col(c) / F.col("rows")
-    total = (total.withColumn("n_known", each("n_known").cast("long")).withColumn("base_score", each("base_score")).withColumn("score", each("score"))
-             .withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("rows").cast("int")))))
+    often, heavy = _frequent(places), _frequent(known)
+    shared = _sent(docs, [places.filter(often).select("u", "one", "above"), known.filter(heavy).select("h", "base", *p)])
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Pairs of the texts meet the seating where their pairs are dealt to (by context, and those of frequent contexts one
+    # by one); what lacks the chance of a rare word goes on to where its word is; sums come back to their texts.
+    seating = map_slices(left, _seating_moved(shared, n), _MOVED, MOVED).union(
+        map_slices(places.filter(~often), _contexts_moved(n), _MOVED, MOVED))
+    cut = map_slices(rows.select("doc_id", "held_out", "text"), _texts_moved(shared, n), _MOVED)
+    met = map_slices(cut.union(seating).repartitionById(n, "at"), _texts_met(shared, n), _MOVED)
+    rare = map_slices(known.filter(~heavy), _words_moved(n), _MOVED, MOVED)
+    found = map_slices(met.union(rare).repartitionById(n, "at"), _rare_words_met(model, n), _MOVED)
+    total = materialise(map_slices(found.repartitionById(n, "at"), _texts_summed, _SCORED), "document-scores")
     return total.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n_tokens).cast("long").alias("train_tokens"), "base_score", "score",
         F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
-_SPREAD = ("row long, twin int, doc_id long, held_out boolean, u long, h long, freq long, tokens long, known long, "
-           "one double, above double, chance double, base double")
+#: Rows that a task packs at a time, and tokens of texts.
+MOVED, SLAB = 1_000_000, 1_500_000
+_MOVED = "at int, kind int, slab long, data binary"
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+#: Kinds of moved rows.  A slab is what a task cut at a time; its texts go by their place in it.
+_PAIRS, _CONTEXTS, _TEXT_PAIRS, _WORDS, _RARE, _TEXTS, _SUMS = range(7)
+
+
+def _dealt(x: np.ndarray, n: int) -> np.ndarray:
+    return (mixed(x, np.full_like(x, 1)).view("u8") % np.uint64(n)).astype("i8")
+
+
+def _dealt_pairs(m: np.ndarray, u: np.ndarray, frequent: np.ndarray, n: int) -> np.ndarray:
+    return np.where(frequent, (m.view("u8") % np.uint64(n)).astype("i8"), _dealt(u, n))
+
+
+def _moved(rows: list[tuple[int, int, int, bytes]]) -> dict:
+    return dict(zip(("at", "kind", "slab", "data"), zip(*rows) if rows else ([],) * 4))
+
+
+def _received(batches) -> dict[int, list]:
+    """(slab, data) of the moved rows that a task gets, by kind."""
+    out = {k: [] for k in range(7)}
+    for b in batches:
+        for kind, slab, data in zip(*[b[c].to_pylist() for c in ("kind", "slab", "data")]):
+            out[kind].append((slab, data))
+    return out
+
+
+def _together(parts: list[list[np.ndarray]], *kinds: str) -> list[np.ndarray]:
+    """Columns put together, in the order of the first one."""
+    columns = [np.concatenate([np.zeros(0, k), *x]) for k, x in zip(kinds, zip(*parts) if parts else [[]] * len(kinds))]
+    order = np.argsort(columns[0])
+    return [x[order] for x in columns]
+
+
+def _seating_moved(shared, n: int):
+    def run(batches):
+        often = shared.value[0][0]
+        for b in batches:
+            u, h, left = (b[x].to_numpy() for x in ("u", "h", "left"))
+            m = mixed(u, h)
+            at = _dealt_pairs(m, u, _found(often, u)[1], n)
+            order = np.lexsort((m.view("u8"), at))
+            at, m, left = at[order], m[order], left[order]
+            yield _moved([(k, _PAIRS, 0, pack(steps(m[x]), *indexed(left[x]))) for k, x in grouped(at, n)])
+
+    return run
+
+
+def _contexts_moved(n: int):
+    def run(batches):
+        for b in batches:
+            u, one, above = (b[x].to_numpy() for x in ("u", "one", "above"))
+            at = _dealt(u, n)
+            order = np.lexsort((u.view("u8"), at))
+            at, u, one, above = at[order], u[order], one[order], above[order]
+            yield _moved([(k, _CONTEXTS, 0, pack(steps(u[x]), *indexed(one[x]), *indexed(above[x]))) for k, x in grouped(at, n)])
+
+    return run
+
+
+def _words_moved(n: int):
+    def run(batches):
+        for b in batches:
+            h, base = b["h"].to_numpy(), b["base"].to_numpy()
+            chance = np.stack([b[f"p{k}"].to_numpy() for k in range(KINDS)], axis=1)
+            at = _dealt(h, n)
+            order = np.lexsort((chance[:, 4], chance[:, 2], base, at))  # words of the same numbers side by side
+            at, h, base, chance = at[order], h[order], base[order], chance[order]
+            yield _moved([(k, _WORDS, 0, pack(h[x], base[x], *[c[x] for c in chance.T])) for k, x in grouped(at, n)])
+
+    return run
+
+
+def _texts_moved(shared, n: int):
+    """Distinct pairs of the texts of a slab, with the texts they are in, and a row of the texts' own numbers."""
+
+    def slab(held, number):
+        often, (heavy, base, *_) = shared.value[0][0], shared.value[1]
+        docs, held_out, us, hs = zip(*held)
+        sizes = np.fromiter(map(len, us), "i8", len(us))
+        doc, u, h = np.repeat(np.arange(len(us)), sizes), np.concatenate(us), np.concatenate(hs)
+        at_h, has_h = _found(heavy, h)
+        known = np.bincount(doc, has_h, len(us)).astype("i8")
+        own = np.bincount(doc, base[at_h] * has_h if len(heavy) else None, len(us)) if len(heavy) else np.zeros(len(us))
+        yield number % n, _TEXTS, number, pack(np.array([x or 0 for x in docs], "i8"), np.array([x is None for x in docs]), np.array(held_out), sizes, known, own)
+        m, first, pair = np.unique(mixed(u, h), return_index=True, return_inverse=True)
+        u, h = u[first], h[first]
+        at_u, has_u = _found(often, u)
+        at = _dealt_pairs(m, u, has_u, n)
+        code = np.where(has_u, at_u, len(often))
+        order = np.lexsort((u.view("u8"), code, at))
+        rank = np.empty(len(order), "i8")
+        rank[order] = np.arange(len(order))
+        key, freq = np.unique(rank[pair] * len(us) + doc, return_counts=True)
+        texts_of, doc = np.bincount(key // len(us)), key % len(us)
+        ends = np.concatenate([[0], np.cumsum(texts_of)])
+        at_h, has_h = _found(heavy, h[order])
+        at, u, h, code, word = at[order], u[order], h[order], code[order], np.where(has_h, at_h, len(heavy))
+        for k, x in grouped(at, n):
+            y = slice(ends[x.start], ends[x.stop])
+            yield k, _TEXT_PAIRS, number, pack(np.array([len(us)]), steps(code[x]), steps(u[x][code[x] == len(often)]), word[x], h[x][word[x] == len(heavy)],
+                                               texts_of[x] - 1, doc[y], freq[y] - 1)
+
+    def run(batches):
+        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        for b in batches:
+            for doc, held_out, x in zip(*[b[c].to_pylist() for c in ("doc_id", "held_out", "text")]):
+                h, kinds = tokens(x)
+                held.append((doc, held_out, contexts(h, kinds), h))
+                size += len(h)
+                if size >= SLAB:
+                    yield _moved(list(slab(held, number)))
+                    number, held, size = number + 1, [], 0
+        if held:
+            yield _moved(list(slab(held, number)))
+
+    return run
+
+
+def _texts_met(shared, n: int):
+    """Sums of the scores of a slab's pairs; what has a rare word goes on."""
+
+    def run(batches):
+        (often, one_of, above_of), (heavy, _, *ps) = shared.value
+        ps = np.stack(ps, axis=1)
+        got = _received(batches)
+        yield _moved([(slab % n, _TEXTS, slab, data) for slab, data in got[_TEXTS]])
+        seated, left_of = _together([(summed(m), values[place]) for m, values, place in (unpack(x) for _, x in got[_PAIRS])], "i8", "f8")
+        rare_u, rare_one, rare_above = _together(
+            [(summed(u), o[i], a[j]) for u, o, i, a, j in (unpack(x) for _, x in got[_CONTEXTS])], "i8", "f8", "f8")
+        further, slabs = [], []
+        for slab, data in got[_TEXT_PAIRS]:
+            (size,), code, rest_u, word, rest_h, texts_of, doc, freq = unpack(data)
+            code, texts_of, freq = summed(code), texts_of + 1, freq + 1
+            has_u, has_h = code < len(often), word < len(heavy)
+            u, h, one, above = (np.empty(len(code), k) for k in ("i8", "i8", "f8", "f8"))
+            u[has_u], one[has_u], above[has_u] = (x[code[has_u]] for x in (often, one_of, above_of))
+            u[~has_u] = rest = summed(rest_u)
+            place, there = _found(rare_u, rest)
+            one[~has_u], above[~has_u] = (np.where(there, x[place], y) if len(x) else np.full(len(rest), y) for x, y in ((rare_one, 0.0), (rare_above, 1.0)))
+            h[has_h], h[~has_h] = heavy[word[has_h]], rest_h
+            place, there = _found(seated, mixed(u, h))
+            mine = np.where(there, left_of[place], 0.0) * one if len(seated) else np.zeros(len(u))
+            logs = np.zeros(len(u))
+            logs[has_h] = np.log10(mine[has_h] + above[has_h] * ps[word[has_h], u[has_h] & 7])
+            score = np.bincount(doc, freq * np.repeat(logs, texts_of), size)
+            yield _moved([(slab % n, _SUMS, slab, pack(score, np.zeros(size), np.zeros(size, "i8")))])
+            of = np.repeat(np.arange(len(u)), texts_of)
+            if len(x := np.flatnonzero(~has_h[of])):
+                of = of[x]
+                further.append((h[of], u[of] & 7, mine[of], above[of], np.full(len(of), len(slabs)), doc[x], freq[x]))
+                slabs.append((slab, size))
+        if further:
+            columns = [np.concatenate(x) for x in zip(*further)]
+            at = _dealt(columns[0], n)
+            order = np.lexsort((columns[0].view("u8"), at))
+            at, (h, *columns) = at[order], [x[order] for x in columns]
+            names, sizes = (np.array(x, "i8") for x in zip(*slabs))
+            for k, x in grouped(at, n):
+                _, kind, mine, above, of, doc, freq = h, *[c[x] for c in columns]
+                yield _moved([(k, _RARE, 0, pack(names, sizes, steps(h[x]), kind, *indexed(mine), *indexed(above), of, doc, freq))])
+
+    return run
+
+
+def _added(sums: dict, slab: int, *columns: np.ndarray) -> None:
+    sums[slab] = [a + b for a, b in zip(sums[slab], columns)] if slab in sums else list(columns)
+
+
+def _rare_words_met(model: Model, n: int):
+    """Sums of what has a rare word, by slab."""
+
+    def run(batches):
+        got, sums = _received(batches), {}
+        yield _moved([(slab % n, _TEXTS, slab, data) for slab, data in got[_TEXTS]])
+        for slab, data in got[_SUMS]:
+            _added(sums, slab, *unpack(data))
+        known, base_of, *ps = _together([unpack(x) for _, x in got[_WORDS]], "i8", "f8", *["f4"] * KINDS)
+        ps, unseen, lowest = np.stack(ps, axis=1), model.unseen(), float(model.base(np.array(0)))
+        for _, data in got[_RARE]:
+            names, sizes, h, kind, m, i, a, j, of, doc, freq = unpack(data)
+            place, there = _found(known, summed(h))
+            chance, base = unseen[kind], np.full(len(h), lowest)
+            chance[there], base[there] = ps[place[there], kind[there]], base_of[place[there]]
+            score = freq * np.log10(m[i] + a[j] * chance)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            at = ends[of] + doc
+            all_ = [np.bincount(at, x, ends[-1]) for x in (score, freq * base, freq * there)]
+            for k, slab in enumerate(names.tolist()):
+                s, b, c = (x[ends[k]:ends[k + 1]] for x in all_)
+                _added(sums, slab, s, b, c.astype("i8"))
+        for slab, columns in sums.items():
+            yield _moved([(slab % n, _SUMS, slab, pack(*columns))])
+
+    return run
+
+
+def _texts_summed(batches):
+    got, sums = _received(batches), {}
+    for slab, data in got[_SUMS]:
+        _added(sums, slab, *unpack(data))
+    for slab, data in got[_TEXTS]:
+        doc, null, held_out, size, known, base = unpack(data)
+        score, more_base, more_known = sums[slab]
+        yield {"doc_id": [None if x else d for d, x in zip(doc.tolist(), null.tolist())], "held_out": held_out, "n_tokens": size,
+               "n_known": known + more_known, "base_score": base + more_base, "score": score}
