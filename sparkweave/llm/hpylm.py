@@ -101,27 +101,51 @@ def pair_counts(docs: DataFrame) -> DataFrame:
     ``u``, in all texts.  Two words of a vocabulary of 10 million share a hash
     with a probability of about 3e-6, two contexts with 2e-5."""
 
-    def run(batches):
-        held, n = [], 0
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def counted(batches):
+        held, size = [], 0
 
         def emit() -> dict:
             u, h = (np.concatenate(x) for x in zip(*held))
             held.clear()
-            _, first, c = np.unique(mixed(u, h), return_index=True, return_counts=True)
-            return {"u": u[first], "h": h[first], "c": c}
+            m, first, c = np.unique(mixed(u, h), return_index=True, return_counts=True)
+            u, h = u[first], h[first]
+            # By word, but a frequent word goes to up to eight tasks.
+            at = (_dealt(h, n) + (m.view("u8") % np.uint64(8)).astype("i8")) % n
+            order = np.lexsort((u, h, at))
+            at, u, h, c = at[order], u[order], h[order], c[order]
+            rows = []
+            for k, x in grouped(at, n):
+                us, place = indexed(u[x])
+                rows.append((k, _COUNTS, 0, pack(steps(us), place, steps(h[x]), c[x] - 1)))
+            return _moved(rows)
 
         for b in batches:
             for x in b["text"].to_pylist():
                 h, kinds = tokens(x)
                 held.append((contexts(h, kinds), h))
-                n += len(h)
-            if n >= GATHERED:
-                yield emit()
-                n = 0
+                size += len(h)
+                if size >= GATHERED:
+                    yield emit()
+                    size = 0
         if held:
             yield emit()
 
-    return map_slices(texts(docs).select("text"), run, "u long, h long, c long").groupBy("u", "h").agg(F.sum("c").alias("c"))
+    def added(batches):
+        parts = [(summed(us)[place], summed(h), c + 1) for us, place, h, c in (unpack(x) for _, x in _received(batches)[_COUNTS])]
+        if parts:
+            u, h, c = (np.concatenate(x) for x in zip(*parts))
+            parts.clear()
+            order = np.lexsort((u, h))
+            u, h, c = u[order], h[order], c[order]
+            first = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (h[1:] != h[:-1])]))
+            u, h, c = u[first], h[first], np.add.reduceat(c, first)
+            for x in range(0, len(u), WORDS):
+                yield {k: v[x:x + WORDS] for k, v in (("u", u), ("h", h), ("c", c))}
+
+    moved = map_slices(texts(docs).select("text"), counted, _MOVED)
+    return map_slices(moved.repartitionById(n, "at"), added, "u long, h long, c long")
 
 
 def _by_word(pairs: DataFrame, customers: Column, *more: Column) -> DataFrame:
@@ -470,7 +494,8 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
                            ((STRENGTH + discount * F.col("tables")) / (STRENGTH + F.col("n"))).alias("above"))
     often, heavy = _frequent(places), _frequent(known)
     shared = _sent(docs, [places.filter(often).select("u", "one", "above"), known.filter(heavy).select("h", "base", *p)])
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Tasks of so many distinct pairs, or less.
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(model.totals[0]["c1"].sum()) // DEALT)
     # Pairs of the texts meet the seating where their pairs are dealt to (by context, and those of frequent contexts one
     # by one); what lacks the chance of a rare word goes on to where its word is; sums come back to their texts.
     seating = map_slices(left, _seating_moved(shared, n), _MOVED, MOVED).union(
@@ -487,10 +512,12 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
 
 #: Rows that a task packs at a time, and tokens of texts.
 MOVED, SLAB = 1_000_000, 1_500_000
+#: Distinct pairs that one task of the scoring holds.
+DEALT = 4_000_000
 _MOVED = "at int, kind int, slab long, data binary"
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 #: Kinds of moved rows.  A slab is what a task cut at a time; its texts go by their place in it.
-_PAIRS, _CONTEXTS, _TEXT_PAIRS, _WORDS, _RARE, _TEXTS, _SUMS = range(7)
+_COUNTS, _PAIRS, _CONTEXTS, _TEXT_PAIRS, _WORDS, _RARE, _TEXTS, _SUMS = range(8)
 
 
 def _dealt(x: np.ndarray, n: int) -> np.ndarray:
@@ -507,7 +534,7 @@ def _moved(rows: list[tuple[int, int, int, bytes]]) -> dict:
 
 def _received(batches) -> dict[int, list]:
     """(slab, data) of the moved rows that a task gets, by kind."""
-    out = {k: [] for k in range(7)}
+    out = {k: [] for k in range(8)}
     for b in batches:
         for kind, slab, data in zip(*[b[c].to_pylist() for c in ("kind", "slab", "data")]):
             out[kind].append((slab, data))
