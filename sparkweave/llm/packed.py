@@ -27,19 +27,19 @@ def _small(x: np.ndarray) -> np.ndarray:
 
 def pack(*columns: np.ndarray) -> bytes:
     planes = []
-    for x in map(_small, columns):
-        planes.append((x.dtype.str, x.shape, np.ascontiguousarray(np.ascontiguousarray(x).view("u1").reshape(-1, x.itemsize).T).tobytes()))
+    for x in columns:
+        y = np.ascontiguousarray(_small(x))
+        planes.append((x.dtype.str, y.dtype.str, np.ascontiguousarray(y.view("u1").reshape(-1, y.itemsize).T).tobytes()))
     raw = pickle.dumps(planes, 5)
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
-    """The columns of ``pack``; whole numbers come as 64-bit ones."""
+    """The columns of ``pack``, of the types they had."""
     out = []
-    for kind, shape, raw in pickle.loads(pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)):
-        size = np.dtype(kind).itemsize
-        x = np.ascontiguousarray(np.frombuffer(raw, "u1").reshape(size, -1).T).view(kind).reshape(shape)
-        out.append(x.astype("i8") if x.dtype.kind == "u" and size < 8 else x)
+    for kind, small, raw in pickle.loads(pa.decompress(memoryview(data)[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)):
+        planes = np.frombuffer(raw, "u1").reshape(np.dtype(small).itemsize, -1)
+        out.append(np.ascontiguousarray(planes.T).view(small).reshape(-1).astype(kind, copy=False))
     return out
 
 

@@ -164,3 +164,83 @@ def test_texts_are_cut_once_for_the_scores(spark):
     docs = spark.createDataFrame([(i, f"some text number {i}. The end") for i in range(20)], "doc_id long, text string")
     plan = hpylm.scores(docs, fold("doc_id", 5) != 1)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan  # the pass is over, its sums and rows are written
+
+
+def test_sweeps_write_only_what_can_change(spark, monkeypatch):
+    """Contexts and words whose pairs all occur once are written before the sweeps, not by each of them."""
+    written = {}
+
+    def kept(df, name, write=hpylm.materialise):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(hpylm, "materialise", kept)
+    monkeypatch.setattr(hpylm, "discard", lambda *tables: None)
+    docs = spark.createDataFrame([(i, f"again and again w{i} x{i}") for i in range(20)], "doc_id long, text string")
+    pairs = kept(hpylm.pair_counts(docs), "pairs")
+    rows = [(r.u, r.h, r.c) for r in pairs.collect()]
+    for at, name in ((0, "contexts-1"), (1, "words-1")):
+        assert {r[0] for r in written_rows(hpylm, written, pairs, name, "uh"[at])} == {r[at] for r in rows if r[2] > 1}
+        assert len({r[at] for r in rows}) > 20
+
+
+def written_rows(module, written, pairs, name, key):
+    if name not in written:
+        module.fit_pairs(pairs)
+    return written[name].select(key).collect()
+
+
+def test_scoring_moves_a_row_for_many_pairs(spark):
+    """What the texts of a task send is one row for each task that is sent to, not one for each pair."""
+    from sparkweave.llm.packed import unpack
+    docs = spark.createDataFrame([(i, f"some text {i % 7} of words w{i} x{i}") for i in range(500)], "doc_id long, text string").coalesce(1)
+    shared = hpylm._sent(docs, [spark.createDataFrame([], "u long, one double, above double"),
+                                spark.createDataFrame([], "h long, base double, " + ", ".join(f"p{k} float" for k in range(hpylm.KINDS)))])
+    from sparkweave.llm.common import map_slices
+    moved = map_slices(docs.withColumn("held_out", F.lit(False)), hpylm._texts_moved(shared, 4), hpylm._MOVED).collect()
+    assert len(moved) == 5  # the texts' own, and four tasks
+    got, want = Counter(), Counter()
+    for r in moved:
+        if r.kind == hpylm._TEXT_PAIRS:
+            _, _, u, _, h, texts_of, doc, freq = unpack(r.data)
+            u = np.cumsum(u, dtype="u8").view("i8")
+            for x, y, z, n in zip(np.repeat(u, texts_of + 1).tolist(), np.repeat(h, texts_of + 1).tolist(), doc.tolist(), (freq + 1).tolist()):
+                got[x, y, z] += n
+    for i, r in enumerate(docs.collect()):
+        h, kinds = hpylm.tokens(r.text)
+        want.update((x, y, i) for x, y in zip(hpylm.contexts(h, kinds).tolist(), h.tolist()))
+    assert got == want
+
+
+@pytest.mark.parametrize("limits", [(16, 40, 2, 300), (hpylm.HEAVY, 1, 100, 7)])
+def test_cuts_do_not_matter(spark, monkeypatch, limits):
+    """Neither what is broadcast nor where texts, rows and tasks are cut changes a score."""
+    rows = [(i if i % 9 else None, f"Some text {i % 7}. And more {i % 23}, \u00c9 w{i % 40}" if i % 11 else None) for i in range(150)] + [(1, "x " * 3000)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (-1 if r.doc_id is None else r.doc_id, r.n_tokens, round(r.score, 7), round(r.base_score, 7), r.n_known, r.held_out)
+    plain = sorted(map(key, hpylm.scores(docs, fold("doc_id", 5) != 1).collect()))
+    for name, x in zip(("HEAVY", "SLAB", "SLAB_TEXTS", "GATHERED"), limits):
+        monkeypatch.setattr(hpylm, name, x)
+    monkeypatch.setattr(hpylm, "DEALT", 20)
+    assert sorted(map(key, hpylm.scores(docs, fold("doc_id", 5) != 1).collect())) == plain
+
+
+def test_pairs_are_counted_in_one_task(spark, monkeypatch):
+    """A pair that many slabs of several partitions hold comes out once."""
+    monkeypatch.setattr(hpylm, "GATHERED", 7)
+    docs = spark.createDataFrame([(i, f"Some text {i % 7}. And more {i % 23}") for i in range(150)], "doc_id long, text string")
+    often = hpylm._often(docs, 4)
+    assert len(often) > 1 and (np.diff(often) > 0).all()
+    pairs = [(r.u, r.h) for r in hpylm.pair_counts(docs).collect()]
+    assert len(pairs) == len(set(pairs))
+
+
+def test_packed_columns():
+    from sparkweave.llm.packed import indexed, pack, steps, summed, unpack
+    x = np.sort(np.random.default_rng(0).integers(-1 << 63, (1 << 63) - 1, 500))
+    f = np.repeat([0.25, -1.5], 250)
+    columns = (steps(x), np.arange(500), np.arange(-5, 495), f, *indexed(f), np.zeros(0, "i8"), np.array([True, False]))
+    got = unpack(pack(*columns))
+    assert (summed(got[0]) == x).all() and all((a == b).all() and len(a) == len(b) for a, b in zip(got, columns))
+    assert [a.dtype for a in got] == [b.dtype for b in columns]
+    assert unpack(pack(np.array([(1 << 62) + 1])))[0].dtype == "i8"  # not unsigned: with signed ones it would become a float
