@@ -499,7 +499,9 @@ def fit_pairs(pairs: DataFrame) -> tuple[Model, np.ndarray, DataFrame, DataFrame
             .union(state.select("u", "h", (F.col("c") - discount * F.col("sum") / kept).alias("left"))))
     contexts_ = here.select("u", "n", (F.col("sum") / kept).alias("tables")).union(
         places.filter("again = 0").select("u", "n", F.col("types").cast("double")))
-    return model, d, contexts_, live.union(settled.select(*words.columns, *[F.col(c) for _ in range(SWEEPS) for c in _C])), left
+    all_words = live.union(settled.select(*words.columns, *[F.col(c) for _ in range(SWEEPS) for c in _C]))
+    all_words.made_of = (words, live)
+    return model, d, contexts_, all_words, left
 
 
 #: Of a pair that occurs more than once; ``near``: both its context and its word are frequent.
@@ -550,6 +552,7 @@ def scores(docs: DataFrame, training: Column) -> DataFrame:
             yield {"h": h, "n": n, "base": model.base(n)} | {x: chance[:, k] for k, x in enumerate(p)}
 
     known = materialise(map_slices(words, weigh, "h long, n long, base double, " + ", ".join(f"{x} float" for x in p), WORDS), "word-scores")
+    discard(*words.made_of)  # only their scores are read from here on
     discount = F.element_at(F.array(*[F.lit(float(x)) for x in d]), (_kind() + 1).cast("int"))
     # Of a context: what a customer counts, and the weight of its kind.
     places = places.select("u", "n", (1 / (STRENGTH + F.col("n"))).alias("one"),
